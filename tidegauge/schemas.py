@@ -78,5 +78,6 @@ LABEL_ALIASES = {"high": "high_interest", "moderate": "moderate_interest",
 
 MINUTE_US = 60 * 1_000_000
 HOUR_US = 60 * MINUTE_US
+DAY_US = 24 * HOUR_US
 HORIZON_US = {"15m": 15 * MINUTE_US, "30m": 30 * MINUTE_US, "1h": HOUR_US,
               "2h": 2 * HOUR_US, "6h": 6 * HOUR_US}
