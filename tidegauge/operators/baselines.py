@@ -12,13 +12,15 @@ from tidegauge.operators.rows import expand_tiers, flatten_horizons
 from tidegauge.schemas import MOMENTUM_SCALES, PRIOR_SEEDS
 
 
-def majority(df: DataFrame, label: str, scope: Sequence[str] = (), k: int | Column | None = None) -> DataFrame:
+def majority(df: DataFrame, label: str, scope: Sequence[str] = (), k: int | Column | None = None,
+             weight: str | None = None) -> DataFrame:
     """Most frequent label with its accuracy ``p`` and macro-F1 ``2p / (1 + p) / k``.
 
     ``k`` is the number of classes scored, the observed ones by default. A tie
     goes to the smaller label.
     """
-    counts = df.where(F.col(label).isNotNull()).groupBy(*scope, label).agg(F.count(F.lit(1)).alias("n"))
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.where(F.col(label).isNotNull()).groupBy(*scope, label).agg(size.alias("n"))
     place = F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc("n"), label))
     everything = Window.partitionBy(*scope)
     best = counts.select(*scope, F.col(label).alias("majority_label"), place.alias("__rn"),
@@ -40,9 +42,10 @@ def majority_on_test(train: DataFrame, test: DataFrame, label: str, labels: Sequ
     return report.withColumn("majority_label", guess)
 
 
-def random_prior_expected(df: DataFrame, label: str, scope: Sequence[str] = ()) -> DataFrame:
+def random_prior_expected(df: DataFrame, label: str, scope: Sequence[str] = (),
+                          weight: str | None = None) -> DataFrame:
     """Expected accuracy ``sum p^2`` and macro-F1 ``mean p`` of prior sampling."""
-    shares = class_distribution(df.where(F.col(label).isNotNull()), label, scope)
+    shares = class_distribution(df.where(F.col(label).isNotNull()), label, scope, weight)
     return shares.groupBy(*scope).agg(
         F.sum("n").alias("n"), F.sum(F.col("share") * F.col("share")).alias("expected_accuracy"),
         F.avg("share").alias("expected_macro_f1"))
@@ -92,8 +95,10 @@ def momentum_spearman(df: DataFrame, tiers: Mapping[str, Column], pre_delta: str
 
 def zero_drift(df: DataFrame, tiers: Mapping[str, Column]) -> DataFrame:
     """Predict flat / small / 0.0 for every row: accuracy, magnitude F1, no correlation."""
-    tiered = expand_tiers(df, tiers)
-    counts = tiered.groupBy("tier", "direction_label", "magnitude_bucket").agg(F.count(F.lit(1)).alias("w"))
+    # Count first, then repeat the few count rows per tier.
+    counts = df.groupBy("confound_flag", "direction_label", "magnitude_bucket").agg(
+        F.count(F.lit(1)).alias("w"))
+    counts = expand_tiers(counts, tiers)
     n = F.sum("w")
     small = F.coalesce(F.sum(F.when(F.col("magnitude_bucket") == "small", F.col("w"))), F.lit(0))
     flat = F.coalesce(F.sum(F.when(F.col("direction_label") == "flat", F.col("w"))), F.lit(0))
@@ -102,6 +107,3 @@ def zero_drift(df: DataFrame, tiers: Mapping[str, Column]) -> DataFrame:
         (2 * small / (small + n) / 3).alias("magnitude_macro_f1"),
         F.lit(None).cast("double").alias("spearman"))
 
-
-__all__ = ["majority", "majority_on_test", "random_prior_expected", "random_prior_draws",
-           "momentum_forecasts", "momentum_spearman", "zero_drift"]

@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidegauge.operators.ranking import cumulative_counts, valid_number
 
 
-def class_distribution(df: DataFrame, label: str, scope: Sequence[str] = ()) -> DataFrame:
-    """Rows and share of each class."""
-    counts = df.groupBy(*scope, label).agg(F.count(F.lit(1)).alias("n"))
+def class_distribution(df: DataFrame, label: str, scope: Sequence[str] = (),
+                       weight: str | None = None) -> DataFrame:
+    """Rows and share of each class; with ``weight`` a row stands for that many."""
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.groupBy(*scope, label).agg(size.alias("n"))
     total = F.sum("n").over(Window.partitionBy(*scope))
     return counts.withColumn("share", F.col("n") / total)
 
@@ -130,9 +132,12 @@ def pearson(df: DataFrame, x: str, y: str, scope: Sequence[str] = (),
 
 
 def spearman(df: DataFrame, x: str, y: str, scope: Sequence[str] = (),
-             degenerate: float | None = None, out: str = "spearman") -> DataFrame:
+             degenerate: float | None = None, out: str = "spearman",
+             weight: str | None = None) -> DataFrame:
     """Spearman rank correlation with average ranks for ties.
 
+    With ``weight`` a row stands for that many equal pairs.
+
     Rows are reduced to counts of distinct pairs first; ranks come from the
     bucketed histogram and are centred on the known mean rank, so large ranks
     do not cancel.
@@ -140,7 +145,7 @@ def spearman(df: DataFrame, x: str, y: str, scope: Sequence[str] = (),
     scope = list(scope)
     pairs = (df.where(valid_number(df, x, y))
              .groupBy(*scope, F.col(x).alias("__x"), F.col(y).alias("__y"))
-             .agg(F.count(F.lit(1)).alias("__w")))
+             .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("__w")))
 
     def centred(side: str) -> DataFrame:
         counts = cumulative_counts(pairs, side, scope, weight="__w")

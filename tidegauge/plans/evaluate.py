@@ -16,7 +16,6 @@ from tidegauge.functions.maps import horizon_map, map_value
 from tidegauge.operators.joins import join_pred_gold
 from tidegauge.operators.metrics import (class_report, confusion_matrix, quadratic_kappa, reciprocal_rank,
                                          spearman)
-from tidegauge.operators.ranking import last_per_key
 from tidegauge.schemas import DECAY_LABELS, INTEREST_LABELS, MAGNITUDE_LABELS, PROPAGATION_LABELS
 
 
@@ -46,10 +45,8 @@ def evaluate_grades(preds: DataFrame, gold: DataFrame, order: str | None = None)
     """Spearman and kappa of ordinal grades, both from the one confusion table."""
     joined = join_pred_gold(preds, gold, ["tweet_id", "condition_id"], order, ["final_grade"])
     counts = confusion_matrix(joined, "gold_final_grade", "predicted_grade")
-    kappa = quadratic_kappa(counts)
-    # At most grades x grades rows: plain windows over the counts give the ranks.
-    rho = spearman(joined, "gold_final_grade", "predicted_grade", degenerate=0.0, out="spearman_rho")
-    return kappa.join(rho.select("spearman_rho"), how="inner")
+    rho = spearman(counts, "gold", "pred", degenerate=0.0, weight="n").select("spearman").scalar()
+    return quadratic_kappa(counts).withColumn("spearman_rho", rho)
 
 
 def evaluate_movement(preds: DataFrame, gold: DataFrame, order: str | None = None,
@@ -132,8 +129,3 @@ def metrics_json(long: DataFrame) -> DataFrame:
     entry = F.struct("metric", F.round("value", 4).alias("value"))
     return long.groupBy("task").agg(
         F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("record"))
-
-
-def gold_rows(gold: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Gold table with its last row per key."""
-    return last_per_key(gold, keys, order)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions.labels import decay_class, direction, magnitude, sign_direction
 from tidegauge.operators.baselines import majority, random_prior_expected
-from tidegauge.operators.metrics import class_report, confusion_matrix, spearman
+from tidegauge.operators.metrics import class_report, spearman
 from tidegauge.operators.rows import expand_tiers, is_unconfounded, movement_tiers
 from tidegauge.operators.temporal import AsOf, Span, farthest_move, series_at
 from tidegauge.schemas import (DAY_US, DELTA_HORIZONS, DIRECTION_LABELS, HORIZON_US, IMPACT_HORIZONS,
@@ -64,8 +64,8 @@ def momentum_report(rows: DataFrame) -> DataFrame:
     """Direction accuracy, magnitude macro-F1 and n of the momentum rule per tier.
 
     The active tier scores direction over rows that moved and magnitude over
-    rows whose true bucket is medium or large. One confusion aggregate over all
-    tiers and both targets.
+    rows whose true bucket is medium or large. All tiers and both targets come
+    from one aggregate.
     """
     clean = is_unconfounded()
     pre = F.col("pre_delta")
@@ -74,11 +74,12 @@ def momentum_report(rows: DataFrame) -> DataFrame:
                  sign_direction(pre).alias("pred")),
         F.struct(F.lit("magnitude").alias("target"), F.col("magnitude_bucket").alias("gold"),
                  magnitude(pre).alias("pred")))
-    long = rows.select(clean.alias("clean"), F.inline(targets)).where("gold IS NOT NULL")
+    long = (rows.select(clean.alias("clean"), F.inline(targets)).where("gold IS NOT NULL")
+            .groupBy("clean", "target", "gold", "pred").agg(F.count(F.lit(1)).alias("n")))
     active = F.col("clean") & ~F.col("gold").isin("flat", "small")
     tiers = {"tier1_all": F.lit(True), "tier2_non_confounded": F.col("clean"), "tier3_active": active}
     scope = ["tier", "target"]
-    counts = confusion_matrix(expand_tiers(long, tiers), "gold", "pred", scope)
+    counts = expand_tiers(long, tiers)  # the count rows are repeated, not the posts
     direct = class_report(counts.where("target = 'direction'"), DIRECTION_LABELS, scope)
     size = counts.where("target = 'magnitude'")
     whole = class_report(size.where("tier <> 'tier3_active'"), MAGNITUDE_LABELS, scope)
@@ -109,14 +110,16 @@ def tier_report(rows: DataFrame, gold: str = "delta_2h", pred: str = "pred_delta
 
 def prior_report(rows: DataFrame) -> DataFrame:
     """Majority and random-prior scores of both targets in each tier, one scan."""
-    tiered = expand_tiers(rows, movement_tiers())
+    counts = rows.groupBy("confound_flag", "direction_label", "magnitude_bucket").agg(
+        F.count(F.lit(1)).alias("w"))
+    tiered = expand_tiers(counts, movement_tiers())
     targets = F.inline(F.array(
         F.struct(F.lit("direction").alias("target"), F.col("direction_label").alias("label")),
         F.struct(F.lit("magnitude").alias("target"), F.col("magnitude_bucket").alias("label"))))
-    long = tiered.select("tier", targets)
+    long = tiered.select("tier", "w", targets)
     scope = ["tier", "target"]
     # The active tier has no flat direction: two classes there, three elsewhere.
     k = F.when((F.col("tier") == "tier3_active") & (F.col("target") == "direction"), 2).otherwise(3)
-    best = majority(long, "label", scope, k)
-    prior = random_prior_expected(long, "label", scope).drop("n")
+    best = majority(long, "label", scope, k, weight="w")
+    prior = random_prior_expected(long, "label", scope, weight="w").drop("n")
     return best.join(prior, scope)

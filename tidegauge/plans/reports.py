@@ -15,11 +15,12 @@ from tidegauge.schemas import PRIOR_SEEDS
 def scope_report(df: DataFrame, label: str, labels: Sequence[str], flag: str = "confound_flag") -> DataFrame:
     """Per scope (all / non-confounded): class counts, majority and prior scores in percent."""
     known = valid_labels(df, label, labels)
+    known = known.groupBy(flag, label).agg(F.count(F.lit(1)).alias("w"))
     scoped = expand_tiers(known, {"all": F.lit(True), "non_confounded": is_unconfounded(flag)}, "scope")
-    counts = class_distribution(scoped, label, ["scope"]).groupBy("scope").agg(
+    counts = class_distribution(scoped, label, ["scope"], "w").groupBy("scope").agg(
         F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(label, "n"))))).alias("classes"))
-    best = majority(scoped, label, ["scope"])
-    prior = random_prior_expected(scoped, label, ["scope"]).drop("n")
+    best = majority(scoped, label, ["scope"], weight="w")
+    prior = random_prior_expected(scoped, label, ["scope"], "w").drop("n")
     both = best.join(prior, "scope").join(counts, "scope")
     percent = {c: F.col(c) * 100 for c in ("accuracy", "macro_f1", "expected_accuracy", "expected_macro_f1")}
     return both.withColumns(percent)

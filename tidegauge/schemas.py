@@ -12,7 +12,7 @@ _TYPES = {
 }
 
 
-def _struct(spec: str) -> T.StructType:
+def struct_of(spec: str) -> T.StructType:
     """``"a b: bigint, c: str"`` -> StructType; every field is nullable."""
     fields: list[T.StructField] = []
     for part in spec.split(","):
@@ -30,35 +30,35 @@ T1_FEATURES = [
 ]
 
 TASK_SCHEMAS: dict[str, T.StructType] = {
-    "t1": _struct("event_group_id condition_id question category event_group_label event_text "
+    "t1": struct_of("event_group_id condition_id question category event_group_label event_text "
                   "interest_label: str, " + " ".join(T1_FEATURES) + ": double"),
-    "t2": _struct("tweet_id: bigint, tweet_text market_id market_question: str, "
+    "t2": struct_of("tweet_id: bigint, tweet_text market_id market_question: str, "
                   "embedding_score: double, gold is_gold: bool"),
-    "t3": _struct("tweet_id: bigint, condition_id tweet market question: str, "
+    "t3": struct_of("tweet_id: bigint, condition_id tweet market question: str, "
                   "final_grade llm_grade: int, llm_confidence: double"),
-    "t4": _struct("tweet_id: bigint, condition_id: str, created_at: ts, price_t0 delta_30m "
+    "t4": struct_of("tweet_id: bigint, condition_id: str, created_at: ts, price_t0 delta_30m "
                   "delta_2h delta_6h: double, direction_label magnitude_bucket: str, "
                   "confound_flag: bool"),
-    "t5": _struct("tweet_id: bigint, condition_id: str, price_impact_json "
+    "t5": struct_of("tweet_id: bigint, condition_id: str, price_impact_json "
                   "volume_multiplier_json: map, decay_class: str, confound_flag: bool"),
-    "t6": _struct("tweet_id: bigint, primary_condition_id label: str, sibling_count "
+    "t6": struct_of("tweet_id: bigint, primary_condition_id label: str, sibling_count "
                   "moved_sibling_count: int, primary_delta_h: double, confound_flag "
                   "insufficient_data_flag: bool"),
 }
 TASK_SCHEMAS["t7"] = TASK_SCHEMAS["t5"]
 
-POST_SCHEMA = _struct("tweet_id: bigint, created_at text: str")
-TICK_SCHEMA = _struct("condition_id side: str, timestamp: bigint, open high low close volume: double")
+POST_SCHEMA = struct_of("tweet_id: bigint, created_at text: str")
+TICK_SCHEMA = struct_of("condition_id side: str, timestamp: bigint, open high low close volume: double")
 
 PREDICTION_SCHEMAS: dict[str, T.StructType] = {
-    "t1": _struct("condition_id label: str"),
-    "t2": _struct("tweet_id: bigint, ranked_market_ids: strs"),
-    "t3": _struct("tweet_id: bigint, condition_id: str, predicted_grade: int"),
-    "t4": _struct("tweet_id: bigint, delta_2h: double"),
-    "t5": _struct("tweet_id: bigint, condition_id decay_class: str, price_impact "
+    "t1": struct_of("condition_id label: str"),
+    "t2": struct_of("tweet_id: bigint, ranked_market_ids: strs"),
+    "t3": struct_of("tweet_id: bigint, condition_id: str, predicted_grade: int"),
+    "t4": struct_of("tweet_id: bigint, delta_2h: double"),
+    "t5": struct_of("tweet_id: bigint, condition_id decay_class: str, price_impact "
                   "volume_multiplier: double"),
-    "t6": _struct("tweet_id: bigint, label: str"),
-    "t7": _struct("tweet_id: bigint, condition_id label: str"),
+    "t6": struct_of("tweet_id: bigint, label: str"),
+    "t7": struct_of("tweet_id: bigint, condition_id label: str"),
 }
 
 # Label domains, horizons, seeds and scales.
