@@ -26,8 +26,26 @@ def valid_number(df: DataFrame, *names: str) -> Column:
     return reduce(lambda a, b: a & b, checks)
 
 
+def _bucket(value: Column, cuts: Column, buckets: int) -> Column:
+    """Number of cuts below the value: a binary search with halving steps.
+
+    The result is never null, so joins on it push no null check below the
+    histogram.
+    """
+    steps = [1 << i for i in range((buckets - 1).bit_length() - 1, -1, -1)]
+    place = F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
+        lambda at, step: at + F.when(F.get(cuts, at + step - 1) < value, step).otherwise(0))
+    return F.coalesce(place, F.lit(0))
+
+
+def _bucket_count(df: DataFrame) -> int:
+    """As many buckets as shuffle tasks, up to 1024."""
+    return max(2, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def cumulative_counts(df: DataFrame, value: str, scope: Sequence[str] = (),
-                      weight: str | None = None, buckets: int = 64) -> DataFrame:
+                      weight: str | None = None, buckets: int | None = None) -> DataFrame:
     """Distinct values per scope with cumulative counts.
 
     Returns ``scope..., value, n, n_below, n_upto, n_total``. Null and NaN
@@ -36,13 +54,16 @@ def cumulative_counts(df: DataFrame, value: str, scope: Sequence[str] = (),
     are exact.
     """
     scope = list(scope)
+    buckets = buckets or _bucket_count(df)
     count = F.count(F.lit(1)) if weight is None else F.sum(weight)
     hist = df.where(valid_number(df, value)).groupBy(*scope, value).agg(count.alias("n"))
     cuts = [i / buckets for i in range(1, buckets)]
-    bounds = hist.select(F.percentile_approx(value, cuts, 2000)).scalar()
-    hist = hist.withColumn("__cuts", bounds)
-    hist = hist.withColumn(
-        "__b", F.size(F.filter("__cuts", lambda cut: cut < F.col(value)))).drop("__cuts")
+    # Reading n as well keeps this histogram equal to the one below, so that
+    # Spark computes the shared part once.
+    counted = F.when(F.col("n") > 0, F.col(value))
+    bounds = hist.select(F.percentile_approx(counted, cuts, 2000)).scalar()
+    hist = (hist.withColumn("__cuts", bounds)
+            .withColumn("__b", _bucket(F.col(value), F.col("__cuts"), buckets)).drop("__cuts"))
 
     totals = hist.groupBy(*scope, "__b").agg(F.sum("n").alias("__m"))
     earlier = (Window.partitionBy(*scope).orderBy("__b")

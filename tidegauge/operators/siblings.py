@@ -37,66 +37,114 @@ def sibling_counts(groups: DataFrame, key: str = "condition_id", group: str = "e
     return members.join(sizes, group).select(key, group, "sibling_count")
 
 
-def first_outside(prices: pd.DataFrame, probes: pd.DataFrame) -> pd.DataFrame:
-    """For each probe the first tick in (start, end] outside its band.
-
-    Ticks are read in chunks. In a chunk, tables of range maxima and minima
-    over power-of-two lengths let all probes skip forward together, so a probe
-    costs a few steps and never visits every tick.
+def first_outside(code: np.ndarray, price: np.ndarray, start: np.ndarray, end: np.ndarray,
+                  lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
+    """For each probe the place of the first tick in (start, end] outside its band, or -1.
+
+    ``code`` are the sorted tick instants. Ticks are read in chunks. In a chunk,
+    tables of range maxima and minima over power-of-two lengths let all probes
+    skip forward together, so a probe costs a few steps and never visits every
+    tick.
     """
-    prices = prices.sort_values("us")
-    us, value = prices["us"].to_numpy(), prices["price"].to_numpy()
-    pos = np.searchsorted(us, probes["start_us"].to_numpy(), "right")
-    end = np.searchsorted(us, probes["end_us"].to_numpy(), "right")
-    upper, lower = probes["upper"].to_numpy(), probes["lower"].to_numpy()
-    found = np.full(len(probes), -1, dtype=np.int64)
-    for base in range(0, len(us), _CHUNK):
-        stop = min(base + _CHUNK, len(us))
-        live = np.flatnonzero((found < 0) & (pos < np.minimum(end, stop)) & (pos >= base))
+    pos, stop = np.searchsorted(code, start, "right"), np.searchsorted(code, end, "right")
+    found = np.full(len(start), -1, dtype=np.int64)
+    for base in range(0, len(code), _CHUNK):
+        top = min(base + _CHUNK, len(code))
+        live = np.flatnonzero((found < 0) & (pos >= base) & (pos < np.minimum(stop, top)))
         if not len(live):
             continue
-        highs, lows = [value[base:stop]], [value[base:stop]]
-        while 2 << (len(highs) - 1) <= stop - base:
+        highs, lows = [price[base:top]], [price[base:top]]
+        while 2 << (len(highs) - 1) <= top - base:
             half = 1 << (len(highs) - 1)
             highs.append(np.maximum(highs[-1][:-half], highs[-1][half:]))
             lows.append(np.minimum(lows[-1][:-half], lows[-1][half:]))
-        at, limit = pos[live] - base, np.minimum(end[live], stop) - base
+        at, limit = pos[live] - base, np.minimum(stop[live], top) - base
         for level in range(len(highs) - 1, -1, -1):
             room = at + (1 << level) <= limit
             probe = np.where(room, at, 0)
             quiet = room & (highs[level][probe] <= upper[live]) & (lows[level][probe] >= lower[live])
             at = at + np.where(quiet, 1 << level, 0)
         hit = at < limit
-        found[live[hit]] = us[base + at[hit]]
+        found[live[hit]] = base + at[hit]
         pos[live[~hit]] = base + at[~hit]
-    out = probes[["key", "t0"]].copy()
-    out["onset_us"] = found
-    return out[out["onset_us"] >= 0]
+    return found
+
+
+def _search_groups(rows: pd.DataFrame, group: np.ndarray, block_us: int) -> pd.DataFrame:
+    """Search all (market, block) groups of a batch at once.
+
+    An instant becomes ``group * width + place in block``, so one sorted array
+    holds the ticks of every group.
+    """
+    width = block_us + 2
+    start_of_block = rows["block"].to_numpy() * block_us
+    is_tick = rows["price"].notna().to_numpy()
+
+    def code(us: pd.Series, mask: np.ndarray) -> np.ndarray:
+        inside = np.clip(us.to_numpy()[mask].astype(np.int64) - start_of_block[mask], -1, block_us - 1)
+        return group[mask] * width + inside + 1
+
+    ticks, probes = rows[is_tick], rows[~is_tick]
+    tick_us = ticks["us"].to_numpy()
+    place = first_outside(code(rows["us"], is_tick), ticks["price"].to_numpy(),
+                          code(rows["us"], ~is_tick), code(rows["end_us"], ~is_tick),
+                          probes["lower"].to_numpy(), probes["upper"].to_numpy())
+    hit = place >= 0
+    return pd.DataFrame({"key": probes["key"].to_numpy()[hit], "t0": probes["us"].to_numpy()[hit],
+                         "onset_us": tick_us[place[hit]]})
+
+
+def _crossing_task(block_us: int):
+    """Task function over sorted rows: whole groups are searched, the open one is held back."""
+
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for batch in batches:
+            if batch.empty:
+                continue
+            if held:
+                last = held[-1].iloc[-1]
+                same = (batch["key"].iloc[-1] == last["key"]) and (batch["block"].iloc[-1] == last["block"])
+                if same:
+                    held.append(batch)
+                    continue
+            rows = pd.concat([*held, batch], ignore_index=True)
+            new = (rows["key"] != rows["key"].shift()) | (rows["block"] != rows["block"].shift())
+            group = new.cumsum().to_numpy(dtype=np.int64)
+            complete = group < group[-1]
+            if complete.any():
+                yield _search_groups(rows[complete], group[complete], block_us)
+            held = [rows[~complete]]
+        if held:
+            rows = pd.concat(held, ignore_index=True)
+            yield _search_groups(rows, np.ones(len(rows), dtype=np.int64), block_us)
+
+    return run
 
 
 def first_crossings(anchors: DataFrame, ticks: DataFrame, window_us: int = MOVE_WINDOW_US,
-                    block_us: int = 30 * MINUTE_US, price: str = "close_price",
-                    order: str = "seq") -> DataFrame:
+                    block_us: int = HOUR_US, price: str = "close_price") -> DataFrame:
     """First tick outside the band of each anchor ``(key, t0, lower, upper)``.
 
     An anchor is sent to the few blocks its window touches; the earliest block
-    with a hit decides. A task holds one market and block: at most one tick per
-    clock instant of the block.
+    with a hit decides. Rows are hashed and sorted by market and block, and a
+    task streams over them in Arrow batches. It holds one batch and one open
+    group: at most two tick rows per clock instant of a block.
     """
     last_block = F.floor((F.col("t0") + window_us) / block_us)
-    pieces = (anchors.withColumn("block", F.explode(F.sequence(F.floor(F.col("t0") / block_us), last_block)))
-              .select("key", "block", "t0", F.col("t0").alias("start_us"),
-                      (F.col("t0") + window_us).alias("end_us"), "lower", "upper"))
+    probes = (anchors.withColumn("block", F.explode(F.sequence(F.floor(F.col("t0") / block_us), last_block)))
+              .select("key", "block", F.col("t0").alias("us"), (F.col("t0") + window_us).alias("end_us"),
+                      "lower", "upper"))
     # Several ticks of one instant: the lowest and the highest price both count.
     us = micros(F.col("ts"))
     instants = (ticks.where(F.col(price).isNotNull())
                 .groupBy(F.col("condition_id").alias("key"), us.alias("us"))
                 .agg(F.min(price).alias("lo"), F.max(price).alias("hi"))
-                .withColumn("price", F.explode(F.array_distinct(F.array("lo", "hi"))))
-                .select("key", F.floor(F.col("us") / block_us).alias("block"), "us", "price"))
-    hits = (pieces.groupBy("key", "block").cogroup(instants.groupBy("key", "block"))
-            .applyInPandas(lambda probes, prices: first_outside(prices, probes),
-                           "key string, t0 bigint, onset_us bigint"))
+                .select("key", F.floor(F.col("us") / block_us).alias("block"), "us",
+                        F.explode(F.array_distinct(F.array("lo", "hi"))).alias("price")))
+    both = instants.unionByName(probes, allowMissingColumns=True)
+    placed = both.repartition("key", "block").sortWithinPartitions("key", "block", "us")
+    hits = placed.mapInPandas(_crossing_task(block_us), "key string, t0 bigint, onset_us bigint")
     return hits.groupBy("key", "t0").agg(F.min("onset_us").alias("onset_us"))
 
 

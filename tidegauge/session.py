@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_PACKAGE = os.path.dirname(os.path.abspath(__file__))
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Set the runtime options the operators need on an existing session.
@@ -14,9 +18,30 @@ def configure(spark: SparkSession) -> SparkSession:
     an epoch column mean the same instant.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application.
+
+    Needed by the few operators that run pandas code in tasks when the package
+    is not installed on the workers.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_tidegauge_shipped", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="tidegauge-code-"), "tidegauge.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(_PACKAGE):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(_PACKAGE)))
+    context.addPyFile(archive)
+    context._tidegauge_shipped = True
+
+
 def build_session(app: str = "tidegauge", master: str | None = None,
                   shuffle_partitions: int | None = None) -> SparkSession:
     """Build a session; on a cluster the submit command supplies the master."""
@@ -25,6 +50,7 @@ def build_session(app: str = "tidegauge", master: str | None = None,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.ui.enabled", "false")
     )
     if master:
         builder = builder.master(master)
