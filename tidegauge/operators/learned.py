@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge.operators.metrics import confusion_matrix, macro_f1, spearman
 from tidegauge.operators.rows import balanced_weights, index_labels
+from tidegauge.sources.tables import materialize
 
 
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -88,7 +89,7 @@ def out_of_fold_regression(df: DataFrame, features: Sequence[str], target: str,
                            fold: str = "fold", log_target: bool = True, **options) -> tuple[DataFrame, list[Model]]:
     """Each fold is predicted by a model fitted on the others, on the log1p scale."""
     usable = df.where(F.col(target) > -1) if log_target else df
-    scaled = usable.withColumn("__y", F.log1p(target) if log_target else F.col(target))
+    scaled = materialize(usable.withColumn("__y", F.log1p(target) if log_target else F.col(target)))
     models, parts = [], []
     for i in range(folds):
         model = fit_regression(scaled.where(F.col(fold) != i), features, "__y", **options)
@@ -101,6 +102,7 @@ def out_of_fold_regression(df: DataFrame, features: Sequence[str], target: str,
 def out_of_fold_classes(df: DataFrame, features: Sequence[str], label: str, labels: Sequence[str],
                         folds: int = 5, fold: str = "fold", **options) -> tuple[DataFrame, list[Model]]:
     """Out-of-fold class predictions with balanced class weights."""
+    df = materialize(df)
     models, parts = [], []
     for i in range(folds):
         train = balanced_weights(df.where(F.col(fold) != i), label)
@@ -163,6 +165,7 @@ def random_grid(learner, space: dict[str, Sequence], trials: int, seed: int = 42
 def search(df: DataFrame, learner, space: dict[str, Sequence], kind: str, label: str, trials: int = 10,
            folds: int = 5, fold: str = "fold", seed: int = 42) -> DataFrame:
     """Cross-validated random search over a fixed fold column: one row per trial."""
+    df = materialize(df)
     grid = random_grid(learner, space, trials, seed)
     cv = CrossValidator(estimator=learner, estimatorParamMaps=grid, evaluator=objective(kind, label),
                         numFolds=folds, foldCol=fold, parallelism=4, seed=seed)

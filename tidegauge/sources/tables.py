@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from tidegauge.schemas import TASK_SCHEMAS
+from tidegauge.session import shared_folder
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -84,3 +86,13 @@ def load_task(spark: SparkSession, root: str, task: str, split: str | None = Non
         raw = read_jsonl(spark, f"{root}/{name}.jsonl", schema)
         table = positional_split(raw, order[0])
     return table if split is None else table.where(F.col("split") == split)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a table that is read many times to the shared folder and read it back.
+
+    The copy survives the loss of executors and cuts the lineage.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tidegauge-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
