@@ -152,3 +152,12 @@ def test_horizon_columns_flat_value_wins(spark):
     got = R.horizon_columns(rows, horizons=["15m", "2h"]).collect()
     assert (got[0].price_impact_15m, got[0].price_impact_2h, got[0].volume_multiplier_2h) == (2.0, 7.0, 3.0)
     assert (got[1].price_impact_15m, got[1].price_impact_2h, got[1].volume_multiplier_2h) == (None, None, None)
+
+
+def test_class_tables_are_checked_before_broadcast(spark):
+    from tidegauge.operators.ranking import checked_broadcast
+
+    classes = spark.createDataFrame([(i,) for i in range(5)], "k int")
+    assert spark.range(5).join(checked_broadcast(classes, 5), F.col("id") == F.col("k")).count() == 5
+    with pytest.raises(Exception, match="not a class column"):
+        spark.range(5).join(checked_broadcast(classes, 4), F.col("id") == F.col("k")).collect()

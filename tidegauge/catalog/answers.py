@@ -8,6 +8,7 @@ from tidegauge.catalog.registry import query
 from tidegauge.operators import inference as I
 from tidegauge.operators import retrieval as X
 from tidegauge.operators import splits as S
+from tidegauge.operators.ranking import top_k
 from tidegauge.plans import evaluate as E
 from tidegauge.plans import reports as P
 from tidegauge.schemas import PROPAGATION_LABELS
@@ -248,7 +249,7 @@ def eval_t1(v):
 
 _T2 = """g AS (SELECT tweet_id, market_id FROM (SELECT *, row_number() OVER (PARTITION BY tweet_id ORDER BY seq DESC) AS rn
   FROM v_links WHERE gold) WHERE rn = 1),
-p AS (SELECT tweet_id, list(DISTINCT market_id ORDER BY market_id) AS ranked FROM v_links GROUP BY 1),
+p AS (SELECT tweet_id, list(DISTINCT market_id ORDER BY market_id)[1:10] AS ranked FROM v_links GROUP BY 1),
 j AS (SELECT p.*, g.market_id, coalesce(list_position(ranked, g.market_id), 0) AS place FROM p JOIN g USING (tweet_id))"""
 
 
@@ -256,8 +257,9 @@ j AS (SELECT p.*, g.market_id, coalesce(list_position(ranked, g.market_id), 0) A
 WITH {_T2} SELECT count(*) AS n, round(avg(CASE WHEN place = 1 THEN 1.0 ELSE 0 END), 8) AS acc_at_1,
   round(avg(CASE WHEN place > 0 THEN 1.0 / place ELSE 0 END), 8) AS mrr FROM j""")
 def eval_t2(v):
-    ranked = F.transform(F.sort_array(F.collect_set("market_id")), lambda m: m.cast("string"))
-    preds = v.links().groupBy("tweet_id").agg(ranked.alias("ranked_market_ids"))
+    best = top_k(v.links().select("tweet_id", "market_id").distinct(), ["tweet_id"], [F.col("market_id")], 10)
+    ranked = F.transform(F.sort_array(F.collect_list("market_id")), lambda m: m.cast("string"))
+    preds = best.groupBy("tweet_id").agg(ranked.alias("ranked_market_ids"))
     return E.evaluate_linking(preds, v.links(), "seq").withColumns({c: F.round(c, 8) for c in ("acc_at_1", "mrr")})
 
 

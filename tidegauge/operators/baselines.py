@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.functions.hashing import hash_key, hash_uniform
 from tidegauge.operators.metrics import class_distribution, class_report, spearman
+from tidegauge.operators.ranking import valid_number
 from tidegauge.operators.rows import expand_tiers, flatten_horizons
 from tidegauge.schemas import MOMENTUM_SCALES, PRIOR_SEEDS
 
@@ -66,7 +67,7 @@ def random_prior_draws(df: DataFrame, label: str, keys: Sequence[str], scope: Se
     table = shares.groupBy(*scope).agg(F.array_sort(F.collect_list("s")).alias("__prior"))
     rows = df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
     if scope:
-        rows = rows.join(F.broadcast(table), list(scope))  # one row per scope, all labels in it
+        rows = rows.join(table, list(scope))  # one row per scope, all labels in it
     else:
         rows = rows.withColumn("__prior", table.scalar())
     uniform = hash_uniform(hash_key(F.col("seed"), *[F.col(k) for k in keys]))
@@ -86,11 +87,11 @@ def momentum_forecasts(df: DataFrame, pre_delta: str = "pre_delta",
 def momentum_spearman(df: DataFrame, tiers: Mapping[str, Column], pre_delta: str = "pre_delta",
                       scales: Mapping[str, float] = MOMENTUM_SCALES) -> DataFrame:
     """Rank correlation of momentum forecasts per tier, per horizon and flattened (``all``)."""
-    complete = df.dropna(subset=[pre_delta, "direction_label", *[f"delta_{h}" for h in scales]])
+    complete = df.where(valid_number(df, pre_delta, "direction_label", *[f"delta_{h}" for h in scales]))
     tiered = expand_tiers(complete, tiers)
     flat = momentum_forecasts(tiered, pre_delta, scales, ids=["tier"])
     both = flat.withColumn("horizon", F.explode(F.array(F.col("horizon"), F.lit("all"))))
-    return spearman(both, "forecast", "delta", ["tier", "horizon"])
+    return spearman(both, "forecast", "delta", ["tier", "horizon"], cut=True)
 
 
 def zero_drift(df: DataFrame, tiers: Mapping[str, Column]) -> DataFrame:

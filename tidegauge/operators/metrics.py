@@ -11,7 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidegauge.operators.ranking import cumulative_counts, valid_number
+from tidegauge.operators.ranking import cumulative_counts, not_null, valid_number
+from tidegauge.sources.tables import materialize
 
 
 def class_distribution(df: DataFrame, label: str, scope: Sequence[str] = (),
@@ -133,22 +134,29 @@ def pearson(df: DataFrame, x: str, y: str, scope: Sequence[str] = (),
 
 def spearman(df: DataFrame, x: str, y: str, scope: Sequence[str] = (),
              degenerate: float | None = None, out: str = "spearman",
-             weight: str | None = None) -> DataFrame:
+             weight: str | None = None, cut: bool = False) -> DataFrame:
     """Spearman rank correlation with average ranks for ties.
 
-    With ``weight`` a row stands for that many equal pairs.
+    With ``weight`` a row stands for that many equal pairs. The pair counts are
+    read three times; with ``cut`` they are written to the shared folder first,
+    which pays when the rows are costly to derive.
 
     Rows are reduced to counts of distinct pairs first; ranks come from the
     bucketed histogram and are centred on the known mean rank, so large ranks
     do not cancel.
     """
     scope = list(scope)
-    pairs = (df.where(valid_number(df, x, y))
-             .groupBy(*scope, F.col(x).alias("__x"), F.col(y).alias("__y"))
+    keys = [*[not_null(df, s) for s in scope], not_null(df, x).alias("__x"), not_null(df, y).alias("__y")]
+    pairs = (df.where(valid_number(df, x, y, scope=scope))
+             .select(*keys, *([] if weight is None else [weight]))
+             .groupBy(*scope, "__x", "__y")
              .agg((F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("__w")))
+    if cut:
+        pairs = materialize(pairs)
+        pairs = pairs.select(*[not_null(pairs, c) for c in pairs.columns])
 
     def centred(side: str) -> DataFrame:
-        counts = cumulative_counts(pairs, side, scope, weight="__w")
+        counts = cumulative_counts(pairs, side, scope, weight="__w", checked=True)
         return counts.select(*scope, side, ((F.col("n_below") + F.col("n_upto") - F.col("n_total"))
                                             / 2).alias(side + "r"))
 

@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 
-def valid_number(df: DataFrame, *names: str) -> Column:
-    """True where every named column is neither null nor NaN."""
-    checks = []
+def valid_number(df: DataFrame, *names: str, scope: Sequence[str] = ()) -> Column:
+    """True where every named column is neither null nor NaN and no scope is null."""
+    checks = [F.col(s).isNotNull() for s in scope]
     for name in names:
         col = F.col(name)
         checks.append(col.isNotNull())
@@ -26,6 +26,18 @@ def valid_number(df: DataFrame, *names: str) -> Column:
     return reduce(lambda a, b: a & b, checks)
 
 
+def not_null(df: DataFrame, name: str) -> Column:
+    """The column declared free of nulls; use it only after a null filter.
+
+    Joins and aggregates over it then add no null checks of their own, so that
+    several uses of one aggregate have equal plans and Spark computes it once.
+    """
+    kind = df.schema[name].dataType
+    fill = ("" if isinstance(kind, T.StringType) else False if isinstance(kind, T.BooleanType)
+            else 0 if isinstance(kind, T.NumericType) else None)
+    return F.col(name) if fill is None else F.coalesce(F.col(name), F.lit(fill).cast(kind)).alias(name)
+
+
 def _bucket(value: Column, cuts: Column, buckets: int) -> Column:
     """Number of cuts below the value: a binary search with halving steps.
 
@@ -45,18 +57,22 @@ def _bucket_count(df: DataFrame) -> int:
 
 
 def cumulative_counts(df: DataFrame, value: str, scope: Sequence[str] = (),
-                      weight: str | None = None, buckets: int | None = None) -> DataFrame:
+                      weight: str | None = None, buckets: int | None = None,
+                      checked: bool = False) -> DataFrame:
     """Distinct values per scope with cumulative counts.
 
     Returns ``scope..., value, n, n_below, n_upto, n_total``. Null and NaN
     values are left out, and so are null scopes. The bucket bounds come from a one-row approximate
     percentile; they only decide which task orders which values, so the counts
-    are exact.
+    are exact. ``checked`` input has no null or NaN.
     """
     scope = list(scope)
     buckets = buckets or _bucket_count(df)
     count = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    hist = df.where(valid_number(df, value)).groupBy(*scope, value).agg(count.alias("n"))
+    clean = df if checked else df.where(valid_number(df, value, scope=scope))
+    keys = [not_null(df, c) for c in (*scope, value)]
+    hist = (clean.select(*keys, *([] if weight is None else [weight]))
+            .groupBy(*scope, value).agg(count.alias("n")))
     cuts = [i / buckets for i in range(1, buckets)]
     # Reading n as well keeps this histogram equal to the one below, so that
     # Spark computes the shared part once.
@@ -112,6 +128,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
     return found.select(*scope, *out)
 
 
+def checked_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
+    """Broadcast a table of classes after a check of its size; a larger one fails the query."""
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    small = F.assert_true(rows <= max_rows, F.lit(f"more than {max_rows} classes; not a class column"))
+    return F.broadcast(df.where(small.isNull()))
+
+
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
           out: str = "rn") -> DataFrame:
     """First ``k`` rows per group.

@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.operators.ranking import last_per_key, top_k
 
@@ -112,11 +112,9 @@ def retrieval_scores(top: DataFrame, gold: DataFrame, k: int) -> DataFrame:
                     F.avg(F.lit(1.0) / place).alias("mrr"))
 
 
-def terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Lower-case word tokens with counts: ``(key, term, tf)``, combined per key."""
-    words = F.regexp_extract_all(F.lower(F.col(text)), F.lit(r"[a-z0-9]+"), F.lit(0))
-    return (df.select(key, F.explode(words).alias("term"))
-            .groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf")))
+def words(text: str) -> Column:
+    """Lower-case runs of letters a-z and digits."""
+    return F.array_remove(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), "")
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
@@ -126,16 +124,16 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, digits: int = 6)
     that occur in some query are weighted. Frequent terms are kept: a block
     product adds them in place, so they make no extra rows.
     """
-    q_terms = terms(queries, "query_id", "text").select("query_id", "term")
-    words = F.regexp_extract_all(F.lower(F.col("text")), F.lit(r"[a-z0-9]+"), F.lit(0))
-    lengths = docs.select("doc_id", words.alias("words")).select(
+    q_terms = queries.select("query_id", F.explode(words("text")).alias("term")).distinct()
+    lengths = docs.select("doc_id", words("text").alias("words")).select(
         "doc_id", "words", F.size("words").alias("len"))
     size = lengths.agg(F.struct(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))).scalar()
 
     counts = (lengths.select("doc_id", "len", F.explode("words").alias("term"))
               .join(q_terms.select("term").distinct(), "term", "left_semi")
               .groupBy("doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")))
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Reading tf here too keeps both uses of the counts equal, so they are shared.
+    df = counts.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     weighted = counts.join(df, "term").withColumn("size", size)
     n, avg_len = F.col("size")["n"], F.col("size")["avg_len"]
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tidegauge.functions.labels import lookup
 from tidegauge.functions.text import normalized_id, try_double
-from tidegauge.operators.ranking import exact_quantiles
+from tidegauge.operators.ranking import checked_broadcast, exact_quantiles
 from tidegauge.schemas import IMPACT_HORIZONS, LABEL_ALIASES
 
 
@@ -189,4 +189,4 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     everything = Window.partitionBy()
     weights = counts.select(label, (F.sum("__c").over(everything)
                                     / (F.count(F.lit(1)).over(everything) * F.col("__c"))).alias(out))
-    return df.join(F.broadcast(weights), label)
+    return df.join(checked_broadcast(weights), label)

@@ -24,6 +24,7 @@ MOVE_WINDOW_US = 2 * HOUR_US
 SIGMA_WINDOW_US = 24 * HOUR_US
 
 _CHUNK = 1 << 16
+_SALTS = 16
 
 
 def sibling_counts(groups: DataFrame, key: str = "condition_id", group: str = "event_group_id") -> DataFrame:
@@ -149,8 +150,14 @@ def first_crossings(anchors: DataFrame, ticks: DataFrame, window_us: int = MOVE_
 
 
 def market_states(instants: DataFrame, members: DataFrame, ticks: DataFrame) -> DataFrame:
-    """Per (group, market, instant): base price, sigma and whether the market moved."""
-    anchors = instants.join(members, "event_group_id")
+    """Per (group, market, instant): base price, sigma and whether the market moved.
+
+    The small member table is repeated over salts, so the instants of a hot
+    group are spread over many tasks.
+    """
+    salted = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    anchors = (instants.withColumn("salt", F.pmod(F.xxhash64("post_time"), F.lit(_SALTS)).cast("int"))
+               .join(salted, ["event_group_id", "salt"]).drop("salt"))
     state = series_at(anchors, ticks, anchor_time="post_time", asof=[AsOf("p0", 0)],
                       spans=[Span("after", 0, MOVE_WINDOW_US),
                              Span("before", -SIGMA_WINDOW_US, 0, left_closed=True)])

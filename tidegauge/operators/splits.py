@@ -6,9 +6,9 @@ get the cut hash. The wide table is then filtered by the cut; it is not
 shuffled. Keys must be unique: copies of one key share a hash and stay on one
 side.
 
-The quota, border and cut tables hold one row per class label, so they are
-broadcast: their size is the size of the label domain, not of the data. Rows
-without a label go to train and get no fold.
+The quota, border and cut tables hold one row per class label. They are
+broadcast behind a check of their size, so that the wide table is not shuffled
+by a handful of labels. Rows without a label go to train and get no fold.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.functions.hashing import hash_key, hash_range
-from tidegauge.operators.ranking import cumulative_counts, top_k
+from tidegauge.operators.ranking import checked_broadcast, cumulative_counts, top_k
 
 
 def _range_offsets(hashed: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -31,12 +31,12 @@ def _range_offsets(hashed: DataFrame, group: Sequence[str]) -> DataFrame:
 
 def _hash_cuts(hashed: DataFrame, group: Sequence[str], quota: DataFrame) -> DataFrame:
     """Per group the hash of the ``quota``-th row in hash order."""
-    offsets = _range_offsets(hashed, group).join(F.broadcast(quota), group)
+    offsets = _range_offsets(hashed, group).join(checked_broadcast(quota), group)
     border = offsets.where((F.col("__before") < F.col("quota"))
                            & (F.col("__before") + F.col("__n") >= F.col("quota")))
     border = border.withColumn("__need", F.col("quota") - F.col("__before"))
     wanted = border.select(*group, "__range", "__need")
-    rows = hashed.select(*group, "__range", "__hash").join(F.broadcast(wanted), [*group, "__range"])
+    rows = hashed.select(*group, "__range", "__hash").join(checked_broadcast(wanted), [*group, "__range"])
     order = Window.partitionBy(*group, "__range").orderBy("__hash")
     ranked = rows.withColumn("__rn", F.row_number().over(order))
     return ranked.where("__rn = __need").select(*group, F.col("__hash").alias("__cut"))
@@ -62,7 +62,7 @@ def stratified_split(df: DataFrame, label: str, keys: Sequence[str], seed: int =
     tagged = df.withColumn("__hash", hash_key(seed, *[F.col(k) for k in keys]))
     hashed = tagged.select(label, "__hash", hash_range(F.col("__hash")).alias("__range"))
     cuts = _hash_cuts(hashed, [label], label_quotas(df, label, test_fraction))
-    marked = tagged.join(F.broadcast(cuts), [label], "left")
+    marked = tagged.join(checked_broadcast(cuts), [label], "left")
     is_test = F.coalesce(F.col("__hash") <= F.col("__cut"), F.lit(False))
     return (marked.withColumn("split", F.when(is_test, "test").otherwise("train"))
             .drop("__hash", "__cut"))

@@ -6,7 +6,7 @@ into one long table ``(task, metric, value)``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
@@ -54,17 +54,25 @@ def evaluate_movement(preds: DataFrame, gold: DataFrame, order: str | None = Non
     """Direction accuracy, magnitude macro-F1 and Spearman, both labels derived from the delta."""
     keys = keys or ["tweet_id", *(["condition_id"] if "condition_id" in preds.columns else [])]
     joined = join_pred_gold(preds, gold, keys, order, ["delta_2h"])
-    g, p = F.col("gold_delta_2h"), F.col("delta_2h")
-    rows = joined.select(g, p, direction(g).alias("gd"), direction(p).alias("pd"),
-                         magnitude(g).alias("gm"), magnitude(p).alias("pm"))
-    joint = rows.groupBy("gd", "pd", "gm", "pm").agg(F.count(F.lit(1)).alias("w"))
-    hits = F.sum(F.when(F.col("gd") == F.col("pd"), F.col("w")).otherwise(0))
-    acc = joint.agg(F.coalesce(F.sum("w"), F.lit(0)).alias("n"),
-                    F.coalesce(F.try_divide(hits, F.sum("w")), F.lit(0.0)).alias("direction_accuracy"))
-    sizes = joint.groupBy(F.col("gm").alias("gold"), F.col("pm").alias("pred")).agg(F.sum("w").alias("n"))
-    f1 = class_report(sizes, MAGNITUDE_LABELS).select("macro_f1").scalar()
-    rho = spearman(rows, "gold_delta_2h", "delta_2h", degenerate=0.0).select("spearman").scalar()
-    return acc.withColumns({"magnitude_macro_f1": f1, "spearman_rho": rho})
+    pairs = joined.groupBy(F.col("gold_delta_2h").alias("g"), F.col("delta_2h").alias("p")).agg(
+        F.count(F.lit(1)).alias("w"))
+    return movement_scores(pairs)
+
+
+def movement_scores(pairs: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
+    """All three movement metrics from counts ``w`` of distinct (gold, predicted) deltas."""
+    hit = direction(F.col("g")) == direction(F.col("p"))
+    acc = pairs.groupBy(*scope).agg(
+        F.coalesce(F.sum("w"), F.lit(0)).alias("n"),
+        F.coalesce(F.try_divide(F.sum(F.when(hit, F.col("w")).otherwise(0)), F.sum("w")), F.lit(0.0))
+        .alias("direction_accuracy"))
+    sizes = pairs.groupBy(*scope, magnitude(F.col("g")).alias("gold"), magnitude(F.col("p")).alias("pred")).agg(
+        F.sum("w").alias("n"))
+    f1 = class_report(sizes, MAGNITUDE_LABELS, scope).select(*scope, F.col("macro_f1").alias("magnitude_macro_f1"))
+    rho = spearman(pairs, "g", "p", scope, degenerate=0.0, out="spearman_rho", weight="w").drop("n")
+    if scope:
+        return acc.join(f1, list(scope)).join(rho, list(scope), "left")
+    return acc.withColumns({"magnitude_macro_f1": f1.scalar(), "spearman_rho": rho.scalar()})
 
 
 def evaluate_impact(preds: DataFrame, gold: DataFrame, order: str | None = None,

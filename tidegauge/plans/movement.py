@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions.labels import decay_class, direction, magnitude, sign_direction
 from tidegauge.operators.baselines import majority, random_prior_expected
-from tidegauge.operators.metrics import class_report, spearman
+from tidegauge.operators.metrics import class_report
 from tidegauge.operators.rows import expand_tiers, is_unconfounded, movement_tiers
+from tidegauge.plans.evaluate import movement_scores
 from tidegauge.operators.temporal import AsOf, Span, farthest_move, series_at
 from tidegauge.schemas import (DAY_US, DELTA_HORIZONS, DIRECTION_LABELS, HORIZON_US, IMPACT_HORIZONS,
                                MAGNITUDE_LABELS, MINUTE_US)
@@ -90,22 +91,11 @@ def momentum_report(rows: DataFrame) -> DataFrame:
 
 def tier_report(rows: DataFrame, gold: str = "delta_2h", pred: str = "pred_delta") -> DataFrame:
     """Per tier: direction accuracy, magnitude macro-F1 and Spearman of predicted deltas."""
-    labelled = rows.withColumns({"gold_mag": magnitude(F.col(gold)), "pred_mag": magnitude(F.col(pred)),
-                                 "gold_dir": direction(F.col(gold)), "pred_dir": direction(F.col(pred))})
-    tiered = expand_tiers(labelled, movement_tiers(label="gold_dir"))
-    # Both targets come from one aggregate over their joint counts.
-    joint = tiered.groupBy("tier", "gold_dir", "pred_dir", "gold_mag", "pred_mag").agg(
-        F.count(F.lit(1)).alias("w"))
-    acc = joint.groupBy("tier").agg(
-        F.sum("w").alias("n"),
-        (F.sum(F.when(F.col("gold_dir") == F.col("pred_dir"), F.col("w")).otherwise(0))
-         / F.sum("w")).alias("direction_accuracy"))
-    sizes = joint.groupBy("tier", F.col("gold_mag").alias("gold"), F.col("pred_mag").alias("pred")).agg(
-        F.sum("w").alias("n"))
-    f1 = class_report(sizes, MAGNITUDE_LABELS, ["tier"]).select(
-        "tier", F.col("macro_f1").alias("magnitude_macro_f1"))
-    rho = spearman(tiered, gold, pred, ["tier"]).drop("n")
-    return acc.join(f1, "tier").join(rho, "tier", "left")
+    pairs = rows.groupBy("confound_flag", F.col(gold).alias("g"), F.col(pred).alias("p")).agg(
+        F.count(F.lit(1)).alias("w")).withColumn("moved", direction(F.col("g")))
+    tiered = expand_tiers(pairs, movement_tiers(label="moved")).select("tier", "g", "p", "w")
+    scores = movement_scores(tiered, ["tier"])
+    return scores.withColumnRenamed("spearman_rho", "spearman")
 
 
 def prior_report(rows: DataFrame) -> DataFrame:
