@@ -293,6 +293,21 @@ def random_prior_sampled(v):
         {c: F.round(c, 8) for c in ("accuracy", "macro_f1")})
 
 
+@query("random_prior_grades", """
+WITH p AS (SELECT final_grade AS label, sum(count(*)) OVER (ORDER BY final_grade) / sum(count(*)) OVER () AS upto
+  FROM v_grades GROUP BY 1),
+d AS (SELECT s.seed, o.final_grade AS g, (SELECT min(label) FROM p WHERE upto >
+    CAST(concat('0x', substr(md5(concat(s.seed, '|', o.k)), 1, 8)) AS BIGINT) / 4294967296.0) AS p
+  FROM v_grades o, (VALUES (13), (42), (123)) s(seed)),
+r AS (SELECT *, rank() OVER (PARTITION BY seed ORDER BY g) + (count(*) OVER (PARTITION BY seed, g) - 1) / 2.0 AS rg,
+  rank() OVER (PARTITION BY seed ORDER BY p) + (count(*) OVER (PARTITION BY seed, p) - 1) / 2.0 AS rp FROM d)
+SELECT seed, count(*) AS n, round(corr(rg, rp), 8) AS spearman, round(1 - sum((g - p) * (g - p))
+  / (sum(g * g) + sum(p * p) - 2.0 * sum(g) * sum(p) / count(*)), 8) AS qwk FROM r GROUP BY seed""")
+def random_prior_grades(v):
+    return P.sampled_prior_grades(v.grades(), "final_grade", ["k"]).withColumns(
+        {c: F.round(c, 8) for c in ("spearman", "qwk")})
+
+
 @query("balanced_weights", """
 WITH c AS (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1)
 SELECT o_orderkey, round((SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * c.n), 8) AS weight

@@ -170,7 +170,11 @@ def ingest_new_files(v):
     return IO.read_jsonl(v.spark, target, schema)
 
 
-@query("metrics_json")
+@query("metrics_json", """
+WITH j AS (SELECT CASE label WHEN 'no_effect' THEN 'no_cross_market_effect' ELSE label END AS gold FROM v_spread),
+t AS (SELECT count(*) AS n, count(*) FILTER (gold = 'primary_mover') AS tp FROM j)
+SELECT 't6' AS task, concat('{"macro_f1":', round(2.0 * tp / (tp + n) / 3, 4), ',"n":', CAST(n AS DOUBLE), '}')
+  AS record FROM t""")
 def metrics_json_query(v):
     preds = v.spread().select("tweet_id", F.lit("primary_mover").alias("label"))
     report = evaluate_propagation(preds, v.spread(), "primary_condition_id")

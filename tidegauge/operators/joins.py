@@ -18,8 +18,8 @@ def join_pred_gold(preds: DataFrame, gold: DataFrame, keys: Sequence[str], order
                    gold_columns: Sequence[str] = ("label",)) -> DataFrame:
     """Inner join of predictions with gold on key text.
 
-    Gold is reduced to its last row per key by ``order``; every prediction row
-    counts. Gold value columns come out as ``gold_<name>``.
+    Gold is reduced to its last row per key by ``order`` (without one its keys
+    must be unique); every prediction row counts. Gold value columns come out as ``gold_<name>``.
     """
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumns({k: F.col(k).cast("string") for k in keys})

@@ -104,7 +104,8 @@ def evaluate_impact(preds: DataFrame, gold: DataFrame, order: str | None = None,
 
 def evaluate_propagation(preds: DataFrame, gold: DataFrame, order: str | None = None,
                          labels: list[str] = PROPAGATION_LABELS) -> DataFrame:
-    return _classes(preds, gold, ["tweet_id"], order, "label", labels).select("n", "macro_f1")
+    keys = ["tweet_id", *(c for c in ("primary_condition_id",) if c in preds.columns)]
+    return _classes(preds, gold, keys, order, "label", labels).select("n", "macro_f1")
 
 
 def evaluate_decay(preds: DataFrame, gold: DataFrame, order: str | None = None,

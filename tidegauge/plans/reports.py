@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.operators.baselines import majority, random_prior_draws, random_prior_expected
-from tidegauge.operators.metrics import class_distribution, class_report, confusion_matrix
+from tidegauge.operators.metrics import (class_distribution, class_report, confusion_matrix, quadratic_kappa,
+                                         spearman)
 from tidegauge.operators.rows import expand_tiers, is_unconfounded, non_confounded, sufficient_data, valid_labels
 from tidegauge.schemas import PRIOR_SEEDS
 
@@ -47,3 +48,12 @@ def sampled_prior(df: DataFrame, label: str, labels: Sequence[str], keys: Sequen
     drawn = random_prior_draws(df.select(label, *keys), label, keys, seeds=seeds)
     return class_report(confusion_matrix(drawn, label, "pred", ["seed"]), labels, ["seed"]).select(
         "seed", "n", "accuracy", "macro_f1")
+
+
+def sampled_prior_grades(df: DataFrame, grade: str, keys: Sequence[str],
+                         seeds: Sequence[int] = tuple(PRIOR_SEEDS)) -> DataFrame:
+    """Spearman and kappa of prior draws of ordinal grades per seed, from one count table."""
+    drawn = random_prior_draws(df.select(grade, *keys), grade, keys, seeds=seeds)
+    counts = confusion_matrix(drawn, grade, "pred", ["seed"])
+    rho = spearman(counts, "gold", "pred", ["seed"], weight="n").drop("n")
+    return quadratic_kappa(counts, ["seed"]).join(rho, "seed", "left")
