@@ -20,7 +20,7 @@ HEADLINE = [
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session("bench", f"local[{cpus}]", int(cpus))
+    spark = build_session("bench", f"local[{cpus}]", int(cpus), memory="12g")
     spark.sparkContext.setLogLevel("ERROR")
     from tidegauge.catalog.all import QUERIES
 

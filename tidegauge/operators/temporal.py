@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -182,10 +181,3 @@ def farthest_move(span: str, base: Column) -> Column:
     """Largest absolute deviation from ``base`` among the prices in a span."""
     return F.greatest(F.col(f"{span}_hi") - base, base - F.col(f"{span}_lo"))
 
-
-def spans_after(horizons: dict[str, int]) -> list[Span]:
-    return [Span(f"w{h}", 0, us) for h, us in horizons.items()]
-
-
-def coalesce_sum(columns: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a + b, [F.coalesce(c, F.lit(0)) for c in columns])

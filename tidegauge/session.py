@@ -43,8 +43,8 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def build_session(app: str = "tidegauge", master: str | None = None,
-                  shuffle_partitions: int | None = None) -> SparkSession:
-    """Build a session; on a cluster the submit command supplies the master."""
+                  shuffle_partitions: int | None = None, memory: str | None = None) -> SparkSession:
+    """Build a session; on a cluster the submit command supplies master and memory."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.adaptive.enabled", "true")
@@ -54,6 +54,8 @@ def build_session(app: str = "tidegauge", master: str | None = None,
     )
     if master:
         builder = builder.master(master)
+    if memory:
+        builder = builder.config("spark.driver.memory", memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return configure(builder.getOrCreate())
