@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidegauge.functions.text import micros
 from tidegauge.operators.temporal import AsOf, Span, farthest_move, series_at, sigma
 from tidegauge.schemas import HOUR_US, MINUTE_US
+from tidegauge.sources.tables import materialize
 
 # The move rule.
 SIGMA_FACTOR = 1.5
@@ -207,8 +208,9 @@ def propagation(posts: DataFrame, ticks: DataFrame, groups: DataFrame) -> DataFr
     movers = states.where("moved").select(
         F.col("condition_id").alias("key"), micros(F.col("post_time")).alias("t0"),
         (F.col("p0") - F.col("band")).alias("lower"), (F.col("p0") + F.col("band")).alias("upper"))
-    onsets = first_crossings(movers, ticks).select(
-        F.col("key").alias("condition_id"), "t0", "onset_us")
+    # Read twice below, so the search is written once and not run again.
+    onsets = materialize(first_crossings(movers, ticks).select(
+        F.col("key").alias("condition_id"), "t0", "onset_us"))
     grouped = onsets.join(members, "condition_id")
     # The two earliest movers of a group are enough to leave any one market out.
     early = Window.partitionBy("event_group_id", "t0").orderBy("onset_us", "condition_id")

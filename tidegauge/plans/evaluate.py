@@ -1,7 +1,8 @@
 """Task evaluators: join predictions with gold, then one aggregate per metric family.
 
-Each evaluator returns one row; ``evaluate_all`` turns the rows of many tasks
-into one long table ``(task, metric, value)``.
+The join runs once: where its counts are read more than once they are written
+to the shared folder first. Each evaluator returns one row; ``evaluate_all``
+turns the rows of many tasks into one long table ``(task, metric, value)``.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from tidegauge.operators.joins import join_pred_gold
 from tidegauge.operators.metrics import (class_report, confusion_matrix, quadratic_kappa, reciprocal_rank,
                                          spearman)
 from tidegauge.schemas import DECAY_LABELS, INTEREST_LABELS, MAGNITUDE_LABELS, PROPAGATION_LABELS
+from tidegauge.sources.tables import materialize
 
 
 def _classes(preds: DataFrame, gold: DataFrame, keys: list[str], order: str | None, column: str,
@@ -44,7 +46,7 @@ def evaluate_linking(preds: DataFrame, gold: DataFrame, order: str | None = None
 def evaluate_grades(preds: DataFrame, gold: DataFrame, order: str | None = None) -> DataFrame:
     """Spearman and kappa of ordinal grades, both from the one confusion table."""
     joined = join_pred_gold(preds, gold, ["tweet_id", "condition_id"], order, ["final_grade"])
-    counts = confusion_matrix(joined, "gold_final_grade", "predicted_grade")
+    counts = materialize(confusion_matrix(joined, "gold_final_grade", "predicted_grade"))
     rho = spearman(counts, "gold", "pred", degenerate=0.0, weight="n").select("spearman").scalar()
     return quadratic_kappa(counts).withColumn("spearman_rho", rho)
 
@@ -56,11 +58,15 @@ def evaluate_movement(preds: DataFrame, gold: DataFrame, order: str | None = Non
     joined = join_pred_gold(preds, gold, keys, order, ["delta_2h"])
     pairs = joined.groupBy(F.col("gold_delta_2h").alias("g"), F.col("delta_2h").alias("p")).agg(
         F.count(F.lit(1)).alias("w"))
-    return movement_scores(pairs)
+    return movement_scores(materialize(pairs))
 
 
 def movement_scores(pairs: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """All three movement metrics from counts ``w`` of distinct (gold, predicted) deltas."""
+    """All three movement metrics from counts ``w`` of distinct (gold, predicted) deltas.
+
+    The counts are read several times, so a caller whose counts come from a
+    costly join writes them first.
+    """
     hit = direction(F.col("g")) == direction(F.col("p"))
     acc = pairs.groupBy(*scope).agg(
         F.coalesce(F.sum("w"), F.lit(0)).alias("n"),
@@ -93,7 +99,7 @@ def evaluate_impact(preds: DataFrame, gold: DataFrame, order: str | None = None,
         parts.append(F.struct(F.lit(side).alias("side"), real.alias("real"),
                               F.col(side).cast("double").alias("forecast")))
     long = joined.select(F.inline(F.array(*parts))).where("real IS NOT NULL AND forecast IS NOT NULL")
-    rho = spearman(long, "real", "forecast", ["side"], degenerate=0.0)
+    rho = spearman(long, "real", "forecast", ["side"], degenerate=0.0, cut=True)
     pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
     out = []
     for side in sides:
