@@ -4,8 +4,8 @@ import pytest
 from compare import connect, differences
 
 import __spark_entry__ as entry
+from tidegauge.catalog.all import ORACLES, QUERIES
 
-ORACLES = entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +20,7 @@ def test_matches_sql(name, spark, data, con):
 
 
 def test_every_query_without_sql_is_a_model():
-    rest = set(entry.queries()) - set(ORACLES)
+    rest = set(QUERIES) - set(ORACLES)
     assert all(n.startswith("ml_") or n == "top_importances" for n in rest), rest
 
 

@@ -64,7 +64,13 @@ def build_session(app: str = "tidegauge", master: str | None = None,
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests on one machine) a fresh temporary
-    folder stands in for it.
+    Only on a local master, where the one process sees every path, a fresh
+    temporary folder stands in for an absent setting. On a cluster that raises.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidegauge-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
+    return tempfile.mkdtemp(prefix="tidegauge-")
