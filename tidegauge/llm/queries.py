@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import pii, quality_rules
+from tidegauge.llm import exact_dedup, pii, quality_rules, sharding, simhash
 from tidegauge.llm.sql import ORACLES as ORACLES
 from tidegauge.session import configure
 
@@ -45,3 +45,25 @@ def pii_query(spark, table):
     counts = [count(rank) for rank in range(4)]
     return found.select("doc_id", *counts, F.sha2(pii.span_text(F.col("base")).cast("binary"), 256)
                         .alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
+@query("op6_exact_dedup")
+def exact_dedup_query(spark, table):
+    """The document that stays of each text, for every document."""
+    return exact_dedup.mark_duplicates(table("documents")).select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op7_sharding")
+def sharding_query(spark, table):
+    """Shard and place of every document, sizes near equal."""
+    return sharding.shard_records(table("documents"), shards=8).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+
+
+@query("op9_simhash")
+def simhash_query(spark, table):
+    """Fingerprint and component of every document."""
+    found = simhash.near_duplicates(table("documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -31,3 +31,11 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
   NOT (n_words < 50 OR 100 * n_repeat > 50 * n_words) AND lost <= 0.5 * n_words AS kept,
   CAST(lost AS BIGINT) AS lost_words
 FROM a"""
+
+
+ORACLES["op6_exact_dedup"] = """
+WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents),
+g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
+FROM d JOIN g USING (text_sha256)"""
