@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import exact_dedup, pii, quality_rules, sharding, simhash
+from tidegauge.llm import exact_dedup, pii, quality_model, quality_rules, sharding, simhash, toxicity
 from tidegauge.llm.sql import ORACLES as ORACLES
 from tidegauge.session import configure
 
@@ -67,3 +67,19 @@ def simhash_query(spark, table):
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table("documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op2_quality_classifier")
+def quality_classifier_query(spark, table):
+    """Quality score of every document, learnt outside the held-out fold."""
+    model = quality_model.learn(table("documents"), table("labels"))
+    return quality_model.score_documents(table("documents").select("doc_id", "text"), model).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
+@query("op8_toxicity")
+def toxicity_query(spark, table):
+    """Toxicity score of every document, learnt outside the held-out fold."""
+    model = toxicity.learn(table("documents"), table("labels"))
+    return toxicity.score_documents(table("documents").select("doc_id", "text"), model).select(
+        "doc_id", "held_out", "score", "predicted")
