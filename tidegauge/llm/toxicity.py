@@ -14,7 +14,7 @@ from tidegauge.llm.labelled import training_rows
 #: Learning rows; only their chosen features reach the driver.
 MAX_TRAINING_ROWS = 20_000
 THRESHOLD = 0.7
-SIZES = (3, 4, 5)
+SIZES = (3, 4, 5, 6)
 BITS = 20
 FEATURES = 1 << 13
 _STEP, _MIX = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
@@ -63,25 +63,27 @@ def fit_linear(rows: np.ndarray, features: np.ndarray, y: np.ndarray, ratio: np.
                rounds: int = 300) -> tuple[np.ndarray, float]:
     """Logistic regression on presence times ratio by accelerated gradient descent.
 
-    ``rows`` and ``features`` list the non-zero cells. Returns weights per
+    ``rows`` and ``features`` list the non-zero cells. Both classes weigh the
+    same in total, so the rare one is not talked down. Returns weights per
     feature, the ratio included, and the bias.
     """
     n, k = len(y), len(ratio)
+    share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max(n - y.sum(), 1))
     values = ratio[features]
     norms = np.bincount(rows, values ** 2, n) + 1
     step = 1 / (0.25 * norms.mean() + ridge)
-    w, b = np.zeros(k), float(np.log(max(y.mean(), 1e-3) / max(1 - y.mean(), 1e-3)))
+    w, b = np.zeros(k), 0.0
     vw, vb, momentum = w.copy(), b, 1.0
     previous = np.inf
     for _ in range(rounds):
         z = np.bincount(rows, vw[features] * values, n) + vb
-        loss = np.mean(np.logaddexp(0, z) - y * z) + ridge / 2 * vw @ vw
+        loss = share @ (np.logaddexp(0, z) - y * z) + ridge / 2 * vw @ vw
         if loss > previous:
             step, momentum, vw, vb = step / 2, 1.0, w.copy(), b
             previous = np.inf
             continue
         previous = loss
-        e = (1 / (1 + np.exp(-z)) - y) / n
+        e = (1 / (1 + np.exp(-z)) - y) * share
         nw = vw - step * (np.bincount(features, e[rows] * values, k) + ridge * vw)
         nb = vb - step * e.sum()
         after = (1 + np.sqrt(1 + 4 * momentum ** 2)) / 2
