@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidegauge.session import shared_folder, ship_package
 
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
 #: Words are maximal runs of anything but space, tab, line feed, vertical tab, form feed, return.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -61,6 +63,11 @@ def free_name(df: DataFrame, name: str) -> str:
 
 
 def on_workers(spark: SparkSession) -> SparkSession:
-    """Make this package importable in Python tasks."""
+    """Make this package importable in Python tasks, and keep their batches small.
+
+    Texts can be long, so a batch holds at most ``BATCH_ROWS`` rows and about ``BATCH_BYTES``.
+    """
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import exact_dedup, pii, quality_model, quality_rules, sharding, simhash, toxicity
+from tidegauge.llm import exact_dedup, packing, pii, quality_model, quality_rules, sharding, simhash, toxicity
 from tidegauge.llm.sql import ORACLES as ORACLES
 from tidegauge.session import configure
 
@@ -83,3 +83,9 @@ def toxicity_query(spark, table):
     model = toxicity.learn(table("documents"), table("labels"))
     return toxicity.score_documents(table("documents").select("doc_id", "text"), model).select(
         "doc_id", "held_out", "score", "predicted")
+
+
+@query("op10_packing")
+def packing_query(spark, table):
+    """Every piece of every document in a sequence of 4096 ids."""
+    return packing.pack(table("documents"))
