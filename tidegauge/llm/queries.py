@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import exact_dedup, packing, pii, quality_model, quality_rules, sharding, simhash, toxicity
+from tidegauge.llm import exact_dedup, packing, pii, quality_model, quality_rules, sharding, simhash, toxicity, warc
 from tidegauge.llm.sql import ORACLES as ORACLES
 from tidegauge.session import configure
 
@@ -89,3 +89,9 @@ def toxicity_query(spark, table):
 def packing_query(spark, table):
     """Every piece of every document in a sequence of 4096 ids."""
     return packing.pack(table("documents"))
+
+
+@query("op3_warc")
+def warc_query(spark, table):
+    """Pages written to ZIP-packaged archives and read back from them."""
+    return warc.archived(table("pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

@@ -39,3 +39,14 @@ WITH d AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOP
 g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256
 FROM d JOIN g USING (text_sha256)"""
+
+ORACLES["op3_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+f AS (SELECT s, min(page_id) AS lowest FROM p GROUP BY s)
+SELECT p.page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+    (('0x' || substr(s, CAST(i // 4 * 5 + 1 AS INT), 5))::BIGINT >> CAST(15 - i % 4 * 5 AS INT)) & 31 AS INT) + 1, 1)),
+    lambda a, b: a || b) AS payload_digest,
+  CASE WHEN page_id = lowest THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> lowest THEN lowest END AS refers_to
+FROM p JOIN f USING (s)"""
