@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import exact_dedup, packing, pii, quality_model, quality_rules, sharding, simhash, toxicity, warc
+from tidegauge.llm import exact_dedup, packing, pieces, pii, quality_model, quality_rules, sharding, simhash, toxicity, warc
 from tidegauge.llm.sql import ORACLES as ORACLES
 from tidegauge.session import configure
 
@@ -95,3 +95,9 @@ def packing_query(spark, table):
 def warc_query(spark, table):
     """Pages written to ZIP-packaged archives and read back from them."""
     return warc.archived(table("pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_sentencepiece")
+def sentencepiece_query(spark, table):
+    """Ids, score and round trip of every document."""
+    return pieces.encode_documents(table("documents"))
