@@ -1,5 +1,61 @@
-STAGES = []
+"""From raw documents to packed sequences: quality, exact and near duplicates, personal data, packing."""
 
+from __future__ import annotations
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidegauge.llm import exact_dedup, packing, pii, quality_model, simhash
+from tidegauge.llm.common import write_once
+from tidegauge.session import configure
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from the labelled ones."""
+    return quality_model.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, case of A to Z aside."""
+    return exact_dedup.distinct_documents(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return simhash.one_of_each(docs)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with masks for personal data and for terms that disclose it; ``n_chars`` follows the new text."""
+    found = pii.sanitise(docs)
+    changed = {"text": F.when(F.col("text").isNotNull(), F.col("sanitised_text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("sanitised_text").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 4096 ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("pii", mask_personal_data),
+    ("packing", pack_sequences),
+]
+
+#: Scores, fingerprints and tokens are beyond SQL; tests hold each stage against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each result but the last is written before the next reads it."""
+    configure(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = write_once(docs, name)
+    return docs
