@@ -28,6 +28,7 @@ from tidegauge.llm.components import components
 SHINGLE = 4
 DISTANCE = 4
 SEED = 42
+BITMAP = 24
 _GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 _MASK = (1 << 23) - 1
 _CHUNK = 1 << 16
@@ -135,16 +136,41 @@ def candidate_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(at)
 
 
-def _exploded(prints: DataFrame) -> DataFrame:
+def _exploded(prints: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """Keys of each fingerprint; with a bitmap, only those whose bit is set.
+
+    One row becomes about a hundred, so rows are dealt out before that.
+    """
     def run(batches):
         for b in batches:
             values = b["fp"].to_numpy()
             for i in range(0, len(values), 4096):
                 part = values[i:i + 4096]
                 keys, at = candidate_keys(part)
+                if wanted is not None:
+                    u = keys.view(np.uint64)
+                    bit = (u ^ u >> np.uint64(24) ^ u >> np.uint64(48)) & np.uint64((1 << BITMAP) - 1)
+                    kept = (wanted[bit >> np.uint64(6)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    keys, at = keys[kept], at[kept]
                 yield pd.DataFrame({"key": keys, "fp": part[at]})
 
-    return prints.select("fp").mapInPandas(run, "key long, fp long")
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return prints.select("fp").repartition(tasks).mapInPandas(run, "key long, fp long")
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bit per folded key: ``2 ** BITMAP`` bits whatever the number of keys.
+
+    It only spares the shuffle of keys that are not there; the join decides.
+    """
+    k = F.col("key")
+    bit = k.bitwiseXOR(F.shiftrightunsigned(k, 24)).bitwiseXOR(F.shiftrightunsigned(k, 48)).bitwiseAND(
+        F.lit((1 << BITMAP) - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    words = keys.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
+    out = np.zeros(1 << (BITMAP - 6), np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint64)
 
 
 def _near(x: str, y: str):
@@ -166,7 +192,7 @@ def linked_fingerprints(prints: DataFrame) -> DataFrame:
     shared = write_once(keys.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count(F.lit(1)).alias("n"))
                         .where("n > 1"), "keys")
     larger = write_once(shared.where("n > 2").drop("n"), "large-keys")
-    members = write_once(keys.join(larger, "key"), "members")
+    members = write_once(_exploded(prints, _bitmap(larger)).join(larger, "key"), "members")
     edges = (shared.where(_near("lo", "hi")).select(F.col("lo").alias("a"), F.col("hi").alias("b"))
              .union(members.where(_near("fp", "lo")).select("lo", "fp"))
              .union(members.where(_near("fp", "hi")).select("fp", "hi")))
