@@ -141,3 +141,36 @@ def test_confounded_null_rule(spark):
 def test_missing_columns_raise(spark):
     with pytest.raises(ValueError, match="missing columns"):
         W.require_columns(spark.range(1), ["id", "close"])
+
+
+def test_absent_class_and_silent_scope_score_zero(spark):
+    from tidegauge.operators import metrics as M
+
+    counts = spark.createDataFrame([("s", "a", "a", 3), ("t", "a", "b", 2)], "scope string, gold string, pred string, n bigint")
+    f1 = {r.scope: (r.support, r.predicted, r.f1) for r in M.class_f1(counts, "z", ["scope"]).collect()}
+    assert f1 == {"s": (0, 0, 0.0), "t": (0, 0, 0.0)}
+    precision = {r.scope: (r.predicted, r.class_precision) for r in M.class_precision(counts, "b", ["scope"]).collect()}
+    assert precision == {"s": (0, 0.0), "t": (2, 0.0)}
+
+
+def test_null_group_is_not_the_total(spark):
+    from tidegauge.operators import metrics as M
+
+    rows = spark.createDataFrame([("a", 1.0, 2.0), (None, 1.0, 4.0)], "g string, x double, y double")
+    got = {r.g: (r.n, r.mae) for r in M.regression_error(rows, "x", "y", "g").collect()}
+    assert got == {"a": (1, 1.0), None: (1, 3.0), "all": (2, 2.0)}
+
+
+def test_null_labels_are_never_drawn(spark):
+    from tidegauge.operators.baselines import random_prior_draws
+
+    rows = spark.createDataFrame([(i, "a" if i % 2 else None) for i in range(40)], "k int, label string")
+    assert random_prior_draws(rows, "label", ["k"]).where("pred is null or pred <> 'a'").count() == 0
+
+
+def test_counts_stay_integers_in_json(spark):
+    from tidegauge.plans.evaluate import metrics_json
+
+    rows = spark.createDataFrame([("t", "n", 15000.0), ("t", "n_x", 2.0), ("t", "f1", 1.0), ("t", "rho", None)],
+                                 "task string, metric string, value double")
+    assert metrics_json(rows).first().record == '{"f1":1.0,"n":15000,"n_x":2,"rho":null}'

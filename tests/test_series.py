@@ -165,3 +165,16 @@ def test_crossing_task_joins_batches(spark):
         hits = [micro(t) for m, t, p, _, _ in ticks
                 if m == market and t0 < t <= t0 + dt.timedelta(hours=2) and not 0.3 <= p <= 0.7]
         assert got.get((market, micro(t0))) == (min(hits) if hits else None)
+
+
+def test_market_in_two_groups_and_nan_ticks(spark):
+    import datetime as dt
+
+    t0 = dt.datetime(2024, 1, 2)
+    posts = spark.createDataFrame([(1, "a", t0)], "tweet_id int, condition_id string, post_time timestamp_ntz")
+    groups = spark.createDataFrame([("a", "g"), ("b", "g"), ("a", "h"), ("c", "h")], "condition_id string, event_group_id string")
+    flat = [(m, t0 + dt.timedelta(minutes=i), 0.5, i) for m in "abc" for i in range(-60, 60)]
+    ticks = spark.createDataFrame([*flat, ("b", t0 + dt.timedelta(minutes=5), float("nan"), 999)],
+                                  "condition_id string, ts timestamp_ntz, close_price double, seq int")
+    rows = S.sibling_moves(posts, ticks, groups).collect()
+    assert sorted((r.event_group_id, r.sibling_count, r.moved_sibling_count) for r in rows) == [("g", 1, 0), ("h", 1, 0)]

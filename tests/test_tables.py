@@ -154,10 +154,57 @@ def test_horizon_columns_flat_value_wins(spark):
     assert (got[1].price_impact_15m, got[1].price_impact_2h, got[1].volume_multiplier_2h) == (None, None, None)
 
 
-def test_class_tables_are_checked_before_broadcast(spark):
-    from tidegauge.operators.ranking import checked_broadcast
+def test_many_labels_split_and_weigh(spark):
+    """More labels than any broadcast bound would like."""
+    rows = spark.range(40_000).select(F.col("id").alias("k"), (F.col("id") % 20_000).cast("string").alias("label"))
+    split = S.stratified_split(rows, "label", ["k"])
+    assert split.where("split = 'test'").count() == 8000 and split.count() == 40_000
+    weights = R.balanced_weights(rows, "label")
+    assert weights.count() == 40_000 and weights.where("abs(weight - 1) > 1e-12").count() == 0
+
+
+def test_positional_split_uses_every_order_column(spark):
+    rows = spark.createDataFrame([(i // 5, f"c{i % 5}") for i in range(10)], "tweet_id bigint, condition_id string")
+    got = S.positional_split(rows.repartition(4), ["tweet_id", "condition_id"])
+    assert sorted((r.tweet_id, r.condition_id) for r in got.where("split = 'test'").collect()) == [(1, "c3"), (1, "c4")]
+    assert S.positional_split(rows, ["condition_id", "tweet_id"]).where("split = 'test'").count() == 2
+    text = S.positional_split(rows.where("tweet_id = 1"), "condition_id").where("split = 'test'").collect()
+    assert [r.condition_id for r in text] == ["c4"]
+
+
+def test_repeated_gold_without_order_fails(spark):
+    gold = spark.createDataFrame([(1, "a"), (1, "b")], "k int, label string")
+    preds = spark.createDataFrame([(1, "b")], "k int, label string")
+    with pytest.raises(Exception, match="repeated key"):
+        J.join_pred_gold(preds, gold, ["k"]).collect()
+
+
+def test_null_sufficiency_flag_keeps_rows(spark):
+    rows = spark.createDataFrame([(1, None), (2, True), (3, False)], "k int, insufficient_data_flag boolean")
+    assert sorted(r.k for r in R.sufficient_data(rows).collect()) == [1, 3]
+    assert [r.k for r in R.sufficient_data(rows, null_as=True).collect()] == [3]
+
+
+def test_null_and_shifted_keys_hash_apart(spark):
+    from tidegauge.functions.hashing import hash_key
+
+    rows = spark.createDataFrame([("a", None), (None, "a")], "x string, y string")
+    assert rows.select(hash_key(1, F.col("x"), F.col("y"))).distinct().count() == 2
+
+
+def test_linking_gold_without_flags(spark):
+    from tidegauge.plans.evaluate import evaluate_linking
+
+    schema = "tweet_id bigint, market_id string, gold boolean, is_gold boolean, seq int"
+    preds = spark.createDataFrame([(1, ["a", "b"]), (2, ["c"])], "tweet_id bigint, ranked_market_ids array<string>")
+    for rows in ([(1, "a", None, None, 2), (1, "b", None, None, 1), (2, "d", None, None, 1)],
+                 [(1, "a", None, True, 1), (1, "b", None, None, 2), (2, "c", None, False, 3), (2, "d", None, None, 1)]):
+        got = evaluate_linking(preds, spark.createDataFrame(rows, schema), "seq").first()
+        assert (got.n, got.acc_at_1, got.mrr) == (2, 0.5, 0.5)
+
 
-    classes = spark.createDataFrame([(i,) for i in range(5)], "k int")
-    assert spark.range(5).join(checked_broadcast(classes, 5), F.col("id") == F.col("k")).count() == 5
-    with pytest.raises(Exception, match="not a class column"):
-        spark.range(5).join(checked_broadcast(classes, 4), F.col("id") == F.col("k")).collect()
+def test_yes_ticks_carry_volume_and_order(spark):
+    ticks = spark.createDataFrame([("c", "YES", 1000, 0.5, None, 7), ("c", "no", 1000, 0.5, 1.0, 8)],
+                                  "condition_id string, side string, timestamp bigint, close double, volume double, seq int")
+    row, = J.yes_ticks(ticks).collect()
+    assert (row.close_price, row.volume, row.seq) == (0.5, None, 7)

@@ -216,14 +216,14 @@ t AS (SELECT doc_id, len(w) AS len, unnest(w) AS term FROM d),
 f AS (SELECT doc_id, len, term, count(*) AS tf FROM t GROUP BY ALL),
 g AS (SELECT term, count(*) AS df FROM f GROUP BY 1),
 z AS (SELECT count(*) AS n, avg(len(w)) AS avg_len FROM d),
-s AS (SELECT q.query_id, f.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
-    / (tf + 1.2 * (1 - 0.75 + 0.75 * f.len / avg_len))), 6) AS score
+s AS (SELECT q.query_id, f.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2
+    / (tf + 1.2 * (1 - 0.75 + 0.75 * f.len / avg_len)) ORDER BY q.term) AS score
   FROM q JOIN f ON q.term = f.term JOIN g ON g.term = q.term, z GROUP BY ALL)
-SELECT query_id, doc_id, score, CAST(rn AS INT) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY query_id
-  ORDER BY score DESC, doc_id) AS rn FROM s) WHERE rn <= 10""")
+SELECT query_id, doc_id, round(score, 6) AS score, CAST(rn AS INT) AS rn FROM (SELECT *, row_number() OVER (
+  PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn FROM s) WHERE rn <= 10""")
 def bm25_topk(v):
     queries = v.table("benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return X.bm25_topk(queries, v.table("documents").select("doc_id", "text"), 10)
+    return X.bm25_topk(queries, v.table("documents").select("doc_id", "text"), 10).withColumn("score", F.round("score", 6))
 
 
 # --------------------------------------------------------------------------- evaluators
@@ -346,14 +346,17 @@ def eval_t6(v):
     return out.withColumn("macro_f1", F.round("macro_f1", 8))
 
 
+def _t7(v):
+    parity = F.when(F.col("k") % 2 == 0, "even").otherwise("odd").alias("condition_id")
+    gold = v.gold3().select(F.col("k").alias("tweet_id"), parity, F.col("label").alias("decay_class"))
+    return v.pred3().select(F.col("k").alias("tweet_id"), parity, "label"), gold
+
+
 @query("eval_t7", f"""
-WITH j AS (SELECT gold, pred FROM v_both3 WHERE k % 2 = 0), {_F1.format(k=3)}
+WITH j AS (SELECT gold, pred FROM v_both3), {_F1.format(k=3)}
 SELECT count(*) AS n, round((SELECT f1 FROM m), 8) AS macro_f1 FROM j""")
 def eval_t7(v):
-    gold = v.gold3().select(F.col("k").alias("tweet_id"), F.lit("even").alias("condition_id"),
-                            F.col("label").alias("decay_class"))
-    preds = v.pred3().select(F.col("k").alias("tweet_id"),
-                             F.when(F.col("k") % 2 == 0, "even").otherwise("odd").alias("condition_id"), "label")
+    preds, gold = _t7(v)
     return E.evaluate_decay(preds, gold, labels=["F", "O", "P"]).withColumn("macro_f1", F.round("macro_f1", 8))
 
 

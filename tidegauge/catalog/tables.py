@@ -173,7 +173,7 @@ def ingest_new_files(v):
 @query("metrics_json", """
 WITH j AS (SELECT CASE label WHEN 'no_effect' THEN 'no_cross_market_effect' ELSE label END AS gold FROM v_spread),
 t AS (SELECT count(*) AS n, count(*) FILTER (gold = 'primary_mover') AS tp FROM j)
-SELECT 't6' AS task, concat('{"macro_f1":', round(2.0 * tp / (tp + n) / 3, 4), ',"n":', CAST(n AS DOUBLE), '}')
+SELECT 't6' AS task, concat('{"macro_f1":', round(2.0 * tp / (tp + n) / 3, 4), ',"n":', n, '}')
   AS record FROM t""")
 def metrics_json_query(v):
     preds = v.spread().select("tweet_id", F.lit("primary_mover").alias("label"))
@@ -302,13 +302,18 @@ def flatten_horizons(v):
 
 
 @query("horizon_targets", """
-SELECT tweet_id, condition_id,
-  TRY_CAST(json_extract(TRY_CAST(price_impact_json AS JSON), '$."15m"') AS DOUBLE) AS price_impact_15m,
-  TRY_CAST(json_extract(TRY_CAST(price_impact_json AS JSON), '$."2h"') AS DOUBLE) AS price_impact_2h,
-  CAST(NULL AS DOUBLE) AS price_impact_6h FROM v_horizons""")
+SELECT tweet_id, condition_id, """ + ", ".join(
+    f"TRY_CAST(json_extract(TRY_CAST({source} AS JSON), '$.\"{h}\"') AS DOUBLE) AS {metric}_{h}"
+    for metric, source in (("price_impact", "price_impact_json"), ("volume_multiplier", "volume_json"))
+    for h in ("15m", "30m", "1h", "2h", "6h")) + """
+FROM (SELECT *, concat('{"30m":', condition_id + 0.5, ',"1h":', condition_id, ',"6h":', condition_id * 2, '}') AS volume_json
+  FROM v_horizons)""")
 def horizon_targets(v):
-    return R.horizon_columns(v.horizons(), ["price_impact"]).select(
-        "tweet_id", "condition_id", "price_impact_15m", "price_impact_2h", "price_impact_6h")
+    n = F.col("condition_id")
+    volume = F.concat(F.lit('{"30m":'), (n + 0.5).cast("string"), F.lit(',"1h":'), n.cast("string"), F.lit(',"6h":'),
+                      (n * 2).cast("string"), F.lit("}"))
+    return R.horizon_columns(v.horizons().withColumn("volume_multiplier_json", volume)).drop(
+        "price_impact_json", "volume_multiplier_json")
 
 
 @query("seeded_sample", """

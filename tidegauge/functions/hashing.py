@@ -13,7 +13,8 @@ PREFIX_CHARS = 3  # 16**3 = 4096 evenly filled hash ranges
 
 def hash_key(seed: int | Column, *keys: Column) -> Column:
     first = F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string")
-    return F.md5(F.concat_ws("|", first, *[k.cast("string") for k in keys]))
+    marked = [F.coalesce(k.cast("string"), F.lit("\0")) for k in keys]  # concat_ws would skip a null
+    return F.md5(F.concat_ws("|", first, *marked))
 
 
 def hash_range(hashed: Column) -> Column:

@@ -57,9 +57,10 @@ def random_prior_draws(df: DataFrame, label: str, keys: Sequence[str], scope: Se
     """Draw a label per (seed, row) from the class shares.
 
     The uniform comes from a hash of seed and key, so a rerun draws the same
-    labels. The cumulative shares are one small array per scope.
+    labels. The cumulative shares are one small array per scope; null labels are
+    not drawn.
     """
-    counts = df.groupBy(*scope, label).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(label).isNotNull()).groupBy(*scope, label).agg(F.count(F.lit(1)).alias("n"))
     by_label = Window.partitionBy(*scope).orderBy(label)
     upto = F.sum("n").over(by_label.rowsBetween(Window.unboundedPreceding, 0))
     shares = counts.select(*scope, F.struct((upto / F.sum("n").over(Window.partitionBy(*scope)))

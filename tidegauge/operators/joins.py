@@ -18,8 +18,8 @@ def join_pred_gold(preds: DataFrame, gold: DataFrame, keys: Sequence[str], order
                    gold_columns: Sequence[str] = ("label",)) -> DataFrame:
     """Inner join of predictions with gold on key text.
 
-    Gold is reduced to its last row per key by ``order`` (without one its keys
-    must be unique); every prediction row counts. Gold value columns come out as ``gold_<name>``.
+    Gold is reduced to its last row per key by ``order``; without one its keys
+    must be unique, and a repeated key fails the query. Every prediction row counts. Gold value columns come out as ``gold_<name>``.
     """
     def keyed(df: DataFrame) -> DataFrame:
         return df.withColumns({k: F.col(k).cast("string") for k in keys})
@@ -28,6 +28,9 @@ def join_pred_gold(preds: DataFrame, gold: DataFrame, keys: Sequence[str], order
     labels = keyed(gold.select(*keys, *gold_columns, *extra))
     if order:
         labels = last_per_key(labels, keys, order)
+    else:
+        labels = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in gold_columns])
+        labels = labels.where(F.assert_true(F.col("__n") == 1, F.lit("gold has a repeated key; name an order")).isNull())
     labels = labels.select(*keys, *[F.col(c).alias(f"gold_{c}") for c in gold_columns])
     return keyed(preds).join(labels, list(keys))
 
@@ -49,12 +52,18 @@ def post_times(posts: DataFrame, wanted: DataFrame, order: str) -> DataFrame:
             .where("post_time IS NOT NULL"))
 
 
-def yes_ticks(ticks: DataFrame) -> DataFrame:
-    """Ticks of the ``yes`` side with a UTC time and a numeric close."""
+def yes_ticks(ticks: DataFrame, volume: str = "volume", order: str = "seq") -> DataFrame:
+    """Ticks of the ``yes`` side with a UTC time and a numeric close.
+
+    Where the table has them, ``volume`` and the ``order`` of ticks of one
+    instant come along; they may be null.
+    """
+    more = ([try_double(F.col(volume).cast("string")).alias("volume")] if volume in ticks.columns else []) + (
+        [F.col(order)] if order in ticks.columns else [])
     return (ticks.where(F.lower(F.trim("side")) == "yes")
             .select("condition_id", epoch_ms_to_timestamp(F.col("timestamp")).alias("ts"),
-                    try_double(F.col("close").cast("string")).alias("close_price"))
-            .dropna())
+                    try_double(F.col("close").cast("string")).alias("close_price"), *more)
+            .dropna(subset=["condition_id", "ts", "close_price"]))
 
 
 def with_post_time(labels: DataFrame, times: DataFrame, fallback: str = "created_at",

@@ -110,17 +110,23 @@ def quadratic_kappa(confusion: DataFrame, scope: Sequence[str] = ()) -> DataFram
 
 def class_precision(confusion: DataFrame, label, scope: Sequence[str] = ()) -> DataFrame:
     """Precision of one class, e.g. the ``resolving`` grade."""
-    chosen = confusion.where(F.col("pred") == F.lit(label))
-    hits = F.sum(F.when(F.col("gold") == F.col("pred"), F.col("n")).otherwise(0))
-    return chosen.groupBy(*scope).agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("predicted"),
-        F.coalesce(F.try_divide(hits, F.sum("n")), F.lit(0.0)).alias("class_precision"))
+    chosen = F.when(F.col("pred") == F.lit(label), F.col("n")).otherwise(0)
+    hits = F.sum(F.when(F.col("gold") == F.col("pred"), chosen).otherwise(0))
+    return confusion.groupBy(*scope).agg(
+        F.coalesce(F.sum(chosen), F.lit(0)).alias("predicted"),
+        F.coalesce(F.try_divide(hits, F.sum(chosen)), F.lit(0.0)).alias("class_precision"))
 
 
 def class_f1(confusion: DataFrame, label, scope: Sequence[str] = ()) -> DataFrame:
-    """F1 of one class, e.g. ``none`` among top-1 predictions."""
-    return (class_scores(confusion, scope).where(F.col("label") == F.lit(label))
-            .select(*scope, "label", "support", "predicted", "tp", "f1"))
+    """F1 of one class, e.g. ``none`` among top-1 predictions; 0.0 where it never occurs."""
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("bigint")
+
+    gold, pred = F.col("gold") == F.lit(label), F.col("pred") == F.lit(label)
+    sums = confusion.groupBy(*scope).agg(total(gold).alias("support"), total(pred).alias("predicted"),
+                                         total(gold & pred).alias("tp"))
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), F.col("support") + F.col("predicted")), F.lit(0.0))
+    return sums.select(*scope, F.lit(label).alias("label"), "support", "predicted", "tp", f1.alias("f1"))
 
 
 def pearson(df: DataFrame, x: str, y: str, scope: Sequence[str] = (),
@@ -191,13 +197,14 @@ def mean_reciprocal_rank(df: DataFrame, ranked: str, gold: str, miss: str = "zer
 
 
 def regression_error(df: DataFrame, gold: str, pred: str, by: str | None = None) -> DataFrame:
-    """MAE and RMSE, with one extra ``all`` row over every group."""
+    """MAE and RMSE, with one extra ``all`` row over every group; a null group keeps its null."""
     error = F.col(gold) - F.col(pred)
     aggs = [F.count(error).alias("n"), F.avg(F.abs(error)).alias("mae"),
             F.sqrt(F.avg(error * error)).alias("rmse")]
     if by is None:
         return df.agg(*aggs)
-    return df.rollup(by).agg(*aggs).withColumn(by, F.coalesce(F.col(by), F.lit("all")))
+    totals = df.rollup(by).agg(F.grouping(by).alias("__all"), *aggs)
+    return totals.withColumn(by, F.when(F.col("__all") == 1, "all").otherwise(F.col(by).cast("string"))).drop("__all")
 
 
 def precision_at_k(df: DataFrame, score: str, is_positive: Column, key: str, k: int = 10) -> DataFrame:

@@ -128,13 +128,6 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
     return found.select(*scope, *out)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """Broadcast a table of classes after a check of its size; a larger one fails the query."""
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    small = F.assert_true(rows <= max_rows, F.lit(f"more than {max_rows} classes; not a class column"))
-    return F.broadcast(df.where(small.isNull()))
-
-
 def top_k(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int,
           out: str = "rn") -> DataFrame:
     """First ``k`` rows per group.

@@ -117,7 +117,7 @@ def words(text: str) -> Column:
     return F.array_remove(F.split(F.lower(F.col(text)), "[^a-z0-9]+"), "")
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, digits: int = 6) -> DataFrame:
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     """Exact BM25 top-k over whole texts: ``query_id, doc_id, score, rn``.
 
     Inputs are ``(query_id, text)`` and ``(doc_id, text)``. Only document terms
@@ -141,7 +141,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, digits: int = 6)
     weight = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + norm)
     vectors = (weighted.withColumn("w", weight).groupBy("doc_id")
                .agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights")))
-    bags = q_terms.groupBy("query_id").agg(F.collect_list("term").alias("terms"))
+    bags = q_terms.groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
 
     parallel = queries.sparkSession.sparkContext.defaultParallelism
     q_blocks = _block_count(queries, 512)
@@ -167,9 +167,9 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, digits: int = 6)
             for term in bag:
                 lo, hi = np.searchsorted(entry, [vocabulary[term], vocabulary[term] + 1])
                 scores[row, column[lo:hi]] += value[lo:hi]
-        return _best_of_block(np.round(scores, digits), q["query_id"].to_numpy(),
+        return _best_of_block(scores, q["query_id"].to_numpy(),
                               d["doc_id"].to_numpy(), k, True)
 
-    return _blocked_top_k(bags, vectors, score, k, q_blocks, d_blocks, digits)
+    return _blocked_top_k(bags, vectors, score, k, q_blocks, d_blocks, None)
 
 

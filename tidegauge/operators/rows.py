@@ -9,8 +9,9 @@ from pyspark.sql import types as T
 
 from tidegauge.functions.labels import lookup
 from tidegauge.functions.text import normalized_id, try_double
-from tidegauge.operators.ranking import checked_broadcast, exact_quantiles
+from tidegauge.operators.ranking import exact_quantiles
 from tidegauge.schemas import IMPACT_HORIZONS, LABEL_ALIASES
+from tidegauge.sources.tables import materialize
 
 
 def require_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -57,10 +58,10 @@ def valid_labels(df: DataFrame, label: str, labels: Sequence[str]) -> DataFrame:
 
 
 def sufficient_data(df: DataFrame, flag: str | None = "insufficient_data_flag",
-                    label: str | None = None, drop_label: str = "insufficient_data") -> DataFrame:
-    """Drop rows flagged as short of data, and optionally that label."""
+                    label: str | None = None, drop_label: str = "insufficient_data", null_as: bool = False) -> DataFrame:
+    """Drop rows flagged as short of data, and optionally that label; a null flag counts as ``null_as``."""
     if flag and flag in df.columns:
-        df = df.where(~F.col(flag))
+        df = df.where(~F.coalesce(F.col(flag), F.lit(null_as)))
     return df if label is None else df.where(F.col(label) != drop_label)
 
 
@@ -189,4 +190,4 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
     everything = Window.partitionBy()
     weights = counts.select(label, (F.sum("__c").over(everything)
                                     / (F.count(F.lit(1)).over(everything) * F.col("__c"))).alias(out))
-    return df.join(checked_broadcast(weights), label)
+    return df.join(materialize(weights), label)

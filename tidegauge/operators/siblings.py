@@ -139,7 +139,7 @@ def first_crossings(anchors: DataFrame, ticks: DataFrame, window_us: int = MOVE_
                       "lower", "upper"))
     # Several ticks of one instant: the lowest and the highest price both count.
     us = micros(F.col("ts"))
-    instants = (ticks.where(F.col(price).isNotNull())
+    instants = (ticks.where(F.col(price).isNotNull() & ~F.isnan(F.col(price).cast("double")))
                 .groupBy(F.col("condition_id").alias("key"), us.alias("us"))
                 .agg(F.min(price).alias("lo"), F.max(price).alias("hi"))
                 .select("key", F.floor(F.col("us") / block_us).alias("block"), "us",
@@ -185,9 +185,9 @@ def sibling_moves(posts: DataFrame, ticks: DataFrame, groups: DataFrame) -> Data
     states = market_states(instants, members, ticks)
     totals = states.groupBy("event_group_id", "post_time").agg(
         F.count(F.lit(1)).alias("__markets"), F.count_if("moved").alias("__moved"))
-    own = states.select("condition_id", "post_time", F.col("moved").alias("__own"))
+    own = states.select("event_group_id", "condition_id", "post_time", F.col("moved").alias("__own"))
     joined = tagged.join(totals, ["event_group_id", "post_time"], "left").join(
-        own, ["condition_id", "post_time"], "left")
+        own, ["event_group_id", "condition_id", "post_time"], "left")
     count = F.coalesce(F.col("__markets") - 1, F.lit(0)).cast("bigint")
     moved = F.coalesce(F.col("__moved") - F.col("__own").cast("bigint"), F.lit(0))
     return joined.withColumns({"sibling_count": count, "moved_sibling_count": moved}).drop(

@@ -6,9 +6,10 @@ get the cut hash. The wide table is then filtered by the cut; it is not
 shuffled. Keys must be unique: copies of one key share a hash and stay on one
 side.
 
-The quota, border and cut tables hold one row per class label. They are
-broadcast behind a check of their size, so that the wide table is not shuffled
-by a handful of labels. Rows without a label go to train and get no fold.
+The cut table holds one row per class label. It is written once, so the planner
+knows its size: below its threshold it is broadcast and the wide table is not
+shuffled, above it both sides are. Rows without a label go to train and get no
+fold.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import types as T
 
 from tidegauge.functions.hashing import hash_key, hash_range
-from tidegauge.operators.ranking import checked_broadcast, cumulative_counts, top_k
+from tidegauge.operators.ranking import cumulative_counts, top_k
+from tidegauge.sources.tables import materialize
 
 
 def _range_offsets(hashed: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -31,12 +34,12 @@ def _range_offsets(hashed: DataFrame, group: Sequence[str]) -> DataFrame:
 
 def _hash_cuts(hashed: DataFrame, group: Sequence[str], quota: DataFrame) -> DataFrame:
     """Per group the hash of the ``quota``-th row in hash order."""
-    offsets = _range_offsets(hashed, group).join(checked_broadcast(quota), group)
+    offsets = _range_offsets(hashed, group).join(quota, group)
     border = offsets.where((F.col("__before") < F.col("quota"))
                            & (F.col("__before") + F.col("__n") >= F.col("quota")))
     border = border.withColumn("__need", F.col("quota") - F.col("__before"))
     wanted = border.select(*group, "__range", "__need")
-    rows = hashed.select(*group, "__range", "__hash").join(checked_broadcast(wanted), [*group, "__range"])
+    rows = hashed.select(*group, "__range", "__hash").join(wanted, [*group, "__range"])
     order = Window.partitionBy(*group, "__range").orderBy("__hash")
     ranked = rows.withColumn("__rn", F.row_number().over(order))
     return ranked.where("__rn = __need").select(*group, F.col("__hash").alias("__cut"))
@@ -61,8 +64,8 @@ def stratified_split(df: DataFrame, label: str, keys: Sequence[str], seed: int =
     """Attach ``split`` (train / test) with the label shares kept."""
     tagged = df.withColumn("__hash", hash_key(seed, *[F.col(k) for k in keys]))
     hashed = tagged.select(label, "__hash", hash_range(F.col("__hash")).alias("__range"))
-    cuts = _hash_cuts(hashed, [label], label_quotas(df, label, test_fraction))
-    marked = tagged.join(checked_broadcast(cuts), [label], "left")
+    cuts = materialize(_hash_cuts(hashed, [label], label_quotas(df, label, test_fraction)))
+    marked = tagged.join(cuts, [label], "left")
     is_test = F.coalesce(F.col("__hash") <= F.col("__cut"), F.lit(False))
     return (marked.withColumn("split", F.when(is_test, "test").otherwise("train"))
             .drop("__hash", "__cut"))
@@ -84,8 +87,12 @@ def holdout_split(df: DataFrame, keys: Sequence[str], seed: int = 42,
     return df.withColumn(out, by_hash)
 
 
-def positional_split(df: DataFrame, order: str, train_fraction: float = 0.8) -> DataFrame:
-    """First ``floor(train_fraction * n)`` rows by a unique order column are train."""
+def positional_split(df: DataFrame, order: str | Sequence[str], train_fraction: float = 0.8) -> DataFrame:
+    """First ``floor(train_fraction * n)`` rows by a unique key of one or more columns are train."""
+    names = [order] if isinstance(order, str) else list(order)
+    if len(names) > 1 or not isinstance(df.schema[names[0]].dataType, T.NumericType):
+        return _split_by_key(df, names, train_fraction)
+    order = names[0]
     counts = cumulative_counts(df, order)
     cut = counts.where(F.col("n_upto") <= F.floor(F.col("n_total") * F.lit(train_fraction)))
     last_train = cut.agg(F.max(order)).scalar()
@@ -93,6 +100,28 @@ def positional_split(df: DataFrame, order: str, train_fraction: float = 0.8) ->
     return df.withColumn("split", F.when(is_train, "train").otherwise("test"))
 
 
+def _split_by_key(df: DataFrame, order: Sequence[str], train_fraction: float) -> DataFrame:
+    """Positional split by a key of any columns, nulls first.
+
+    The keys alone are written in ranges of their order. Counting rows per file
+    finds the range that holds the cut, and only that range is ranked.
+    """
+    keys = materialize(df.select(*order).repartitionByRange(*order))
+    key = F.struct(*order)
+    files = (keys.groupBy(F.input_file_name().alias("__file"))
+             .agg(F.count(F.lit(1)).alias("__n"), F.min(key).alias("__first")))
+    before = Window.orderBy("__first").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    placed = files.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    quota = F.floor(files.agg(F.sum("__n")).scalar() * F.lit(train_fraction))
+    border = placed.where((F.col("__before") < quota) & (F.col("__before") + F.col("__n") >= quota)).select(
+        "__file", (quota - F.col("__before")).alias("__need"))
+    rows = keys.select(key.alias("__key"), F.input_file_name().alias("__file")).join(border, "__file")
+    ranked = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("__file").orderBy("__key")))
+    cut = ranked.where("__rn = __need").agg(F.max("__key")).scalar()
+    is_train = F.coalesce(key <= cut, F.lit(False))
+    return df.withColumn("split", F.when(is_train, "train").otherwise("test"))
+
+
 def stratified_folds(df: DataFrame, label: str | None, keys: Sequence[str], seed: int = 42,
                      folds: int = 5, out: str = "fold") -> DataFrame:
     """Attach a fold number: hash order within the label, dealt round."""

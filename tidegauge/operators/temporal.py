@@ -72,7 +72,7 @@ def instant_ticks(ticks: DataFrame, key: str, time: str, price: str, order: str,
     """One row per (market, instant); at equal time the last tick by ``order`` counts."""
     us, p = F.col("__us"), F.col(price)
     vol = F.col(volume).cast("double") if volume else F.lit(None).cast("double")
-    rows = ticks.where(p.isNotNull() & F.col(time).isNotNull()).select(
+    rows = ticks.where(p.isNotNull() & ~F.isnan(p.cast("double")) & F.col(time).isNotNull()).select(
         F.col(key).alias("__key"), micros(F.col(time)).alias("__us"),
         p.cast("double").alias(price), F.col(order).alias("__order"), vol.alias("__volume"))
     return (rows.groupBy("__key", "__us")

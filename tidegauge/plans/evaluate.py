@@ -33,10 +33,18 @@ def evaluate_interest(preds: DataFrame, gold: DataFrame, order: str | None = Non
 
 
 def evaluate_linking(preds: DataFrame, gold: DataFrame, order: str | None = None) -> DataFrame:
-    """Acc@1 and MRR of ranked market lists; where gold rows carry a flag, it picks the gold row."""
-    flag = next((c for c in ("gold", "is_gold") if c in gold.columns), None)
-    chosen = gold.where(F.col(flag)) if flag else gold
-    joined = join_pred_gold(preds, chosen, ["tweet_id"], order, ["market_id"])
+    """Acc@1 and MRR of ranked market lists.
+
+    Where rows of a post carry a flag (``gold`` or ``is_gold``), it picks the gold
+    row; a post without any flag keeps its last row by ``order``.
+    """
+    flags = [F.col(c) for c in ("gold", "is_gold") if c in gold.columns]
+    if flags:
+        flag = F.coalesce(*flags)
+        gold = gold.where(F.coalesce(flag, F.lit(True)))
+        if order:
+            gold, order = gold.withColumn("__order", F.struct(flag.isNotNull(), order)), "__order"
+    joined = join_pred_gold(preds, gold, ["tweet_id"], order, ["market_id"])
     ranked, right = F.col("ranked_market_ids"), F.col("gold_market_id").cast("string")
     first = F.when(F.get(ranked, F.lit(0)) == right, 1.0).otherwise(0.0)
     return joined.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(first), F.lit(0.0)).alias("acc_at_1"),
@@ -140,7 +148,9 @@ def evaluate_all(pairs: Mapping[str, tuple[DataFrame | None, DataFrame]],
 
 
 def metrics_json(long: DataFrame) -> DataFrame:
-    """One JSON record per task with values rounded to 4 places."""
-    entry = F.struct("metric", F.round("value", 4).alias("value"))
-    return long.groupBy("task").agg(
-        F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("record"))
+    """One JSON record per task: counts (``n``, ``n_...``) as integers, scores rounded to 4 places, null kept."""
+    is_count = F.col("metric").eqNullSafe("n") | F.startswith("metric", F.lit("n_"))
+    number = F.when(is_count, F.col("value").cast("bigint").cast("string")).otherwise(F.round("value", 4).cast("string"))
+    entry = F.concat(F.lit('"'), "metric", F.lit('":'), F.coalesce(number, F.lit("null")))
+    entries = F.array_sort(F.collect_list(entry))
+    return long.groupBy("task").agg(F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}")).alias("record"))

@@ -84,7 +84,7 @@ def load_task(spark: SparkSession, root: str, task: str, split: str | None = Non
         if not order:
             raise ValueError("a raw table needs an order column for its split")
         raw = read_jsonl(spark, f"{root}/{name}.jsonl", schema)
-        table = positional_split(raw, order[0])
+        table = positional_split(raw, order)
     return table if split is None else table.where(F.col("split") == split)
 
 
