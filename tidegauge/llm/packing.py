@@ -9,7 +9,9 @@ documents by their rank within a length.
 
 from __future__ import annotations
 
+import os
 import zlib
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,8 @@ UNIT = 8
 END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 
-_CACHED = 200_000
+_CACHED = 500_000
+_MARKS = ".,;:!?&%$#*|"
 _PART_CHARS = 1 << 20
 _GROUP_ROWS = 100_000
 
@@ -31,29 +34,72 @@ class Encoder:
     """Token ids as little-endian 32-bit bytes, with a bounded memory of encoded words.
 
     The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its pieces between spaces and line feeds.
+    text are those of its pieces between spaces and line feeds. It also parts
+    letters from marks, so new words of plain small letters are encoded together
+    as one text and told apart by the ids that end a word; others one by one.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to other tasks
         self._tokenizer = Tokenizer.from_str(tokenizer_json)
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._known: dict[str, bytes] = {"": b""}
+        self._older: dict[str, bytes] = {}
+
+    def _one_by_one(self, words: list[str]) -> None:
+        for word, e in zip(words, self._tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+            self._known[word] = np.array(e.ids, "<u4").tobytes()
+
+    def _together(self, words: list[str]) -> None:
+        e, = self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
+        ids = np.array(e.ids, "<u4")
+        ends = np.flatnonzero(self._ends[ids]) + 1
+        if len(ends) != len(words):
+            self._one_by_one(words)
+            return
+        flat, at = ids.tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist()):
+            self._known[word] = flat[at:end]
+            at = end
+
+    def _learn(self, words: list[str]) -> None:
+        plain, built, other = set(), [], []
+        for word in words:
+            base = word.rstrip(_MARKS)
+            small = base.lower() if base.isascii() else base
+            if small.isalpha() and small.islower() and (small.isascii() or is_normalized("NFC", small)):
+                plain.add(small)
+                if small != word:
+                    built.append((word, small, word[len(base):]))
+            else:
+                other.append(word)
+        marks = {m for _, _, m in built}
+        self._one_by_one([w for w in other + list(marks) if w not in self._known])
+        fresh = [w for w in plain if w not in self._known]
+        for i in range(0, len(fresh), 2000):
+            self._together(fresh[i:i + 2000])
+        for word, small, mark in built:
+            self._known[word] = self._known[small] + self._known[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*parts) - self._known.keys())
-        if len(self._known) + len(new) > _CACHED:
-            self._known = {"": b""}
-            new = list(set().union(*parts) - self._known.keys())
-        ids = [e.ids for e in self._tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        flat = np.fromiter((i for e in ids for i in e), "<u4").tobytes()
-        at = 0
-        for word, e in zip(new, ids):
-            self._known[word] = flat[at:at + 4 * len(e)]
-            at += 4 * len(e)
-        known = self._known
-        return [b"".join([known[p] for p in words]) for words in parts]
+        if len(self._known) > _CACHED:
+            self._known, self._older = {"": b""}, self._known
+        known, older = self._known, self._older
+        new = []
+        for word in set().union(*parts) - known.keys():
+            found = older.get(word)
+            if found is None:
+                new.append(word)
+            else:
+                known[word] = found
+        if new:
+            self._learn(new)
+        return [b"".join(map(known.__getitem__, words)) for words in parts]
 
 
 _encoders: dict[int, Encoder] = {}
