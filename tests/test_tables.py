@@ -208,3 +208,25 @@ def test_yes_ticks_carry_volume_and_order(spark):
                                   "condition_id string, side string, timestamp bigint, close double, volume double, seq int")
     row, = J.yes_ticks(ticks).collect()
     assert (row.close_price, row.volume, row.seq) == (0.5, None, 7)
+
+
+def test_splits_that_a_task_lacks_raise(spark, tmp_path):
+    (tmp_path / "t2.jsonl").write_text('{"tweet_id": 1, "market_id": "m"}\n')
+    assert IO.load_task(spark, str(tmp_path), "t2", split="test").count() == 1
+    with pytest.raises(ValueError, match="no split"):
+        IO.load_task(spark, str(tmp_path), "t2", split="train")
+
+
+def test_clusters_need_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidegauge.session import shared_folder
+
+    conf = SimpleNamespace(get=lambda name, default=None: default)
+    for master, fails in (("spark://host:7077", True), ("yarn", True), ("local-cluster[2,1,1024]", True), ("local[4]", False)):
+        session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+        if fails:
+            with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+                shared_folder(session)
+        else:
+            assert shared_folder(session)

@@ -253,14 +253,17 @@ p AS (SELECT tweet_id, list(DISTINCT market_id ORDER BY market_id)[1:10] AS rank
 j AS (SELECT p.*, g.market_id, coalesce(list_position(ranked, g.market_id), 0) AS place FROM p JOIN g USING (tweet_id))"""
 
 
+def _ranked_links(v):
+    best = top_k(v.links().select("tweet_id", "market_id").distinct(), ["tweet_id"], [F.col("market_id")], 10)
+    ranked = F.transform(F.sort_array(F.collect_list("market_id")), lambda m: m.cast("string"))
+    return best.groupBy("tweet_id").agg(ranked.alias("ranked_market_ids"))
+
+
 @query("eval_t2", f"""
 WITH {_T2} SELECT count(*) AS n, round(avg(CASE WHEN place = 1 THEN 1.0 ELSE 0 END), 8) AS acc_at_1,
   round(avg(CASE WHEN place > 0 THEN 1.0 / place ELSE 0 END), 8) AS mrr FROM j""")
 def eval_t2(v):
-    best = top_k(v.links().select("tweet_id", "market_id").distinct(), ["tweet_id"], [F.col("market_id")], 10)
-    ranked = F.transform(F.sort_array(F.collect_list("market_id")), lambda m: m.cast("string"))
-    preds = best.groupBy("tweet_id").agg(ranked.alias("ranked_market_ids"))
-    return E.evaluate_linking(preds, v.links(), "seq").withColumns({c: F.round(c, 8) for c in ("acc_at_1", "mrr")})
+    return E.evaluate_linking(_ranked_links(v), v.links(), "seq").withColumns({c: F.round(c, 8) for c in ("acc_at_1", "mrr")})
 
 
 @query("eval_t3", """
@@ -328,6 +331,20 @@ rb AS (SELECT rank() OVER (ORDER BY g) + (count(*) OVER (PARTITION BY g) - 1) /
   rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS y FROM b)"""
 
 
+@query("eval_t4_many_markets", """
+WITH j AS (SELECT CASE WHEN l_discount - 0.05 > 0.02 THEN 'up' WHEN l_discount - 0.05 < -0.02 THEN 'down' ELSE 'flat' END AS g,
+  CASE WHEN l_tax - 0.04 > 0.02 THEN 'up' WHEN l_tax - 0.04 < -0.02 THEN 'down' ELSE 'flat' END AS p FROM lineitem)
+SELECT count(*) AS n, round(avg(CASE WHEN g = p THEN 1.0 ELSE 0 END), 8) AS direction_accuracy FROM j""")
+def eval_t4_many_markets(v):
+    """Posts with several markets: both keys join, no row is multiplied."""
+    keys = [F.col("l_orderkey").alias("tweet_id"), F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+            .alias("condition_id")]
+    rows = v.table("lineitem").withColumn("seq", F.col("l_extendedprice"))
+    gold = rows.select(*keys, (F.col("l_discount") - 0.05).alias("delta_2h"))
+    preds = rows.select(*keys, (F.col("l_tax") - 0.04).alias("delta_2h"))
+    return E.evaluate_movement(preds, gold).select("n", F.round("direction_accuracy", 8).alias("direction_accuracy"))
+
+
 @query("eval_t5", f"""
 WITH {_T5_PAIRS}
 SELECT (SELECT count(*) FROM a) AS n_price_impact, (SELECT round(corr(x, y), 8) FROM ra) AS spearman_rho_price_impact,
@@ -361,16 +378,54 @@ def eval_t7(v):
 
 
 @query("eval_all", f"""
-WITH {_T5_PAIRS}, j AS (SELECT gold, pred FROM v_both3), {_F1.format(k=3)}
-SELECT 't6' AS task, 'n' AS metric, CAST(count(*) AS DOUBLE) AS value FROM j
+WITH {_T5_PAIRS}, j AS (SELECT gold, pred FROM v_both3), {_F1.format(k=3)}, {_T2.replace("j AS", "j2 AS")},
+j3 AS (SELECT final_grade AS g, predicted_grade AS p FROM v_grades),
+r3 AS (SELECT g, p, rank() OVER (ORDER BY g) + (count(*) OVER (PARTITION BY g) - 1) / 2.0 AS rg,
+  rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp FROM j3),
+j4 AS (SELECT delta_2h AS g, pred_delta AS p FROM (SELECT tweet_id, arg_max(delta_2h, n) AS delta_2h, any_value(pred_delta) AS pred_delta
+  FROM (SELECT l_orderkey AS tweet_id, l_discount - 0.05 AS delta_2h, l_extendedprice AS n,
+    max(l_tax) OVER (PARTITION BY l_orderkey) - 0.04 AS pred_delta FROM lineitem) GROUP BY 1)),
+r4 AS (SELECT *, rank() OVER (ORDER BY g) + (count(*) OVER (PARTITION BY g) - 1) / 2.0 AS rg,
+  rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS rp,
+  CASE WHEN g > 0.02 THEN 'up' WHEN g < -0.02 THEN 'down' ELSE 'flat' END AS gd,
+  CASE WHEN p > 0.02 THEN 'up' WHEN p < -0.02 THEN 'down' ELSE 'flat' END AS pd,
+  CASE WHEN abs(g) <= 0.02 THEN 'small' WHEN abs(g) <= 0.08 THEN 'medium' ELSE 'large' END AS gm,
+  CASE WHEN abs(p) <= 0.02 THEN 'small' WHEN abs(p) <= 0.08 THEN 'medium' ELSE 'large' END AS pm FROM j4),
+c4 AS (SELECT label, count(*) FILTER (gm = label AND pm = label) AS tp, count(*) FILTER (gm = label) AS support,
+  count(*) FILTER (pm = label) AS predicted FROM r4, (VALUES ('small'), ('medium'), ('large')) l(label) GROUP BY label)
+SELECT 't1' AS task, 'n' AS metric, CAST(count(*) AS DOUBLE) AS value FROM j
+UNION ALL SELECT 't1', 'macro_f1', round(f1, 8) FROM m
+UNION ALL SELECT 't1', 'accuracy', round(avg(CASE WHEN gold = pred THEN 1.0 ELSE 0 END), 8) FROM j
+UNION ALL SELECT 't2', 'n', count(*) FROM j2
+UNION ALL SELECT 't2', 'acc_at_1', round(avg(CASE WHEN place = 1 THEN 1.0 ELSE 0 END), 8) FROM j2
+UNION ALL SELECT 't2', 'mrr', round(avg(CASE WHEN place > 0 THEN 1.0 / place ELSE 0 END), 8) FROM j2
+UNION ALL SELECT 't3', 'n', count(*) FROM r3
+UNION ALL SELECT 't3', 'spearman_rho', round(corr(rg, rp), 8) FROM r3
+UNION ALL SELECT 't3', 'qwk', round(1 - sum((g - p) * (g - p)) / (sum(g * g) + sum(p * p) - 2.0 * sum(g) * sum(p) / count(*)), 8) FROM r3
+UNION ALL SELECT 't4', 'n', count(*) FROM r4
+UNION ALL SELECT 't4', 'direction_accuracy', round(avg(CASE WHEN gd = pd THEN 1.0 ELSE 0 END), 8) FROM r4
+UNION ALL SELECT 't4', 'magnitude_macro_f1', round(avg(CASE WHEN support + predicted = 0 THEN 0 ELSE 2.0 * tp / (support + predicted) END), 8) FROM c4
+UNION ALL SELECT 't4', 'spearman_rho', round(corr(rg, rp), 8) FROM r4
+UNION ALL SELECT 't7', 'n', count(*) FROM j UNION ALL SELECT 't7', 'macro_f1', round(f1, 8) FROM m
+UNION ALL SELECT 't6' AS task, 'n' AS metric, CAST(count(*) AS DOUBLE) AS value FROM j
 UNION ALL SELECT 't6', 'macro_f1', round(f1, 8) FROM m
 UNION ALL SELECT 't5', 'n_price_impact', count(*) FROM a UNION ALL SELECT 't5', 'n_volume_multiplier', count(*) FROM b
 UNION ALL SELECT 't5', 'spearman_rho_price_impact', round(corr(x, y), 8) FROM ra
 UNION ALL SELECT 't5', 'spearman_rho_volume_multiplier', round(corr(x, y), 8) FROM rb""")
 def eval_all(v):
-    out = E.evaluate_all({"t1": (None, v.gold3()), "t5": _t5(v),
-                          "t6": (_as_task(v.pred3(), "tweet_id"), _as_task(v.gold3(), "tweet_id"))},
-                         t6={"labels": ["F", "O", "P"]})
+    """All seven tasks as one table of metrics."""
+    items, three = v.table("lineitem"), {"labels": ["F", "O", "P"]}
+    gold4 = items.select(F.col("l_orderkey").alias("tweet_id"), (F.col("l_discount") - 0.05).alias("delta_2h"),
+                         F.col("l_extendedprice").alias("seq"))
+    preds4 = items.groupBy(F.col("l_orderkey").alias("tweet_id")).agg((F.max("l_tax") - 0.04).alias("delta_2h"))
+    grades = v.grades().select(F.col("k").alias("tweet_id"), (F.col("k") % 7).alias("condition_id"), "final_grade",
+                               "predicted_grade")
+    gold1 = _as_task(v.gold3(), "condition_id").withColumnRenamed("label", "interest_label")
+    out = E.evaluate_all(
+        {"t1": (_as_task(v.pred3(), "condition_id"), gold1), "t2": (_ranked_links(v), v.links()),
+         "t3": (grades.drop("final_grade"), grades.drop("predicted_grade")), "t4": (preds4, gold4), "t5": _t5(v),
+         "t6": (_as_task(v.pred3(), "tweet_id"), _as_task(v.gold3(), "tweet_id")), "t7": _t7(v)},
+        t1=three, t2={"order": "seq"}, t4={"order": "seq"}, t6=three, t7=three)
     return out.withColumn("value", F.round("value", 8))
 
 

@@ -104,4 +104,4 @@ def top_importances(v):
 @query("ml_t5_summary")
 def ml_t5_summary(v):
     data = folded(v, 2).withColumn("price_impact_2h", F.col("l_extendedprice") / 1e5)
-    return R.impact_summary(data, FEATURES, ["price_impact_2h"], "l_returnflag", FLAGS, rounds=3)
+    return R.impact_summary(data, FEATURES, ["price_impact_2h"], "l_returnflag", FLAGS, folds=2, trees=5, rounds=3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T_
 
 from tidegauge.catalog.registry import query
 from tidegauge.functions import labels as L
@@ -10,7 +10,9 @@ from tidegauge.operators import siblings as G
 from tidegauge.operators import temporal as T
 from tidegauge.operators.metrics import regression_error
 from tidegauge.plans import movement as M
-from tidegauge.schemas import HOUR_US, MINUTE_US
+from tidegauge.operators.joins import post_times, yes_ticks
+from tidegauge.schemas import HOUR_US, MINUTE_US, POST_SCHEMA, TICK_SCHEMA
+from tidegauge.sources.tables import read_jsonl, write_jsonl
 
 DAY_US = 24 * HOUR_US
 
@@ -209,6 +211,25 @@ def t4_momentum_report(v):
     return report.withColumns({c: F.round(c, 8) for c in ("accuracy", "macro_f1")})
 
 
+@query("momentum_from_raw", "WITH " + f"{_MOMENTUM}, {_REPORT}".replace("v_ticks", "v_rawticks").replace("v_posts", "v_rawposts"))
+def momentum_from_raw(v):
+    """The flagship from raw files: scan, yes side, post times, as-of prices, report."""
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    ticks, posts, root = v.ticks(), v.posts(), v.scratch()
+    raw = ticks.select("condition_id", F.lit(" Yes").alias("side"), ms("ts").alias("timestamp"),
+                       F.col("close_price").alias("close"), "volume", "seq")
+    other = raw.withColumns({"side": F.lit("no"), "close": 1 - F.col("close")})
+    write_jsonl(raw.unionByName(other), f"{root}/ticks")
+    write_jsonl(posts.select("tweet_id", F.timestamp_millis(ms("post_time")).cast("string").alias("created_at"),
+                             F.lit("text").alias("text")), f"{root}/posts")
+    schema = T_.StructType([*TICK_SCHEMA.fields, T_.StructField("seq", T_.LongType())])
+    labels = posts.select("tweet_id", "condition_id", "confound_flag")
+    times = post_times(read_jsonl(v.spark, f"{root}/posts", POST_SCHEMA), labels, "created_at")
+    report = M.momentum_report(M.momentum_rows(labels.join(times, "tweet_id"),
+                                               yes_ticks(read_jsonl(v.spark, f"{root}/ticks", schema))))
+    return report.withColumns({c: F.round(c, 8) for c in ("accuracy", "macro_f1")})
+
+
 _RANKED = """t AS (SELECT {cols}, tier FROM {src}, (VALUES ('tier1_all'), ('tier2_non_confounded'), ('tier3_active')) x(tier)
   WHERE tier = 'tier1_all' OR (confound_flag = false AND (tier = 'tier2_non_confounded' OR abs(g) > 0.02))),
 k AS (SELECT *, rank() OVER (PARTITION BY tier ORDER BY g) + (count(*) OVER (PARTITION BY tier, g) - 1) / 2.0 AS rg,

@@ -12,8 +12,9 @@ from tidegauge.operators import joins as J
 from tidegauge.operators import rows as R
 from tidegauge.operators import splits as S
 from tidegauge.plans import prepare as P
-from tidegauge.plans.evaluate import evaluate_propagation, long_metrics, metrics_json
-from tidegauge.schemas import struct_of
+from tidegauge.plans.evaluate import evaluate_linking, evaluate_propagation, long_metrics, metrics_json
+from tidegauge.plans.reports import propagation_report
+from tidegauge.schemas import struct_of, PROPAGATION_LABELS
 from tidegauge.sources import tables as IO
 from tidegauge.streaming import results as OUT
 
@@ -106,6 +107,117 @@ def load_task(v):
         "tweet_id", "primary_condition_id", "label", "confound_flag", "insufficient_data_flag", "split")
 
 
+@query("prepare_all", """
+WITH t AS (SELECT 't1' AS task, CASE WHEN c_custkey % 3 = 0 THEN 'test' ELSE 'train' END AS split, c_mktsegment AS label
+  FROM customer UNION ALL SELECT 't3', 'test', CAST(final_grade AS VARCHAR) FROM v_grades),
+c AS (SELECT task, split, label, count(*) AS n FROM t GROUP BY ALL)
+SELECT task, split, CAST(sum(n) AS BIGINT) AS n,
+  concat('{', string_agg(concat('"', label, '":', n), ',' ORDER BY label), '}') AS labels FROM c GROUP BY ALL""")
+def prepare_all(v):
+    """Tasks that bring their own parts, one of them as arrays, with the manifest of what was written."""
+    root = v.scratch()
+    _write_t1(v, root)
+    _write_t3(v, root)
+    return P.prepare_all(v.spark, root, v.scratch(), ["t1", "t3"])
+
+
+def _write_t1(v, root: str) -> None:
+    rows = v.table("customer").select(F.col("c_custkey").alias("condition_id"), F.col("c_mktsegment").alias("interest_label"),
+                                      F.col("c_acctbal").alias("score"))
+    IO.write_jsonl(rows.where("condition_id % 3 = 0"), f"{root}/t1_test.jsonl")
+    IO.write_jsonl(rows.where("condition_id % 3 <> 0"), f"{root}/t1_train.jsonl")
+
+
+def _write_t3(v, root: str) -> None:
+    """A JSON array per thousand grades."""
+    rows = v.grades().select(F.struct(F.col("k").alias("tweet_id"), (F.col("k") % 7).cast("string").alias("condition_id"),
+                                      "final_grade").alias("r"))
+    arrays = rows.groupBy(F.floor(F.col("r.tweet_id") / 1000).alias("part")).agg(F.to_json(F.collect_list("r")).alias("value"))
+    arrays.write.partitionBy("part").text(f"{root}/t3.json")
+
+
+@query("load_task_t1", """
+SELECT CAST(c_custkey AS VARCHAR) AS condition_id, c_mktsegment AS interest_label, c_acctbal AS score,
+  CASE WHEN c_custkey % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM customer""")
+def load_task_t1(v):
+    root = v.scratch()
+    _write_t1(v, root)
+    return IO.load_task(v.spark, root, "t1").select("condition_id", "interest_label", "score", "split")
+
+
+@query("load_task_t2", "SELECT tweet_id, CAST(market_id AS VARCHAR) AS market_id, 'test' AS split FROM v_links")
+def load_task_t2(v):
+    root = v.scratch()
+    IO.write_jsonl(v.links().select("tweet_id", "market_id"), f"{root}/t2.jsonl")
+    return IO.load_task(v.spark, root, "t2").select("tweet_id", "market_id", "split")
+
+
+@query("load_task_t3", """
+SELECT k AS tweet_id, CAST(k % 7 AS VARCHAR) AS condition_id, CAST(final_grade AS INT) AS final_grade, 'test' AS split
+FROM v_grades""")
+def load_task_t3(v):
+    root = v.scratch()
+    _write_t3(v, root)
+    return IO.load_task(v.spark, root, "t3").select("tweet_id", "condition_id", "final_grade", "split")
+
+
+_IMPACT = """SELECT tweet_id, CAST(condition_id AS VARCHAR) AS condition_id,
+  TRY_CAST(json_extract(TRY_CAST(price_impact_json AS JSON), '$."2h"') AS DOUBLE) AS impact_2h,
+  CASE WHEN row_number() OVER (ORDER BY tweet_id, CAST(condition_id AS VARCHAR)) <= floor(count(*) OVER () * 0.8)
+       THEN 'train' ELSE 'test' END AS split FROM v_horizons"""
+
+
+def _impact_task(v, task: str, as_text: bool):
+    """The impact file with maps as JSON text or as objects."""
+    root = v.scratch()
+    rows = v.horizons().withColumn("condition_id", F.col("condition_id").cast("string"))
+    if not as_text:
+        rows = rows.withColumn("price_impact_json", F.from_json("price_impact_json", "map<string,double>"))
+    IO.write_jsonl(rows, f"{root}/t5.jsonl")
+    return IO.load_task(v.spark, root, task, order=["tweet_id", "condition_id"]).select(
+        "tweet_id", "condition_id", F.try_element_at("price_impact_json", F.lit("2h")).alias("impact_2h"), "split")
+
+
+@query("load_task_t5", _IMPACT)
+def load_task_t5(v):
+    return _impact_task(v, "t5", True)
+
+
+@query("load_task_t7", _IMPACT)
+def load_task_t7(v):
+    return _impact_task(v, "t7", False)
+
+
+@query("eval_t2_loaded", """
+WITH g AS (SELECT tweet_id, arg_max(market_id, (gold, seq)) AS gold_id FROM v_links GROUP BY 1 HAVING bool_or(gold)),
+p AS (SELECT tweet_id, min(market_id) AS first_id FROM v_links GROUP BY 1)
+SELECT count(*) AS n, round(avg(CASE WHEN gold_id = first_id THEN 1.0 ELSE 0 END), 8) AS acc_at_1,
+  round(avg(CASE WHEN gold_id = first_id THEN 1.0 ELSE 0 END), 8) AS mrr FROM g JOIN p USING (tweet_id)""")
+def eval_t2_loaded(v):
+    """Gold read from its file, where only one of the two flags is filled, then scored."""
+    root = v.scratch()
+    IO.write_jsonl(v.links().select("tweet_id", "market_id", F.col("gold").alias("is_gold"),
+                                    F.col("seq").alias("embedding_score")), f"{root}/t2.jsonl")
+    gold = IO.load_task(v.spark, root, "t2", split="test")
+    preds = v.links().groupBy("tweet_id").agg(F.array(F.min("market_id").cast("string")).alias("ranked_market_ids"))
+    return evaluate_linking(preds, gold, "embedding_score").withColumns({c: F.round(c, 8) for c in ("acc_at_1", "mrr")})
+
+
+@query("t6_report_loaded", """
+WITH o AS (SELECT CASE label WHEN 'no_effect' THEN 'no_cross_market_effect' ELSE label END AS label FROM v_spread
+  WHERE confound_flag = false)
+SELECT 'majority' AS baseline, (SELECT count(*) FROM o) AS n, round(2 * share / (1 + share) / 3, 8) AS macro_f1
+FROM (SELECT max(n) / sum(n) AS share FROM (SELECT count(*) AS n FROM o GROUP BY label))""")
+def t6_report_loaded(v):
+    """The report over a file that lacks the optional flag: no row is short of data."""
+    root = v.scratch()
+    IO.write_jsonl(v.spread().drop("insufficient_data_flag"), f"{root}/t6.jsonl")
+    rows = IO.load_task(v.spark, root, "t6", order=["tweet_id"])
+    rows = rows.withColumn("label", R.normalize_label(F.col("label")))
+    return propagation_report(rows, PROPAGATION_LABELS, ["tweet_id"]).where("baseline = 'majority'").withColumn(
+        "macro_f1", F.round("macro_f1", 8))
+
+
 @query("load_prepared_task", f"""
 WITH {_SPLIT_SPREAD}
 SELECT tweet_id, primary_condition_id, label, confound_flag FROM s WHERE split = 'test'""")

@@ -13,6 +13,9 @@ GROUPS = {"view": "g1", "click": "g1", "signup": "g2", "purchase": "g2", "error"
 SQL_VIEWS = {
     "v_ticks": """SELECT event_type AS condition_id, ts, least(value / 500.0, 1.0) AS close_price,
   value AS volume, event_id AS seq FROM events WHERE user_id % 10 <> 0""",
+    "v_rawticks": """SELECT condition_id, date_trunc('millisecond', ts) AS ts, arg_max(close_price, seq) AS close_price
+  FROM v_ticks GROUP BY ALL""",
+    "v_rawposts": """SELECT * REPLACE (date_trunc('millisecond', post_time) AS post_time) FROM v_posts""",
     "v_posts": """SELECT event_id AS tweet_id, event_type AS condition_id, ts AS post_time,
   event_id % 4 = 0 AS confound_flag FROM events WHERE user_id % 10 = 0""",
     "v_groups": """SELECT DISTINCT event_type AS condition_id,

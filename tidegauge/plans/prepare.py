@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidegauge.operators.rows import normalize_label
 from tidegauge.operators.splits import stratified_split
 from tidegauge.schemas import TASK_SCHEMAS
-from tidegauge.sources.tables import read_jsonl
+from tidegauge.sources.tables import RAW_LAYOUT, load_task, read_records
 
 # Label column and keys each task is split on.
 SPLIT_LABELS = {"t4": "direction_label", "t5": "decay_class", "t6": "label", "t7": "decay_class"}
@@ -46,17 +46,20 @@ def write_task(df: DataFrame, root: str, task: str) -> None:
 
 
 def prepare_all(spark: SparkSession, raw_root: str, out_root: str,
-                tasks: Sequence[str] = tuple(TASK_SCHEMAS)) -> DataFrame:
-    """Prepare every task found under ``raw_root`` and return the manifest.
+                tasks: Sequence[str] = tuple(TASK_SCHEMAS),
+                layout: Mapping[str, Mapping[str, str]] = RAW_LAYOUT) -> DataFrame:
+    """Prepare the named tasks from ``raw_root`` and return the manifest.
 
-    The impact table serves two tasks, so the persistence task is written from it.
+    A task with files of its own per split keeps them; a full file is split
+    anew. The impact table serves two tasks, so the persistence task is written from it.
     """
     records = []
     for task in tasks:
-        source = "t5" if task == "t7" else task
-        raw = read_jsonl(spark, f"{raw_root}/{source}.jsonl", TASK_SCHEMAS[source])
-        write_task(prepare_task(raw, task), out_root, task)
-        written = spark.read.json(f"{out_root}/{task}")
+        full = layout[task].get("full")
+        prepared = (prepare_task(read_records(spark, f"{raw_root}/{full}", TASK_SCHEMAS[task]), task) if full
+                    else load_task(spark, raw_root, task, split_mode="positional", layout=layout))
+        write_task(prepared, out_root, task)
+        written = load_task(spark, out_root, task)
         records.append(manifest(written, task, REPORT_LABELS[task]))
     out = records[0]
     for record in records[1:]:

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -62,29 +63,61 @@ def read_bucketed_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("bucket")
 
 
+#: Raw files of each task below the root: own train and test files, test only, or one full file split by position.
+RAW_LAYOUT: dict[str, dict[str, str]] = {
+    "t1": {"train": "t1_train.jsonl", "test": "t1_test.jsonl"},
+    "t2": {"test": "t2.jsonl"},
+    "t3": {"test": "t3.json"},
+    "t4": {"full": "t4.jsonl"},
+    "t5": {"full": "t5.jsonl"},
+    "t6": {"full": "t6.jsonl"},
+    "t7": {"full": "t5.jsonl"},
+}
+
+
+def read_records(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A JSON-lines file or, by the ending ``.json``, an array; maps may be objects or JSON text.
+
+    The JSON reader hands an object to a text column as its source, so both
+    forms reach ``from_json`` as text.
+    """
+    maps = {f.name: f.dataType for f in schema if isinstance(f.dataType, T.MapType)}
+    flat = T.StructType([T.StructField(f.name, T.StringType() if f.name in maps else f.dataType) for f in schema])
+    rows = read_json_document(spark, path, flat) if path.endswith(".json") else read_jsonl(spark, path, flat)
+    return rows.withColumns({n: F.from_json(n, kind) for n, kind in maps.items()}) if maps else rows
+
+
 def load_task(spark: SparkSession, root: str, task: str, split: str | None = None,
-              order: Sequence[str] = (), split_mode: str = "auto") -> DataFrame:
+              order: Sequence[str] = (), split_mode: str = "auto",
+              layout: Mapping[str, Mapping[str, str]] = RAW_LAYOUT) -> DataFrame:
     """Task table with a ``split`` column.
 
-    A prepared layout has ``<root>/<task>/split=train|test``; a raw layout is
-    one JSON-lines path ``<root>/<task>.jsonl`` split by position on the order
-    column (``split_mode='positional'`` forces it).
+    A prepared layout has ``<root>/<task>/split=train|test``. In a raw
+    ``layout`` a task has its own ``train`` and ``test`` files, only ``test``, or
+    one ``full`` file, which is split by position on the order columns. A split
+    that the task does not have raises. ``split_mode='positional'`` skips the prepared layout.
     """
     from tidegauge.operators.splits import positional_split
 
     name = task.strip().lower()
     if name not in TASK_SCHEMAS:
         raise ValueError(f"unknown task {task!r}; known: {sorted(TASK_SCHEMAS)}")
-    schema = TASK_SCHEMAS[name]
+    schema, files = TASK_SCHEMAS[name], layout[name]
     prepared = f"{root}/{name}"
     if split_mode == "auto" and path_exists(spark, f"{prepared}/split=test"):
         with_split = T.StructType([*schema.fields, T.StructField("split", T.StringType())])
-        table = read_jsonl(spark, prepared, with_split)
-    else:
+        table = read_records(spark, prepared, with_split)
+        has_train = "full" in files or "train" in files
+    elif "full" in files:
         if not order:
             raise ValueError("a raw table needs an order column for its split")
-        raw = read_jsonl(spark, f"{root}/{name}.jsonl", schema)
-        table = positional_split(raw, order)
+        table, has_train = positional_split(read_records(spark, f"{root}/{files['full']}", schema), order), True
+    else:
+        parts = [read_records(spark, f"{root}/{path}", schema).withColumn("split", F.lit(part))
+                 for part, path in files.items()]
+        table, has_train = reduce(DataFrame.unionByName, parts), "train" in files
+    if split not in (None, "test", *(["train"] if has_train else [])):
+        raise ValueError(f"task {name} has no split {split!r}")
     return table if split is None else table.where(F.col("split") == split)
 
 
