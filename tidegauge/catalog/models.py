@@ -1,4 +1,9 @@
-"""Queries: learned baselines. Fitted models have no SQL; tests bound their scores."""
+"""Queries: learned baselines.
+
+Fitted models have no SQL, and tests bound their scores. The planted queries
+learn a rule of a column with few values, which the trees find exactly, so SQL
+knows every prediction.
+"""
 
 from __future__ import annotations
 
@@ -105,3 +110,53 @@ def top_importances(v):
 def ml_t5_summary(v):
     data = folded(v, 2).withColumn("price_impact_2h", F.col("l_extendedprice") / 1e5)
     return R.impact_summary(data, FEATURES, ["price_impact_2h"], "l_returnflag", FLAGS, folds=2, trees=5, rounds=3)
+
+
+# --------------------------------------------------------------------------- planted rules
+
+_IDS = ["l_orderkey", "l_linenumber", "l_partkey"]
+_HELD = """h AS (SELECT *, l_suppkey % 4 = 0 AS confound_flag FROM lineitem WHERE CAST(concat('0x', substr(md5(concat('42|',
+  l_orderkey, '|', l_linenumber, '|', l_partkey)), 1, 8)) AS BIGINT) < CAST(round(0.2 * 4294967296) AS BIGINT))"""
+_RULE = "CASE WHEN l_linenumber <= 2 THEN 'A' WHEN l_linenumber <= 4 THEN 'N' ELSE 'R' END"
+_SMALL = ["l_linenumber", "l_discount", "l_tax"]
+
+
+def planted(v):
+    n = F.col("l_linenumber")
+    items = v.table("lineitem").select(*_IDS, "l_discount", "l_tax", (F.col("l_suppkey") % 4 == 0).alias("confound_flag"))
+    items = items.withColumns({
+        "rule": F.when(n <= 2, "A").when(n <= 4, "N").otherwise("R"),
+        **{f"delta_{h}": n * k for h, k in (("30m", 1.0), ("2h", 2.0), ("6h", -3.0))}})
+    return holdout_split(items, _IDS)
+
+
+@query("ml_planted_classes", f"WITH {_HELD} SELECT l_orderkey, l_linenumber, l_partkey, {_RULE} AS pred_label FROM h")
+def ml_planted_classes(v):
+    """Boosted classes with early stopping."""
+    data = planted(v).withColumn("stop_on", F.col("part") == "holdout")
+    model = M.fit_boosted_classes(data, _SMALL, "rule", FLAGS, rounds=3, depth=3, stop_on="stop_on")
+    return M.predict_classes(model, data.where("stop_on"), _SMALL, FLAGS).select(*_IDS, "pred_label")
+
+
+@query("ml_planted_regression", f"""
+WITH {_HELD}, t AS (SELECT tier, unnest(['delta_30m', 'delta_2h', 'delta_6h', 'all']) AS horizon,
+  unnest([1, 1, 1, 3]) AS k FROM h, (VALUES ('all'), ('non_confounded')) x(tier) WHERE tier = 'all' OR NOT confound_flag)
+SELECT tier, horizon, CAST(sum(k) AS BIGINT) AS n, 0.0::DOUBLE AS mae, 1.0::DOUBLE AS spearman FROM t GROUP BY ALL""")
+def ml_planted_regression(v):
+    """One regression per tier and horizon."""
+    data = planted(v)
+    scores = R.tiered_regression(data.where("part = 'fit'"), data.where("part = 'holdout'"),
+                                 {"all": F.lit(True), "non_confounded": ~F.col("confound_flag")}, _SMALL,
+                                 ["delta_30m", "delta_2h", "delta_6h"], _IDS, rounds=1, depth=3)
+    return scores.select("tier", "horizon", "n", F.abs(F.round("mae", 6)).alias("mae"), F.round("spearman", 6).alias("spearman"))
+
+
+@query("ml_planted_search", f"""
+WITH {_HELD} SELECT l_orderkey, l_linenumber, l_partkey, {_RULE} AS pred_label FROM h""")
+def ml_planted_search(v):
+    """The best of the trials, fitted on all learning rows, scores the rest."""
+    data = planted(v)
+    fit = M.assemble(M.index_labels(stratified_folds(data.where("part = 'fit'"), "rule", _IDS, folds=2), "rule", FLAGS), _SMALL)
+    learner = RandomForestClassifier(featuresCol="features", labelCol="label_index", seed=42, featureSubsetStrategy="all")
+    _, best = M.search_and_fit(fit, learner, {"maxDepth": [3, 4], "numTrees": [3, 5]}, "macro_f1", "label_index", trials=2, folds=2)
+    return M.predict_classes(best, data.where("part = 'holdout'"), _SMALL, FLAGS).select(*_IDS, "pred_label")

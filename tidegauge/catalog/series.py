@@ -254,6 +254,20 @@ def t4_tier_report(v):
     return M.tier_report(v.moves()).withColumns({c: F.round(c, 8) for c in names})
 
 
+@query("t4_tier_report_flat", """
+WITH a AS (SELECT confound_flag, delta_2h AS m, unnest([{'g': delta_30m, 'p': pred_30m}, {'g': delta_2h, 'p': pred_delta},
+  {'g': delta_6h, 'p': pred_6h}]) AS x FROM v_moves),
+t AS (SELECT tier, x.g AS g, x.p AS p FROM a, (VALUES ('tier1_all'), ('tier2_non_confounded'), ('tier3_active')) y(tier)
+  WHERE tier = 'tier1_all' OR (confound_flag = false AND (tier = 'tier2_non_confounded' OR abs(m) > 0.02))),
+k AS (SELECT tier, rank() OVER (PARTITION BY tier ORDER BY g) + (count(*) OVER (PARTITION BY tier, g) - 1) / 2.0 AS rg,
+  rank() OVER (PARTITION BY tier ORDER BY p) + (count(*) OVER (PARTITION BY tier, p) - 1) / 2.0 AS rp FROM t)
+SELECT tier, CAST(count(*) // 3 AS BIGINT) AS n, round(corr(rg, rp), 8) AS spearman_all FROM k GROUP BY tier""")
+def t4_tier_report_flat(v):
+    """Spearman over the forecasts of three horizons together."""
+    report = M.tier_report(v.moves(), horizons={"delta_30m": "pred_30m", "delta_2h": "pred_delta", "delta_6h": "pred_6h"})
+    return report.select("tier", "n", F.round("spearman_all", 8).alias("spearman_all"))
+
+
 @query("t4_prior_report", """
 WITH t AS (SELECT m.*, tier FROM v_moves m, (VALUES ('tier1_all'), ('tier2_non_confounded'), ('tier3_active')) x(tier)
   WHERE tier = 'tier1_all' OR (confound_flag = false

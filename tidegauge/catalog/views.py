@@ -53,7 +53,8 @@ SQL_VIEWS = {
   concat('Will part ', CAST(l_partkey AS VARCHAR), ' sell?') AS market_question,
   l_discount AS embedding_score, l_linenumber = 2 AS gold FROM lineitem""",
     "v_moves": """SELECT l_orderkey * 10 + l_linenumber AS tweet_id, l_discount - 0.05 AS delta_2h,
-  l_tax - 0.04 AS pred_delta,
+  l_tax - 0.04 AS pred_delta, l_tax - 0.05 AS delta_30m, l_discount - 0.03 AS pred_30m,
+  l_quantity / 100.0 AS delta_6h, l_discount - 0.02 AS pred_6h,
   CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE l_suppkey % 4 = 0 END AS confound_flag,
   CASE WHEN l_discount - 0.05 > 0.02 THEN 'up' WHEN l_discount - 0.05 < -0.02 THEN 'down'
        ELSE 'flat' END AS direction_label,
@@ -167,6 +168,8 @@ class Views:
         delta = F.col("l_discount") - 0.05
         return self.table("lineitem").select(
             (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("tweet_id"), delta.alias("delta_2h"),
-            (F.col("l_tax") - 0.04).alias("pred_delta"),
+            (F.col("l_tax") - 0.04).alias("pred_delta"), (F.col("l_tax") - 0.05).alias("delta_30m"),
+            (F.col("l_discount") - 0.03).alias("pred_30m"), (F.col("l_quantity") / 100.0).alias("delta_6h"),
+            (F.col("l_discount") - 0.02).alias("pred_6h"),
             F.when(F.col("l_suppkey") % 9 != 0, F.col("l_suppkey") % 4 == 0).alias("confound_flag"),
             direction(delta).alias("direction_label"), magnitude(delta).alias("magnitude_bucket"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark import keyword_only
@@ -44,14 +45,40 @@ def fit_multiclass(train: DataFrame, features: Sequence[str], label: str, labels
     return learner.fit(assemble(index_labels(train, label, labels), features))
 
 
-def predict_classes(model: Model, rows: DataFrame, features: Sequence[str], labels: Sequence[str]) -> DataFrame:
+@dataclass
+class BoostedClasses:
+    """One boosted binary model per class; scores are the normalised probabilities."""
+
+    models: list[Model]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        names = [f"__p{i}" for i in range(len(self.models))]
+        for name, model in zip(names, self.models):
+            df = model.transform(df).withColumn(name, vector_to_array("probability")[1]).drop(
+                "rawPrediction", "probability", "prediction")
+        total = reduce(lambda a, b: a + b, [F.col(n) for n in names])
+        shares = F.array(*[F.coalesce(F.try_divide(F.col(n), total), F.lit(1.0 / len(names))) for n in names])
+        return df.withColumn("__shares", shares).withColumn(
+            "prediction", F.array_position("__shares", F.array_max("__shares")) - 1).drop(*names)
+
+
+def fit_boosted_classes(train: DataFrame, features: Sequence[str], label: str, labels: Sequence[str],
+                        rounds: int = 20, depth: int = 4, seed: int = 42, stop_on: str | None = None) -> BoostedClasses:
+    """Boosted trees for several classes, one against the rest; ``stop_on`` marks hold-out rows for early stopping."""
+    known = train.where(F.col(label).isin(list(labels)))
+    return BoostedClasses([
+        fit_binary(known.withColumn("__is", F.when(F.col(label) == name, 1.0).otherwise(0.0)), features, "__is",
+                   rounds, depth, seed, stop_on) for name in labels])
+
+
+def predict_classes(model: Model | BoostedClasses, rows: DataFrame, features: Sequence[str], labels: Sequence[str]) -> DataFrame:
     """Attach ``pred_label``, ``confidence`` and the per-class ``scores`` map."""
     scored = model.transform(assemble(rows, features))
-    probs = vector_to_array("probability")
+    probs = F.col("__shares") if isinstance(model, BoostedClasses) else vector_to_array("probability")
     scores = F.map_from_arrays(F.array(*[F.lit(n) for n in labels]), F.slice(probs, 1, len(labels)))
     return scored.withColumns({"pred_label": label_name(F.col("prediction"), labels),
                                "confidence": F.array_max(probs), "scores": scores}).drop(
-        "features", "rawPrediction", "probability", "prediction")
+        "features", "rawPrediction", "probability", "prediction", "__shares")
 
 
 def fit_binary(train: DataFrame, features: Sequence[str], target: str, rounds: int = 10, depth: int = 4,
@@ -162,9 +189,14 @@ def random_grid(learner, space: dict[str, Sequence], trials: int, seed: int = 42
     return [{learner.getParam(n): rng.choice(list(v)) for n, v in space.items()} for _ in range(trials)]
 
 
-def search(df: DataFrame, learner, space: dict[str, Sequence], kind: str, label: str, trials: int = 10,
-           folds: int = 5, fold: str = "fold", seed: int = 42) -> DataFrame:
+def search(df: DataFrame, learner, space: dict[str, Sequence], kind: str, label: str, **options) -> DataFrame:
     """Cross-validated random search over a fixed fold column: one row per trial."""
+    return search_and_fit(df, learner, space, kind, label, **options)[0]
+
+
+def search_and_fit(df: DataFrame, learner, space: dict[str, Sequence], kind: str, label: str, trials: int = 10,
+                   folds: int = 5, fold: str = "fold", seed: int = 42) -> tuple[DataFrame, Model]:
+    """The trials, and the model fitted on all rows with the best parameters."""
     df = materialize(df)
     grid = random_grid(learner, space, trials, seed)
     cv = CrossValidator(estimator=learner, estimatorParamMaps=grid, evaluator=objective(kind, label),
@@ -174,4 +206,4 @@ def search(df: DataFrame, learner, space: dict[str, Sequence], kind: str, label:
     rows = [(i, float(score), *[str(grid[i][learner.getParam(n)]) for n in names])
             for i, score in enumerate(fitted.avgMetrics)]
     columns = "trial int, score double, " + ", ".join(f"{n} string" for n in names)
-    return df.sparkSession.createDataFrame(rows, columns)
+    return df.sparkSession.createDataFrame(rows, columns), fitted.bestModel

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.functions.labels import decay_class, direction, magnitude, sign_direction
 from tidegauge.operators.baselines import majority, random_prior_expected
-from tidegauge.operators.metrics import class_report
+from tidegauge.operators.metrics import class_report, spearman
 from tidegauge.operators.rows import expand_tiers, is_unconfounded, movement_tiers
 from tidegauge.operators.temporal import AsOf, Span, farthest_move, series_at
 from tidegauge.plans.evaluate import movement_scores
@@ -89,13 +89,25 @@ def momentum_report(rows: DataFrame) -> DataFrame:
             .select("tier", "target", "n", "accuracy", "macro_f1"))
 
 
-def tier_report(rows: DataFrame, gold: str = "delta_2h", pred: str = "pred_delta") -> DataFrame:
-    """Per tier: direction accuracy, magnitude macro-F1 and Spearman of predicted deltas."""
+def tier_report(rows: DataFrame, gold: str = "delta_2h", pred: str = "pred_delta",
+                horizons: Mapping[str, str] | None = None) -> DataFrame:
+    """Per tier: direction accuracy, magnitude macro-F1 and Spearman of predicted deltas.
+
+    With ``horizons`` (gold column to forecast column) ``spearman_all`` ranks
+    the pairs of all horizons together; the tier still follows ``gold``.
+    """
     pairs = rows.groupBy("confound_flag", F.col(gold).alias("g"), F.col(pred).alias("p")).agg(
         F.count(F.lit(1)).alias("w")).withColumn("moved", direction(F.col("g")))
     tiered = expand_tiers(pairs, movement_tiers(label="moved")).select("tier", "g", "p", "w")
     scores = movement_scores(tiered, ["tier"])
-    return scores.withColumnRenamed("spearman_rho", "spearman")
+    scores = scores.withColumnRenamed("spearman_rho", "spearman")
+    if not horizons:
+        return scores
+    each = F.inline(F.array(*[F.struct(F.col(g).alias("g"), F.col(p).alias("p")) for g, p in horizons.items()]))
+    flat = (rows.select("confound_flag", direction(F.col(gold)).alias("moved"), each).where("g IS NOT NULL AND p IS NOT NULL")
+            .groupBy("confound_flag", "moved", "g", "p").agg(F.count(F.lit(1)).alias("w")))
+    flat = expand_tiers(flat, movement_tiers(label="moved")).select("tier", "g", "p", "w")
+    return scores.join(spearman(flat, "g", "p", ["tier"], out="spearman_all", weight="w").drop("n"), "tier", "left")
 
 
 def prior_report(rows: DataFrame) -> DataFrame:
