@@ -7,10 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidegauge.functions.hashing import hash_key, hash_uniform
-from tidegauge.operators.metrics import class_distribution, class_report, spearman
+from tidegauge.operators.metrics import class_distribution, class_report, weighted_spearman
 from tidegauge.operators.ranking import valid_number
 from tidegauge.operators.rows import expand_tiers, flatten_horizons
 from tidegauge.schemas import MOMENTUM_SCALES, PRIOR_SEEDS
+from tidegauge.sources.tables import materialize
 
 
 def majority(df: DataFrame, label: str, scope: Sequence[str] = (), k: int | Column | None = None,
@@ -87,12 +88,21 @@ def momentum_forecasts(df: DataFrame, pre_delta: str = "pre_delta",
 
 def momentum_spearman(df: DataFrame, tiers: Mapping[str, Column], pre_delta: str = "pre_delta",
                       scales: Mapping[str, float] = MOMENTUM_SCALES) -> DataFrame:
-    """Rank correlation of momentum forecasts per tier, per horizon and flattened (``all``)."""
+    """Rank correlation of momentum forecasts per tier, per horizon and flattened (``all``).
+
+    Rows are reduced to counts of distinct pairs with a count per tier, so the
+    overlapping tiers share their ranks and no row is repeated per tier.
+    """
     complete = df.where(valid_number(df, pre_delta, "direction_label", *[f"delta_{h}" for h in scales]))
-    tiered = expand_tiers(complete, tiers)
-    flat = momentum_forecasts(tiered, pre_delta, scales, ids=["tier"])
-    both = flat.withColumn("horizon", F.explode(F.array(F.col("horizon"), F.lit("all"))))
-    return spearman(both, "forecast", "delta", ["tier", "horizon"], cut=True)
+    weights = {name: f"__w{i}" for i, name in enumerate(tiers)}
+    marked = complete.withColumns({weights[name]: F.coalesce(condition.cast("bigint"), F.lit(0)) for name, condition in tiers.items()})
+    flat = momentum_forecasts(marked, pre_delta, scales, ids=list(weights.values()))
+    counted = [F.sum(w).alias(w) for w in weights.values()]
+    pairs = materialize(flat.groupBy("horizon", "forecast", "delta").agg(*counted))
+    pooled = materialize(pairs.groupBy("forecast", "delta").agg(*counted))
+    each = weighted_spearman(pairs, "forecast", "delta", weights, ["horizon"])
+    every = weighted_spearman(pooled, "forecast", "delta", weights).withColumn("horizon", F.lit("all"))
+    return each.unionByName(every)
 
 
 def zero_drift(df: DataFrame, tiers: Mapping[str, Column]) -> DataFrame:

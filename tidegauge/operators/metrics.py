@@ -7,11 +7,11 @@ returns one row per scope.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidegauge.operators.ranking import cumulative_counts, not_null, valid_number
+from tidegauge.operators.ranking import centred_ranks, cumulative_counts, not_null, small_ranks, valid_number
 from tidegauge.sources.tables import materialize
 
 
@@ -176,6 +176,45 @@ def spearman(df: DataFrame, x: str, y: str, scope: Sequence[str] = (),
                                       value.alias(out))
 
 
+def _correlation(ranked: DataFrame, scope: Sequence[str], weight: str, x: str, y: str) -> list[Column]:
+    w, rx, ry = F.col(weight), F.col(x), F.col(y)
+    spread = F.sqrt(F.sum(w * rx * rx)) * F.sqrt(F.sum(w * ry * ry))
+    return [F.coalesce(F.sum(w), F.lit(0)).alias("n"), F.try_divide(F.sum(w * rx * ry), spread).alias("rho")]
+
+
+def small_spearman(pairs: DataFrame, x: str, y: str, weight: str, scope: Sequence[str] = (),
+                   degenerate: float | None = None, out: str = "spearman") -> DataFrame:
+    """Spearman from counts over a declared small domain, such as grades; nulls are left out."""
+    scope = list(scope)
+    pairs = pairs.where(valid_number(pairs, x, y, scope=scope))
+    ranked = (pairs.join(small_ranks(pairs, x, weight, scope).withColumnRenamed(f"r_{weight}", "__rx"), [*scope, x])
+              .join(small_ranks(pairs, y, weight, scope).withColumnRenamed(f"r_{weight}", "__ry"), [*scope, y]))
+    rho = F.col("rho") if degenerate is None else F.coalesce("rho", F.lit(degenerate))
+    return ranked.groupBy(*scope).agg(*_correlation(ranked, scope, weight, "__rx", "__ry")).select(
+        *scope, "n", rho.alias(out))
+
+
+def weighted_spearman(pairs: DataFrame, x: str, y: str, weights: Mapping[str, str], scope: Sequence[str] = (),
+                      out: str = "tier") -> DataFrame:
+    """Spearman under several weights at once: a row per scope and weight, named in ``out``.
+
+    ``weights`` maps a name to the column that says how many equal pairs a row
+    stands for, so overlapping groups of rows share one rank pass.
+    """
+    scope, columns = list(scope), list(weights.values())
+    ranked = pairs
+    for side, mark in ((x, "x"), (y, "y")):
+        ranks = centred_ranks(pairs, side, columns, scope).withColumnsRenamed({f"r_{c}": f"__{mark}_{c}" for c in columns})
+        ranked = ranked.join(ranks, [*scope, side])
+    aggs = []
+    for name, c in weights.items():
+        n, rho = _correlation(ranked, scope, c, f"__x_{c}", f"__y_{c}")
+        aggs += [n.alias(f"__n_{c}"), rho.alias(f"__rho_{c}")]
+    each = F.inline(F.array(*[F.struct(F.lit(name).alias(out), F.col(f"__n_{c}").alias("n"), F.col(f"__rho_{c}").alias("spearman"))
+                              for name, c in weights.items()]))
+    return ranked.groupBy(*scope).agg(*aggs).select(*scope, each).where("n > 0")
+
+
 def accuracy_at_1(df: DataFrame, ranked: str, gold: str, scope: Sequence[str] = ()) -> DataFrame:
     hit = F.when(F.get(F.col(ranked), F.lit(0)) == F.col(gold), 1.0).otherwise(0.0)
     return df.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"),

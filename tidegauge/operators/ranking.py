@@ -52,8 +52,8 @@ def _bucket(value: Column, cuts: Column, buckets: int) -> Column:
 
 
 def _bucket_count(df: DataFrame) -> int:
-    """As many buckets as shuffle tasks, up to 1024."""
-    return max(2, min(1024, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """As many buckets as shuffle tasks."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def cumulative_counts(df: DataFrame, value: str, scope: Sequence[str] = (),
@@ -77,7 +77,7 @@ def cumulative_counts(df: DataFrame, value: str, scope: Sequence[str] = (),
     # Reading n as well keeps this histogram equal to the one below, so that
     # Spark computes the shared part once.
     counted = F.when(F.col("n") > 0, F.col(value))
-    bounds = hist.select(F.percentile_approx(counted, cuts, 2000)).scalar()
+    bounds = hist.select(F.percentile_approx(counted, cuts, max(2000, 4 * buckets))).scalar()
     hist = (hist.withColumn("__cuts", bounds)
             .withColumn("__b", _bucket(F.col(value), F.col("__cuts"), buckets)).drop("__cuts"))
 
@@ -98,6 +98,41 @@ def cumulative_counts(df: DataFrame, value: str, scope: Sequence[str] = (),
                          upto.alias("n_upto"), "n_total")
 
 
+def centred_ranks(pairs: DataFrame, value: str, weights: Sequence[str], scope: Sequence[str] = ()) -> DataFrame:
+    """Average ranks around their mean under several weights at once.
+
+    Returns ``scope..., value`` and ``r_<weight>`` for each weight column: half the
+    difference of the weight below and above the value. ``pairs`` has no null or
+    NaN. One sort serves all weights, in buckets as in ``cumulative_counts``.
+    """
+    scope = list(scope)
+    buckets = _bucket_count(pairs)
+    hist = pairs.groupBy(*scope, value).agg(*[F.sum(w).alias(w) for w in weights])
+    first = F.when(F.col(weights[0]) >= 0, F.col(value))  # reads a weight, so that both uses share one plan
+    cuts = [i / buckets for i in range(1, buckets)]
+    bounds = hist.select(F.percentile_approx(first, cuts, max(2000, 4 * buckets))).scalar()
+    hist = (hist.withColumn("__cuts", bounds)
+            .withColumn("__b", _bucket(F.col(value), F.col("__cuts"), buckets)).drop("__cuts"))
+    earlier = Window.partitionBy(*scope).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*scope)
+    totals = hist.groupBy(*scope, "__b").agg(*[F.sum(w).alias(f"__s_{w}") for w in weights])
+    totals = totals.select(*scope, "__b", *[
+        (2 * F.coalesce(F.sum(f"__s_{w}").over(earlier), F.lit(0)) - F.sum(f"__s_{w}").over(whole)).alias(f"__t_{w}")
+        for w in weights])
+    inside = Window.partitionBy(*scope, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    local = hist.withColumns({f"__u_{w}": 2 * F.sum(w).over(inside) - F.col(w) for w in weights})
+    return local.join(totals, [*scope, "__b"]).select(
+        *scope, value, *[((F.col(f"__t_{w}") + F.col(f"__u_{w}")) / 2).alias(f"r_{w}") for w in weights])
+
+
+def small_ranks(pairs: DataFrame, value: str, weight: str, scope: Sequence[str] = ()) -> DataFrame:
+    """As ``centred_ranks`` for a declared domain of a few values: one window over its counts."""
+    hist = pairs.groupBy(*scope, value).agg(F.sum(weight).alias("__w"))
+    upto = Window.partitionBy(*scope).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    rank = 2 * F.sum("__w").over(upto) - F.col("__w") - F.sum("__w").over(Window.partitionBy(*scope))
+    return hist.select(*scope, value, (rank / 2).alias(f"r_{weight}"))
+
+
 def average_rank(df: DataFrame, value: str, scope: Sequence[str] = (),
                  out: str = "rank") -> DataFrame:
     """Attach the 1-based rank of ``value`` in its scope; ties share the mean."""

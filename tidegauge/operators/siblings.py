@@ -25,7 +25,7 @@ MOVE_WINDOW_US = 2 * HOUR_US
 SIGMA_WINDOW_US = 24 * HOUR_US
 
 _CHUNK = 1 << 16
-_SALTS = 16
+_SALTED_INSTANTS = 50_000
 
 
 def sibling_counts(groups: DataFrame, key: str = "condition_id", group: str = "event_group_id") -> DataFrame:
@@ -153,11 +153,16 @@ def first_crossings(anchors: DataFrame, ticks: DataFrame, window_us: int = MOVE_
 def market_states(instants: DataFrame, members: DataFrame, ticks: DataFrame) -> DataFrame:
     """Per (group, market, instant): base price, sigma and whether the market moved.
 
-    The small member table is repeated over salts, so the instants of a hot
-    group are spread over many tasks.
+    A group gets a salt per ``_SALTED_INSTANTS`` of its instants, and its few
+    members are repeated over them, so a hot group is spread over as many tasks
+    as it needs and a small one is not repeated.
     """
-    salted = members.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    anchors = (instants.withColumn("salt", F.pmod(F.xxhash64("post_time"), F.lit(_SALTS)).cast("int"))
+    salts = instants.groupBy("event_group_id").agg(
+        F.ceil(F.count(F.lit(1)) / _SALTED_INSTANTS).cast("int").alias("salts"))
+    salted = members.join(salts, "event_group_id").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    spread = instants.join(salts, "event_group_id")
+    anchors = (spread.withColumn("salt", F.pmod(F.xxhash64("post_time"), F.col("salts")).cast("int")).drop("salts")
                .join(salted, ["event_group_id", "salt"]).drop("salt"))
     state = series_at(anchors, ticks, anchor_time="post_time", asof=[AsOf("p0", 0)],
                       spans=[Span("after", 0, MOVE_WINDOW_US),

@@ -16,7 +16,7 @@ from tidegauge.functions.labels import direction, magnitude
 from tidegauge.functions.maps import horizon_map, map_value
 from tidegauge.operators.joins import join_pred_gold
 from tidegauge.operators.metrics import (class_report, confusion_matrix, quadratic_kappa, reciprocal_rank,
-                                         spearman)
+                                         small_spearman, spearman)
 from tidegauge.schemas import DECAY_LABELS, INTEREST_LABELS, MAGNITUDE_LABELS, PROPAGATION_LABELS
 from tidegauge.sources.tables import materialize
 
@@ -54,8 +54,8 @@ def evaluate_linking(preds: DataFrame, gold: DataFrame, order: str | None = None
 def evaluate_grades(preds: DataFrame, gold: DataFrame, order: str | None = None) -> DataFrame:
     """Spearman and kappa of ordinal grades, both from the one confusion table."""
     joined = join_pred_gold(preds, gold, ["tweet_id", "condition_id"], order, ["final_grade"])
-    counts = materialize(confusion_matrix(joined, "gold_final_grade", "predicted_grade"))
-    rho = spearman(counts, "gold", "pred", degenerate=0.0, weight="n").select("spearman").scalar()
+    counts = confusion_matrix(joined, "gold_final_grade", "predicted_grade")
+    rho = small_spearman(counts, "gold", "pred", "n", degenerate=0.0).select("spearman").scalar()
     return quadratic_kappa(counts).withColumn("spearman_rho", rho)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tidegauge.operators.baselines import majority, random_prior_draws, random_prior_expected
 from tidegauge.operators.metrics import (class_distribution, class_report, confusion_matrix, quadratic_kappa,
-                                         spearman)
+                                         small_spearman)
 from tidegauge.operators.rows import expand_tiers, is_unconfounded, non_confounded, sufficient_data, valid_labels
 from tidegauge.schemas import PRIOR_SEEDS
 
@@ -55,5 +55,5 @@ def sampled_prior_grades(df: DataFrame, grade: str, keys: Sequence[str],
     """Spearman and kappa of prior draws of ordinal grades per seed, from one count table."""
     drawn = random_prior_draws(df.select(grade, *keys), grade, keys, seeds=seeds)
     counts = confusion_matrix(drawn, grade, "pred", ["seed"])
-    rho = spearman(counts, "gold", "pred", ["seed"], weight="n").drop("n")
+    rho = small_spearman(counts, "gold", "pred", "n", ["seed"]).drop("n")
     return quadratic_kappa(counts, ["seed"]).join(rho, "seed", "left")
