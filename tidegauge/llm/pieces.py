@@ -9,6 +9,7 @@ below the worst piece and become byte pieces.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -20,7 +21,7 @@ from tidegauge.llm.common import on_workers
 MODEL = "piece_bpe_32k.model"
 UNKNOWN = 10.0
 SPACE_MARK = "▁"
-_CACHED, _CACHED_CHARS = 200_000, 40
+_CACHED, _CACHED_CHARS = 300_000, 40
 
 
 class Pieces:
@@ -32,8 +33,10 @@ class Pieces:
         self.texts, self.add_prefix = texts, add_prefix
         normal = [i for i, k in enumerate(kinds) if k == "normal"]
         self.bytes = {int(texts[i][3:-1], 16): i for i, k in enumerate(kinds) if k == "byte"}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.silent = {i for i, k in enumerate(kinds) if k == "control"}
+        self.byte_of = np.full(len(texts) or 1, -1)
+        for b, i in self.bytes.items():
+            self.byte_of[i] = b
+        self.shown = ["" if k == "control" else t for t, k in zip(texts, kinds)]
         self.unknown = next((i for i, k in enumerate(kinds) if k == "unknown"), 0)
         self.unknown_score = min((scores[i] for i in normal if scores[i] > -1e8), default=0.0) - UNKNOWN
         self.automaton = ahocorasick.Automaton()
@@ -42,10 +45,14 @@ class Pieces:
         if normal:
             self.automaton.make_automaton()
         self.empty = not normal
+        self.single = {texts[i] for i in normal if len(texts[i]) == 1}
         # Pieces that hold a space mark only in front never cross from a word into the next space.
         self.separable = all(SPACE_MARK not in texts[i].lstrip(SPACE_MARK) for i in normal)
-        self.words = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}]+|{SPACE_MARK}+")
+        # A line feed that is in no piece stands alone.
+        feed = "" if any("\n" in texts[i] for i in normal) else "\n"
+        self.words = re.compile(f"{SPACE_MARK}*[^{SPACE_MARK}{feed}]+|{SPACE_MARK}+|\n")
         self._known: dict[str, tuple[bytes, int, float, int]] = {}
+        self._older: dict[str, tuple[bytes, int, float, int]] = {}
 
     def marked(self, text: str) -> str:
         """Spaces as marks, one in front of the text."""
@@ -53,6 +60,25 @@ class Pieces:
 
     def best_path(self, text: str) -> tuple[list[int], float]:
         """Ids of the best segmentation; of equal scores the longest last piece wins."""
+        return self._covered_path(text) if self.single.issuperset(text) else self._any_path(text)
+
+    def _covered_path(self, text: str) -> tuple[list[int], float]:
+        """Every character is a piece, so every position is reached."""
+        n = len(text)
+        score, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
+        for end, piece in self.automaton.iter(text):
+            end += 1
+            s = score[end - piece[1]] + piece[2]
+            if s > score[end]:
+                score[end], back[end] = s, piece
+        ids, p = [], n
+        while p:
+            i, length, _ = back[p]
+            ids.append(i)
+            p -= length
+        return ids[::-1], score[n]
+
+    def _any_path(self, text: str) -> tuple[list[int], float]:
         n = len(text)
         score, back = [0.0] + [None] * n, [None] * (n + 1)
         reached = 0  # positions up to here are settled
@@ -88,39 +114,36 @@ class Pieces:
         return ids[::-1], score[n]
 
     def _word(self, word: str) -> tuple[bytes, int, float, int]:
-        ids, score = self.best_path(word)
-        found = (np.array(ids, "<u4").tobytes(), len(ids), score, sum(i in self.byte_of for i in ids))
+        found = self._older.get(word)
+        if found is None:
+            ids, score = self.best_path(word)
+            n_bytes = 0 if self.single.issuperset(word) else int((self.byte_of[ids] >= 0).sum())
+            found = (struct.pack(f"<{len(ids)}I", *ids), len(ids), score, n_bytes)
         if len(word) <= _CACHED_CHARS:
             if len(self._known) >= _CACHED:
-                self._known.clear()
+                self._known, self._older = {}, self._known
             self._known[word] = found
         return found
 
     def encode(self, text: str) -> tuple[np.ndarray, float, int]:
         """Ids, total score and number of byte pieces of a whole text."""
-        marked, known = self.marked(text), self._known
+        marked = self.marked(text)
         words = self.words.findall(marked) if self.separable else [marked] * bool(marked)
-        found = [known.get(w) or self._word(w) for w in words]
+        found = [self._known.get(w) or self._word(w) for w in words]
         return (np.frombuffer(b"".join([f[0] for f in found]), "<u4"), float(sum([f[2] for f in found])),
                 sum([f[3] for f in found]))
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: pieces joined, bytes put together, marks as spaces, the first space dropped."""
-        texts, byte_of = self.texts, self.byte_of
-        out, run = [], bytearray()
-        for i in ids.tolist():
-            b = byte_of.get(i)
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run.clear()
-            if i not in self.silent:
-                out.append(texts[i])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        text = "".join(out).replace(SPACE_MARK, " ")
+        values, shown = self.byte_of[ids], self.shown
+        at = np.flatnonzero(values >= 0)
+        plain, out, done = list(map(shown.__getitem__, ids.tolist())), [], 0
+        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1) if len(at) else ():
+            first, last = int(run[0]), int(run[-1]) + 1
+            out += plain[done:first]
+            out.append(bytes(values[first:last].tolist()).decode("utf-8", "replace"))
+            done = last
+        text = "".join(out + plain[done:]).replace(SPACE_MARK, " ")
         return text[1:] if self.add_prefix and text[:1] == " " else text
 
 
