@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -64,13 +66,18 @@ def build_session(app: str = "tidegauge", master: str | None = None,
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, named by ``spark.checkpoint.dir``.
 
-    Only on a local master, where the one process sees every path, a fresh
-    temporary folder stands in for an absent setting. On a cluster that raises.
+    Only on a local master, where the one process sees every path, a temporary
+    folder stands in for an absent setting; it goes when the process ends. On a
+    cluster the absence raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    master = spark.sparkContext.master
+    context = spark.sparkContext
+    master = context.master
     if not (master == "local" or master.startswith("local[")):
         raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master {master})")
-    return tempfile.mkdtemp(prefix="tidegauge-")
+    if not getattr(context, "_tidegauge_folder", None):
+        context._tidegauge_folder = tempfile.mkdtemp(prefix="tidegauge-")
+        atexit.register(shutil.rmtree, context._tidegauge_folder, ignore_errors=True)
+    return context._tidegauge_folder
