@@ -29,11 +29,12 @@ def _prefix(text: Column) -> Column:
     return F.xxhash64(folded(F.substring(whole_text(text), 1, PREFIX)))
 
 
-def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per text that occurs more than once.
+def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Lengths and prefixes that several rows share, and one row per text that occurs more than once.
 
-    Columns: ``sha`` (hex), ``keep_id`` (the largest key; null if all are null),
-    ``group_size`` and ``top_rows``, how many rows have that key.
+    Columns of the first: ``n``, ``prefix``; of the second: ``sha`` (hex),
+    ``keep_id`` (the largest key; null if all are null), ``group_size`` and
+    ``top_rows``, how many rows have that key.
 
     Each round counts a finer key on the rows that share the coarser one and
     writes the shared keys to the shared folder. Their size is then known, so
@@ -51,7 +52,7 @@ def duplicate_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -
     per_key = full.groupBy("sha", "key").agg(F.count(F.lit(1)).alias("rows"))
     # a null key is the smallest
     top = F.max(F.struct(F.col("key").isNotNull(), F.col("key").alias("key"), F.col("rows").alias("rows")))
-    return write_once(
+    return prefixes, write_once(
         per_key.groupBy("sha").agg(top.alias("top"), F.sum("rows").alias("group_size")).where("group_size > 1")
         .select("sha", F.col("top.key").alias("keep_id"), "group_size", F.col("top.rows").alias("top_rows")), "groups")
 
@@ -65,7 +66,7 @@ def mark_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     null key loses to any other. Columns of these names are replaced. A hot text
     is a skewed key of a left join, which the adaptive planner splits.
     """
-    groups = duplicate_groups(docs, key, text).withColumnsRenamed(
+    groups = duplicate_groups(docs, key, text)[1].withColumnsRenamed(
         {"sha": "__sha", "keep_id": "__keep", "group_size": "__size"}).drop("top_rows")
     joined = docs.withColumn("text_sha256", text_sha256(F.col(text))).join(
         groups, F.col("text_sha256") == F.col("__sha"), "left")
@@ -80,13 +81,20 @@ def mark_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows that stay, with the columns of the input; one row of each text.
 
-    Only texts of more than one row are hashed in full.
+    Rows that share neither length nor prefix with another pass as they are. The
+    rest are hashed in full, and only they meet the groups in a join.
     """
-    groups = duplicate_groups(docs, key, text)
-    lengths_known = docs.withColumn("__sha", text_sha256(F.col(text)))
-    joined = lengths_known.join(groups.withColumnRenamed("sha", "__s").withColumnsRenamed(
-        {"keep_id": "__keep", "group_size": "__size", "top_rows": "__rows"}), F.col("__sha") == F.col("__s"), "left")
+    prefixes, groups = duplicate_groups(docs, key, text)
+    same = prefixes.withColumnsRenamed({"n": "__n", "prefix": "__prefix"})
+    marked = docs.withColumns({"__n": _length(F.col(text)), "__prefix": _prefix(F.col(text))})
+    alone = marked.join(same, ["__n", "__prefix"], "left_anti")
+    joined = marked.join(same, ["__n", "__prefix"], "left_semi").withColumn("__sha", text_sha256(F.col(text))).join(
+        groups.withColumnsRenamed({"sha": "__s", "keep_id": "__keep", "group_size": "__size", "top_rows": "__rows"}),
+        F.col("__sha") == F.col("__s"), "left")
     stays = joined.where(F.col("__s").isNull() | F.col(key).eqNullSafe(F.col("__keep")))
-    once = stays.where(F.coalesce("__rows", F.lit(1)) == 1)
-    repeated = stays.where("__rows > 1").dropDuplicates(["__sha"])  # partial aggregation, so a hot row is one per task
-    return once.unionByName(repeated).select(*docs.columns)
+    kept = alone.select(*docs.columns).unionByName(stays.where(F.coalesce("__rows", F.lit(1)) == 1).select(*docs.columns))
+    if groups.where("top_rows > 1").isEmpty():
+        return kept
+    # partial aggregation, so a hot row is one per task
+    repeated = stays.where("__rows > 1").dropDuplicates(["__sha"])
+    return kept.unionByName(repeated.select(*docs.columns))
