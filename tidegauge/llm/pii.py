@@ -168,7 +168,8 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     A null text counts as empty and gives no spans and an empty sanitised text.
     Rows are told apart by key and text, a null key included, so repeated rows
     get the same spans. Empty tables give empty ones. The mentions near
-    protected values are written once to the shared folder.
+    protected values and the terms to mask are written to the shared folder, so
+    the planner knows their size before it joins the texts.
     """
     row, mark = free_name(docs, "text_mark"), free_name(docs, "found")
     body = whole_text(text)
@@ -178,9 +179,10 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
         .select(F.col(key).alias("key"), F.col(row).alias("row"), F.explode(_near(body, F.col(mark), reach)).alias("x"))
         .select("key", "row", "x.*"), "mentions")
     telling = disclosing_terms(docs, mentions, text, threshold, min_contexts)
-    terms = (mentions.join(telling, ["entity", "term"], "left_semi").groupBy("key", "row")
-             .agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "end")).alias("terms"))
-             .withColumnsRenamed({"key": "__key", "row": "__row"}))
+    terms = write_once(
+        mentions.join(telling, ["entity", "term"], "left_semi").groupBy("key", "row")
+        .agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "end")).alias("terms"))
+        .withColumnsRenamed({"key": "__key", "row": "__row"}), "terms")
     plain = F.transform(mark, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"),
                                                  s["end"].alias("end")))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
