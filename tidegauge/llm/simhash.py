@@ -237,11 +237,19 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Rows are told apart by key and text; of several rows equal in both, one stays.
     """
-    rows = _rooted(docs, key, text).groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows"))
-    best = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id").alias("__id"),
-                                                   F.col("mark").alias("__mark"), F.col("rows").alias("__rows")))
-                                    .alias("best")).select("best.__id", "best.__mark", "best.__rows")
-    stays = docs.join(best, F.col(key).eqNullSafe(F.col("__id")) & (F.xxhash64(whole_text(text)) == F.col("__mark")))
-    once = stays.where("__rows = 1")
-    again = stays.where("__rows > 1").dropDuplicates([key, "__mark"])
-    return once.unionByName(again).select(*docs.columns)
+    rows = write_once(_rooted(docs, key, text).groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows")), "members")
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    best = rows.groupBy("root").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    # The lists hold what goes and what comes twice, so they are short where duplicates are few.
+    goes = write_once(rows.join(best, "root").where(place != F.col("best")).select(
+        F.col("doc_id").alias("__id"), F.col("mark").alias("__m")), "dropped")
+    twice = write_once(rows.where("rows > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m")), "repeated")
+
+    def listed(table: DataFrame):
+        return F.col(key).eqNullSafe(table["__id"]) & (F.col("__mark") == table["__m"])
+
+    stays = docs.withColumn("__mark", F.xxhash64(whole_text(text))).join(goes, listed(goes), "left_anti")
+    if twice.isEmpty():
+        return stays.select(*docs.columns)
+    again = stays.join(twice, listed(twice), "left_semi").dropDuplicates([key, "__mark"])
+    return stays.join(twice, listed(twice), "left_anti").unionByName(again).select(*docs.columns)
