@@ -81,6 +81,21 @@ def test_terms_that_disclose_are_masked(spark):
     assert pii.sanitise(df.limit(0)).count() == 0
 
 
+def test_disclosing_terms_are_masked_everywhere(spark):
+    far = " ".join(f"w{chr(97 + i)}" for i in range(26))
+    docs = [(i, f"Note {'abcdefghij'[i]} says Zorblatt wrote from zed@example.com today. " + f"{far} then Zorblatt, left. " * (i < 3)) for i in range(8)]
+    docs += [(50, "Later zorblatt was seen without the address. "), (51, None)]
+    docs += [(100 + i, f"About the river today and the wide {'klmnopqrst'[i % 10]} valley there. ") for i in range(400)]
+    rows = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert len(rows) == len(docs)
+    for i, text in docs:
+        places = [m.span() for m in re.finditer("(?i)zorblatt", text or "")]
+        terms = [(s["start"], s["end"]) for s in rows[i]["spans"] if s["rank"] == 4]
+        assert set(places) <= set(terms) and len(places) == (2 if i < 3 else i < 8 or i == 50)
+        assert "zorblatt" not in rows[i]["sanitised_text"].lower()
+    assert rows[100]["sanitised_text"] == docs[10][1]
+
+
 def test_mask_of_overlapping_spans(spark):
     df = spark.createDataFrame([(1, "call +1 4111 1111 1111 or 10.0.0.1@x.org.")], "doc_id long, text string")
     row = pii.sanitise(df).collect()[0]

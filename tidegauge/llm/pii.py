@@ -115,6 +115,22 @@ def span_text(spans: Column) -> Column:
         ":", names[s["rank"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _padded(text: Column) -> Column:
+    return F.concat(F.lit(" "), text, F.lit(" "))
+
+
+def _terms(text: Column) -> Column:
+    """All mentions of terms in a text, in lower case."""
+    return F.transform(F.regexp_extract_all(_padded(text), F.lit(TERM), F.lit(0)), F.lower)
+
+
+def _term_spans(text: Column, terms: Column) -> Column:
+    """Spans of every mention of the given lower-case terms."""
+    found = F.filter(find_all(_padded(text), TERM), lambda t: F.array_contains(terms, F.lower(t["value"])))
+    return F.transform(found, lambda t: F.struct(
+        (t["start"] - 1).alias("start"), F.lit(KINDS.index("term")).alias("rank"), (t["end"] - 1).alias("end")))
+
+
 def _near(text: Column, spans: Column, reach: int) -> Column:
     """Terms within ``reach`` characters of each span, with the value they stand by."""
     def of(part: Column, first: Column, entity: Column, context: Column) -> Column:
@@ -145,8 +161,7 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame, text: str = "text", t
              .groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("contexts"))
              .where(F.col("contexts") >= min_contexts))
     entities = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    terms = docs.select(F.explode(F.regexp_extract_all(
-        F.lower(F.concat(F.lit(" "), whole_text(text), F.lit(" "))), F.lit(TERM), F.lit(0))).alias("term"))
+    terms = docs.select(F.explode(_terms(whole_text(text))).alias("term"))
     counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     joined = pairs.join(entities, "entity").join(counts, "term").withColumn(
         "m", counts.agg(F.sum("n_t")).scalar())
@@ -166,10 +181,14 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     place of the spans. Columns of these names are replaced.
 
     A null text counts as empty and gives no spans and an empty sanitised text.
+    A term that discloses a value is masked wherever it stands, near the value
+    or not, in every text.
+
     Rows are told apart by key and text, a null key included, so repeated rows
     get the same spans. Empty tables give empty ones. The mentions near
-    protected values and the terms to mask are written to the shared folder, so
-    the planner knows their size before it joins the texts.
+    protected values, the disclosing terms and the terms of each text are
+    written to the shared folder, so the planner knows their size before it
+    joins them.
     """
     row, mark = free_name(docs, "text_mark"), free_name(docs, "found")
     body = whole_text(text)
@@ -178,19 +197,20 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
         based.where(F.size(mark) > 0)
         .select(F.col(key).alias("key"), F.col(row).alias("row"), F.explode(_near(body, F.col(mark), reach)).alias("x"))
         .select("key", "row", "x.*"), "mentions")
-    telling = disclosing_terms(docs, mentions, text, threshold, min_contexts)
-    terms = write_once(
-        mentions.join(telling, ["entity", "term"], "left_semi").groupBy("key", "row")
-        .agg(F.collect_set(F.struct("start", F.lit(KINDS.index("term")).alias("rank"), "end")).alias("terms"))
-        .withColumnsRenamed({"key": "__key", "row": "__row"}), "terms")
+    telling = write_once(disclosing_terms(docs, mentions, text, threshold, min_contexts).select("term").distinct(), "telling")
+    held = docs.select(F.col(key).alias("__key"), F.xxhash64(body).alias("__row"),
+                       F.explode(F.array_distinct(_terms(body))).alias("term"))
+    terms = write_once(held.join(telling, "term", "left_semi").groupBy("__key", "__row")
+                       .agg(F.collect_set("term").alias("__terms")), "terms")
     plain = F.transform(mark, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"),
                                                  s["end"].alias("end")))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     return (based.join(terms, (F.col(row) == F.col("__row")) & F.col(key).eqNullSafe(F.col("__key")), "left")
             .withColumn("base", plain)
-            .withColumn("spans", F.sort_array(F.concat("base", F.coalesce("terms", empty))))
+            .withColumn("spans", F.sort_array(F.concat(
+                "base", F.when(F.col("__terms").isNull(), empty).otherwise(_term_spans(body, F.col("__terms"))))))
             .withColumn("sanitised_text", masked(body, F.col("spans"), remove))
-            .drop(mark, row, "__key", "__row", "terms"))
+            .drop(mark, row, "__key", "__row", "__terms"))
 
 
 def masked(text: Column, spans: Column, remove: bool = False) -> Column:
