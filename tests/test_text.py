@@ -132,3 +132,35 @@ def test_model_queries_return_sane_rows(name, spark, data):
         for key in ("accuracy", "macro_f1", "confidence"):
             if key in values:
                 assert 0 <= values[key] <= 1
+
+
+def test_model_queries_do_the_whole_job(spark, data, monkeypatch):
+    fits, searches = [], []
+
+    def fit(df, features, target, *args, **options):
+        fits.append((target, options))
+        return None
+
+    def search(df, learner, space, kind, label, trials=10, folds=5, **options):
+        searches.append((kind, trials, folds))
+        return df, None
+
+    monkeypatch.setattr(M, "fit_regression", fit)
+    monkeypatch.setattr(M, "predict_value", lambda model, rows, features: rows.withColumn("pred", F.lit(0.0)))
+    monkeypatch.setattr(M, "out_of_fold_regression", lambda df, features, target, folds=5, **options: (
+        fits.append((target, {"folds": folds, **options})), (df.withColumn("pred", F.lit(0.0)), []))[1])
+    monkeypatch.setattr(M, "out_of_fold_classes", lambda df, features, label, labels, folds=5, **options: (
+        df.withColumn("pred_label", F.lit("A")), []))
+    monkeypatch.setattr(M, "search_and_fit", search)
+    summary = entry.queries()["ml_t5_summary"](spark, data).where("kind = 'regression'").collect()
+    targets = {f"{m}_{h}" for m in ("price_impact", "volume_multiplier") for h in ("15m", "30m", "1h", "2h", "6h")}
+    assert {t for t, _ in fits} == targets and all(o == {"folds": 5} for _, o in fits) and len(fits) == 20
+    assert all(r.metric in r.horizon or r.horizon == "all" for r in summary) and len(summary) == 2 * 2 * 6
+    fits.clear()
+    rows = entry.queries()["ml_regression"](spark, data).collect()
+    horizons = ("delta_30m", "delta_2h", "delta_6h")
+    assert sorted(fits, key=str) == sorted([(h, {}) for h in horizons] * 2, key=str)
+    assert {(r.tier, r.horizon) for r in rows} >= {(t, h) for t in ("all", "non_confounded") for h in horizons}
+    for name in ("ml_tune", "ml_tune_classes"):
+        entry.queries()[name](spark, data)
+    assert searches == [("spearman", 10, 5), ("macro_f1", 20, 5)]

@@ -15,8 +15,10 @@ from tidegauge.catalog.registry import query
 from tidegauge.operators import learned as M
 from tidegauge.operators.metrics import class_report, confusion_matrix, macro_f1
 from tidegauge.operators.ranking import top_n
+from tidegauge.operators.rows import is_unconfounded
 from tidegauge.operators.splits import holdout_split, stratified_folds
 from tidegauge.plans import learned_reports as R
+from tidegauge.schemas import DELTA_HORIZONS, HORIZON_US, IMPACT_HORIZONS
 
 FEATURES = ["l_quantity", "l_discount", "l_tax", "l_linenumber", "p_size", "p_retailprice"]
 FLAGS = ["A", "N", "R"]
@@ -38,7 +40,7 @@ def folded(v, folds: int):
 @query("ml_multiclass")
 def ml_multiclass(v):
     data = rows(v)
-    model = M.fit_multiclass(data.where("part = 'fit'"), FEATURES, "l_returnflag", FLAGS, trees=10)
+    model = M.fit_multiclass(data.where("part = 'fit'"), FEATURES, "l_returnflag", FLAGS)
     return M.predict_classes(model, data.where("part = 'holdout'"), FEATURES, FLAGS).select(
         *KEYS, F.col("l_returnflag").alias("gold_label"), "pred_label", "confidence", "scores")
 
@@ -46,7 +48,7 @@ def ml_multiclass(v):
 @query("ml_binary")
 def ml_binary(v):
     data = rows(v).withColumn("target", F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.0))
-    model = M.fit_binary(data.where("part = 'fit'"), FEATURES, "target", rounds=5)
+    model = M.fit_binary(data.where("part = 'fit'"), FEATURES, "target")
     predicted = M.predict_value(model, data.where("part = 'holdout'"), FEATURES)
     counts = confusion_matrix(predicted, "target", "pred")
     return class_report(counts, [0.0, 1.0])
@@ -54,47 +56,49 @@ def ml_binary(v):
 
 @query("ml_regression")
 def ml_regression(v):
+    """One regression per tier and horizon."""
     data = rows(v).withColumns({"delta_30m": F.col("l_quantity") * F.col("p_retailprice") / 1000,
-                                "delta_2h": F.col("l_extendedprice") / 1000})
-    long = M.regress_horizons(data.where("part = 'fit'"), data.where("part = 'holdout'"), FEATURES,
-                              ["delta_30m", "delta_2h"], KEYS, rounds=5)
-    return R.horizon_scores(long)
+                                "delta_2h": F.col("l_extendedprice") / 1000,
+                                "delta_6h": F.col("l_extendedprice") * (1 - F.col("l_discount")) / 1000})
+    return R.tiered_regression(data.where("part = 'fit'"), data.where("part = 'holdout'"),
+                               {"all": F.lit(True), "non_confounded": is_unconfounded("confound_flag")}, FEATURES,
+                               [f"delta_{h}" for h in DELTA_HORIZONS], KEYS)
 
 
 @query("ml_oof_regression")
 def ml_oof_regression(v):
-    predicted, _ = M.out_of_fold_regression(folded(v, 5), FEATURES, "l_extendedprice", 5, rounds=3)
+    predicted, _ = M.out_of_fold_regression(folded(v, 5), FEATURES, "l_extendedprice")
     long = predicted.select(F.lit("l_extendedprice").alias("horizon"), F.col("l_extendedprice").alias("gold"), "pred")
     return R.horizon_scores(long)
 
 
 @query("ml_oof_classification")
 def ml_oof_classification(v):
-    predicted, _ = M.out_of_fold_classes(folded(v, 5), FEATURES, "l_returnflag", FLAGS, 5, trees=5)
+    predicted, _ = M.out_of_fold_classes(folded(v, 5), FEATURES, "l_returnflag", FLAGS)
     return R.class_scores_of(predicted, "l_returnflag", FLAGS)
 
 
 @query("ml_tune")
 def ml_tune(v):
-    data = M.assemble(folded(v, 2), FEATURES)
+    data = M.assemble(folded(v, 5), FEATURES)
     learner = GBTRegressor(featuresCol="features", labelCol="l_extendedprice", seed=42)
-    space = {"maxDepth": [2, 3, 4], "maxIter": [2, 3], "stepSize": [0.1, 0.3]}
-    return M.search(data, learner, space, "spearman", "l_extendedprice", trials=2, folds=2)
+    space = {"maxDepth": [2, 3, 4], "maxIter": [10, 20], "stepSize": [0.1, 0.3]}
+    return M.search(data, learner, space, "spearman", "l_extendedprice")
 
 
 @query("ml_tune_classes")
 def ml_tune_classes(v):
-    data = M.assemble(M.index_labels(folded(v, 2), "l_returnflag", FLAGS), FEATURES)
+    data = M.assemble(M.index_labels(folded(v, 5), "l_returnflag", FLAGS), FEATURES)
     learner = RandomForestClassifier(featuresCol="features", labelCol="label_index", seed=42)
-    space = {"maxDepth": [2, 4], "numTrees": [3, 5]}
-    return M.search(data, learner, space, "macro_f1", "label_index", trials=2, folds=2)
+    space = {"maxDepth": [2, 4, 6], "numTrees": [10, 20]}
+    return M.search(data, learner, space, "macro_f1", "label_index", trials=20)
 
 
 @query("ml_early_stop")
 def ml_early_stop(v):
     data = rows(v).withColumns({"target": F.when(F.col("l_linestatus") == "O", 1.0).otherwise(0.0),
                                 "stop_on": F.col("part") == "holdout"})
-    model = M.fit_binary(data, FEATURES, "target", rounds=8, depth=3, stop_on="stop_on")
+    model = M.fit_binary(data, FEATURES, "target", rounds=500, stop_on="stop_on")
     predicted = M.predict_value(model, data.where("stop_on"), FEATURES)
     counts = confusion_matrix(predicted, "target", "pred")
     return macro_f1(counts, [0.0, 1.0]).withColumn("rounds", F.lit(model.getNumTrees))
@@ -102,14 +106,17 @@ def ml_early_stop(v):
 
 @query("top_importances")
 def top_importances(v):
-    _, models = M.out_of_fold_regression(folded(v, 2), FEATURES, "l_extendedprice", 2, rounds=3)
+    _, models = M.out_of_fold_regression(folded(v, 5), FEATURES, "l_extendedprice")
     return top_n(M.importances(models, FEATURES), [F.desc("importance"), F.col("feature")], 5)
 
 
 @query("ml_t5_summary")
 def ml_t5_summary(v):
-    data = folded(v, 2).withColumn("price_impact_2h", F.col("l_extendedprice") / 1e5)
-    return R.impact_summary(data, FEATURES, ["price_impact_2h"], "l_returnflag", FLAGS, folds=2, trees=5, rounds=3)
+    """All ten targets, price impact and volume multiplier at five horizons, and the class."""
+    values = {"price_impact": F.col("l_extendedprice") / 1e5, "volume_multiplier": F.col("l_quantity") * (1 + F.col("l_tax"))}
+    made = {f"{m}_{h}": value * HORIZON_US[h] / HORIZON_US["6h"] for m, value in values.items() for h in IMPACT_HORIZONS}
+    metrics = {m: [f"{m}_{h}" for h in IMPACT_HORIZONS] for m in values}
+    return R.impact_summary(folded(v, 5).withColumns(made), FEATURES, metrics, "l_returnflag", FLAGS)
 
 
 # --------------------------------------------------------------------------- planted rules
@@ -134,7 +141,7 @@ def planted(v):
 def ml_planted_classes(v):
     """Boosted classes with early stopping."""
     data = planted(v).withColumn("stop_on", F.col("part") == "holdout")
-    model = M.fit_boosted_classes(data, _SMALL, "rule", FLAGS, rounds=3, depth=3, stop_on="stop_on")
+    model = M.fit_boosted_classes(data, _SMALL, "rule", FLAGS, rounds=500, stop_on="stop_on")
     return M.predict_classes(model, data.where("stop_on"), _SMALL, FLAGS).select(*_IDS, "pred_label")
 
 
@@ -147,7 +154,7 @@ def ml_planted_regression(v):
     data = planted(v)
     scores = R.tiered_regression(data.where("part = 'fit'"), data.where("part = 'holdout'"),
                                  {"all": F.lit(True), "non_confounded": ~F.col("confound_flag")}, _SMALL,
-                                 ["delta_30m", "delta_2h", "delta_6h"], _IDS, rounds=1, depth=3)
+                                 [f"delta_{h}" for h in DELTA_HORIZONS], _IDS)
     return scores.select("tier", "horizon", "n", F.abs(F.round("mae", 6)).alias("mae"), F.round("spearman", 6).alias("spearman"))
 
 
@@ -156,7 +163,7 @@ WITH {_HELD} SELECT l_orderkey, l_linenumber, l_partkey, {_RULE} AS pred_label F
 def ml_planted_search(v):
     """The best of the trials, fitted on all learning rows, scores the rest."""
     data = planted(v)
-    fit = M.assemble(M.index_labels(stratified_folds(data.where("part = 'fit'"), "rule", _IDS, folds=2), "rule", FLAGS), _SMALL)
+    fit = M.assemble(M.index_labels(stratified_folds(data.where("part = 'fit'"), "rule", _IDS, folds=5), "rule", FLAGS), _SMALL)
     learner = RandomForestClassifier(featuresCol="features", labelCol="label_index", seed=42, featureSubsetStrategy="all")
-    _, best = M.search_and_fit(fit, learner, {"maxDepth": [3, 4], "numTrees": [3, 5]}, "macro_f1", "label_index", trials=2, folds=2)
+    _, best = M.search_and_fit(fit, learner, {"maxDepth": [3, 4], "numTrees": [10, 20]}, "macro_f1", "label_index")
     return M.predict_classes(best, data.where("part = 'holdout'"), _SMALL, FLAGS).select(*_IDS, "pred_label")
