@@ -85,7 +85,7 @@ def test_disclosing_terms_are_masked_everywhere(spark):
     far = " ".join(f"w{chr(97 + i)}" for i in range(26))
     docs = [(i, f"Note {'abcdefghij'[i]} says Zorblatt wrote from zed@example.com today. " + f"{far} then Zorblatt, left. " * (i < 3)) for i in range(8)]
     docs += [(50, "Later zorblatt was seen without the address. "), (51, None)]
-    docs += [(100 + i, f"About the river today and the wide {'klmnopqrst'[i % 10]} valley there. ") for i in range(400)]
+    docs += [(100 + i, f"About the river today and the wide {'klmnopqrst'[i % 10]} valley there. ") for i in range(1500)]
     rows = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert len(rows) == len(docs)
     for i, text in docs:
@@ -96,6 +96,19 @@ def test_disclosing_terms_are_masked_everywhere(spark):
     assert rows[100]["sanitised_text"] == docs[10][1]
 
 
+@pytest.mark.parametrize("name", ["Zorblatt", "O'Zorb", "Zor-Blatt", "Zo7", "İzor"])
+def test_terms_at_edges_and_in_marks(spark, name):
+    docs = [(0, f"{name} wrote from zed@x.org"), (1, f"By zed@x.org {name}"), (2, f"Says ({name}) zed@x.org now"),
+            (3, f"From zed@x.org: \"{name}\" again"), (4, f"{name}zed@x.org"[len(name):] + f" {name}.")]
+    docs += [(100 + i, f"About the river today and the wide {'klmnopqrst'[i % 10]} valley there. ") for i in range(400)]
+    rows = {r["doc_id"]: r for r in pii.sanitise(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i in range(5):
+        at = docs[i][1].index(name)
+        assert (at, at + len(name)) in [(s["start"], s["end"]) for s in rows[i]["spans"] if s["rank"] == 4], docs[i]
+        assert "[EMAIL]" in rows[i]["sanitised_text"] and name not in rows[i]["sanitised_text"]
+    assert rows[100]["sanitised_text"] == docs[5][1]
+
+
 def test_mask_of_overlapping_spans(spark):
     df = spark.createDataFrame([(1, "call +1 4111 1111 1111 or 10.0.0.1@x.org.")], "doc_id long, text string")
     row = pii.sanitise(df).collect()[0]

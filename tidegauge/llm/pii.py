@@ -31,7 +31,8 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-TERM = r"(?<=\s)\p{L}{4,}(?=[,;:!?.]?\s)"
+# A maximal run of letters, digits and marks, with single joiners inside.
+TERM = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*+(?:['’‐‑-][\p{L}\p{N}][\p{L}\p{M}\p{N}]*+)*+"
 _BLOCK = 64
 
 
@@ -115,53 +116,65 @@ def span_text(spans: Column) -> Column:
         ":", names[s["rank"]], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _padded(text: Column) -> Column:
-    return F.concat(F.lit(" "), text, F.lit(" "))
+def _unmarked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of the spans, so that all places stay; terms are sought outside the spans."""
+    return F.when(F.size(spans) == 0, text).otherwise(let(
+        F.struct(spans.alias("s"), running(F.transform(spans, lambda x: x["end"]), lambda a, b: F.greatest(a, b), 0)
+                 .alias("ends")), lambda p: F.concat(F.array_join(F.transform(p["s"], lambda x, i: let(
+                     F.when(i == 0, 0).otherwise(F.get(p["ends"], i - 1)), lambda done: F.concat(
+                         F.substring(text, done + 1, F.greatest(x["start"] - done, F.lit(0))),
+                         F.repeat(F.lit(" "), F.greatest(x["end"] - F.greatest(x["start"], done), F.lit(0)))))), ""),
+                     F.substring(text, F.element_at(p["ends"], -1) + 1, F.length(text)))))
 
 
-def _terms(text: Column) -> Column:
-    """All mentions of terms in a text, in lower case."""
-    return F.transform(F.regexp_extract_all(_padded(text), F.lit(TERM), F.lit(0)), F.lower)
+def _terms(plain: Column) -> Column:
+    """All mentions of terms in a text without its spans, in lower case."""
+    return F.transform(F.regexp_extract_all(plain, F.lit(TERM), F.lit(0)), F.lower)
 
 
-def _term_spans(text: Column, terms: Column) -> Column:
+def _term_spans(plain: Column, terms: Column) -> Column:
     """Spans of every mention of the given lower-case terms."""
-    found = F.filter(find_all(_padded(text), TERM), lambda t: F.array_contains(terms, F.lower(t["value"])))
+    found = F.filter(find_all(plain, TERM), lambda t: F.array_contains(terms, F.lower(t["value"])))
     return F.transform(found, lambda t: F.struct(
-        (t["start"] - 1).alias("start"), F.lit(KINDS.index("term")).alias("rank"), (t["end"] - 1).alias("end")))
+        t["start"].alias("start"), F.lit(KINDS.index("term")).alias("rank"), t["end"].alias("end")))
 
 
-def _near(text: Column, spans: Column, reach: int) -> Column:
-    """Terms within ``reach`` characters of each span, with the value they stand by."""
-    def of(part: Column, first: Column, entity: Column, context: Column) -> Column:
-        return F.transform(find_all(part, TERM), lambda t: F.struct(
-            entity.alias("entity"), F.lower(t["value"]).alias("term"), context.alias("context"),
-            (first + t["start"]).alias("start"), (first + t["end"]).alias("end")))
+def _near(text: Column, plain: Column, spans: Column, reach: int) -> Column:
+    """Terms that lie within ``reach`` characters of each span, with the value they stand by.
+
+    ``plain`` is the text without its spans. Each side is cut with one more
+    character at both ends, which tells whole terms from parts.
+    """
+    def of(begin: Column, end: Column, entity: Column, context: Column) -> Column:
+        first = F.greatest(begin - 1, F.lit(0))
+        part = F.substring(plain, first + 1, end + 1 - first)
+        return F.transform(F.filter(find_all(part, TERM), lambda t: (first + t["start"] >= begin) & (first + t["end"] <= end)),
+                           lambda t: F.struct(entity.alias("entity"), F.lower(t["value"]).alias("term"), context.alias("context"),
+                                              (first + t["start"]).alias("start"), (first + t["end"]).alias("end")))
 
     def around(s: Column) -> Column:
         begin = F.greatest(s["start"] - reach, F.lit(0))
         left = F.substring(text, begin + 1, s["start"] - begin)
         right = F.substring(text, s["end"] + 1, F.lit(reach))
         entity = F.concat(s["rank"].cast("string"), F.lit(":"), F.lower(s["value"]))
-        return let(F.struct(left.alias("l"), right.alias("r")), lambda c: F.concat(
-            of(c["l"], begin, entity, F.xxhash64(c["l"], c["r"])),
-            of(c["r"], s["end"], entity, F.xxhash64(c["l"], c["r"]))))
+        return let(F.xxhash64(left, right), lambda context: F.concat(
+            of(begin, s["start"], entity, context), of(s["end"], s["end"] + reach, entity, context)))
 
     return F.flatten(F.transform(spans, around))
 
 
-def disclosing_terms(docs: DataFrame, mentions: DataFrame, text: str = "text", threshold: float = 0.9,
+def disclosing_terms(docs: DataFrame, mentions: DataFrame, plain: str, threshold: float = 0.9,
                      min_contexts: int = 3) -> DataFrame:
     """Pairs (entity, term) whose term discloses the entity.
 
-    Counts cover all documents. A pair needs ``min_contexts`` different
+    Counts cover all documents; ``plain`` holds their texts without spans. A pair needs ``min_contexts`` different
     surroundings, so copies of one text do not make a pattern.
     """
     pairs = (mentions.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
              .groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("contexts"))
              .where(F.col("contexts") >= min_contexts))
     entities = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
-    terms = docs.select(F.explode(_terms(whole_text(text))).alias("term"))
+    terms = docs.select(F.explode(_terms(F.col(plain))).alias("term"))
     counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
     joined = pairs.join(entities, "entity").join(counts, "term").withColumn(
         "m", counts.agg(F.sum("n_t")).scalar())
@@ -190,27 +203,27 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
     written to the shared folder, so the planner knows their size before it
     joins them.
     """
-    row, mark = free_name(docs, "text_mark"), free_name(docs, "found")
+    row, mark, plain = (free_name(docs, name) for name in ("text_mark", "found", "plain_text"))
     body = whole_text(text)
-    based = docs.withColumns({mark: base_spans(body), row: F.xxhash64(body)})
+    based = docs.withColumns({mark: base_spans(body), row: F.xxhash64(body)}).withColumn(plain, _unmarked(body, F.col(mark)))
     mentions = write_once(
         based.where(F.size(mark) > 0)
-        .select(F.col(key).alias("key"), F.col(row).alias("row"), F.explode(_near(body, F.col(mark), reach)).alias("x"))
+        .select(F.col(key).alias("key"), F.col(row).alias("row"), F.explode(_near(body, F.col(plain), F.col(mark), reach)).alias("x"))
         .select("key", "row", "x.*"), "mentions")
-    telling = write_once(disclosing_terms(docs, mentions, text, threshold, min_contexts).select("term").distinct(), "telling")
-    held = docs.select(F.col(key).alias("__key"), F.xxhash64(body).alias("__row"),
-                       F.explode(F.array_distinct(_terms(body))).alias("term"))
+    telling = write_once(disclosing_terms(based, mentions, plain, threshold, min_contexts).select("term").distinct(), "telling")
+    held = based.select(F.col(key).alias("__key"), F.col(row).alias("__row"),
+                        F.explode(F.array_distinct(_terms(F.col(plain)))).alias("term"))
     terms = write_once(held.join(telling, "term", "left_semi").groupBy("__key", "__row")
                        .agg(F.collect_set("term").alias("__terms")), "terms")
-    plain = F.transform(mark, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"),
+    base = F.transform(mark, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"),
                                                  s["end"].alias("end")))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
     return (based.join(terms, (F.col(row) == F.col("__row")) & F.col(key).eqNullSafe(F.col("__key")), "left")
-            .withColumn("base", plain)
+            .withColumn("base", base)
             .withColumn("spans", F.sort_array(F.concat(
-                "base", F.when(F.col("__terms").isNull(), empty).otherwise(_term_spans(body, F.col("__terms"))))))
+                "base", F.when(F.col("__terms").isNull(), empty).otherwise(_term_spans(F.col(plain), F.col("__terms"))))))
             .withColumn("sanitised_text", masked(body, F.col("spans"), remove))
-            .drop(mark, row, "__key", "__row", "__terms"))
+            .drop(mark, row, plain, "__key", "__row", "__terms"))
 
 
 def masked(text: Column, spans: Column, remove: bool = False) -> Column:
