@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import exact_dedup, packing, pieces, pii, quality_model, quality_rules, sharding, simhash, toxicity, warc
+from tidegauge.llm import (exact_dedup, merkle, packing, pieces, pii, quality_model, quality_rules, sharding, simhash,
+                           toxicity, warc)
+from tidegauge.llm.common import id_crc32
 from tidegauge.llm.sql import ORACLES as ORACLES
 from tidegauge.session import configure
 
@@ -101,3 +103,18 @@ def warc_query(spark, table):
 def sentencepiece_query(spark, table):
     """Ids, score and round trip of every document."""
     return pieces.encode_documents(table("documents"))
+
+
+@query("op11_merkle_manifest")
+def merkle_query(spark, table):
+    """Leaf, roots and proof of every document, and whether a tampered third still verifies."""
+    tampered = F.coalesce(F.pmod(id_crc32(F.col("doc_id")), F.lit(3)) == 0, F.lit(False))
+    text = F.when(tampered, exact_dedup.folded(F.col("text"))).otherwise(F.col("text"))
+    claimed = merkle.leaf_digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], text)
+    found = merkle.verified_manifest(table("documents"), claimed)
+
+    def digest(name):
+        return F.lower(F.hex(name)).alias(name)
+
+    return found.select(F.col("key").alias("doc_id"), digest("leaf"), digest("subroot"), digest("root"),
+                        merkle.proof_digest(F.col("steps")).alias("proof_sha256"), digest("folded_root"), "verified")

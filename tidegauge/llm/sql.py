@@ -50,3 +50,55 @@ SELECT p.page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
   CASE WHEN page_id = lowest THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> lowest THEN lowest END AS refers_to
 FROM p JOIN f USING (s)"""
+
+
+def _levels(name: str, leaves: str, by: str, n: int) -> str:
+    """``n`` levels of runs of eight over ``leaves`` (``by``, ``i``, ``h``), and ``{name}_top``."""
+    parts, last = [], leaves
+    for k in range(1, n + 1):
+        parts.append(f"""{name}_r{k} AS (SELECT {by} AS g, i // 8 AS j, list(h ORDER BY i) AS run FROM
+  (SELECT *, count(*) OVER (PARTITION BY {by}) AS c FROM {last}) WHERE c > 1 GROUP BY 1, 2),
+{name}_l{k} AS (SELECT g AS {by}, j AS i, sha256(array_to_string(run, '')) AS h FROM {name}_r{k}
+  UNION ALL SELECT {by}, i, h FROM (SELECT *, count(*) OVER (PARTITION BY {by}) AS c FROM {last}) WHERE c = 1)""")
+        last = f"{name}_l{k}"
+    return ",\n".join(parts)
+
+
+def _walk(name: str, start: str, n: int, out: str) -> str:
+    """From rows with ``g``, ``i``, ``proof``, ``cur`` up ``n`` levels: siblings appended, ``cur`` folded."""
+    parts, last = [], start
+    for k in range(1, n + 1):
+        step = f"{out}{k}"
+        left, right = "array_to_string(run[1:(i % 8)::INT], '')", "array_to_string(run[(i % 8 + 2)::INT:], '')"
+        parts.append(f"""{step} AS (SELECT s.* REPLACE (CASE WHEN run IS NULL THEN i ELSE i // 8 END AS i,
+  CASE WHEN run IS NULL THEN proof ELSE proof || {left} || {right} END AS proof,
+  CASE WHEN run IS NULL THEN cur ELSE sha256({left} || cur || {right}) END AS cur)
+  FROM {last} s LEFT JOIN {name}_r{k} r ON r.g = s.g AND r.j = s.i // 8)""")
+        last = step
+    return ",\n".join(parts)
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+
+_HEAD = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_CRC = """xor(4294967295::UBIGINT, list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::UBIGINT),
+  lambda a, b: list_reduce(range(8)::UBIGINT[], lambda x, y: xor(x >> 1, 3988292384::UBIGINT * (x & 1)), xor(a, b)),
+  4294967295::UBIGINT))"""
+_LANG_LEVELS, _TOP_LEVELS = 8, 4
+
+ORACLES["op11_merkle_manifest"] = f"""
+WITH d AS (SELECT doc_id, coalesce('=' || lang, '') AS g, sha256({_HEAD} || {_field("text")}) AS leaf,
+  CASE WHEN {_CRC} % 3 = 0 THEN sha256({_HEAD} || {_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")})
+  END AS other FROM documents),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h FROM d),
+{_levels("t", "leaves", "g", _LANG_LEVELS)},
+subs AS (SELECT 0 AS w, g AS name, h, row_number() OVER (ORDER BY g) - 1 AS i FROM t_l{_LANG_LEVELS}),
+{_levels("w", "subs", "w", _TOP_LEVELS)},
+u0 AS (SELECT doc_id, leaf, g, i, '' AS proof, coalesce(other, leaf) AS cur FROM leaves),
+{_walk("t", "u0", _LANG_LEVELS, "u")},
+v0 AS (SELECT u.doc_id, u.leaf, s.h AS subroot, 0 AS g, s.i, u.proof, u.cur FROM u{_LANG_LEVELS} u JOIN subs s ON s.name = u.g),
+{_walk("w", "v0", _TOP_LEVELS, "v")}
+SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = t.h AS verified
+FROM v{_TOP_LEVELS} CROSS JOIN w_l{_TOP_LEVELS} t"""
