@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import (exact_dedup, merkle, packing, pieces, pii, quality_model, quality_rules, sharding, simhash,
-                           toxicity, warc)
+from tidegauge.llm import (exact_dedup, merkle, minhash, packing, pieces, pii, quality_model, quality_rules, sharding,
+                           simhash, toxicity, warc)
 from tidegauge.llm.common import id_crc32
 from tidegauge.llm.sql import ORACLES as ORACLES
 from tidegauge.session import configure
@@ -118,3 +118,9 @@ def merkle_query(spark, table):
 
     return found.select(F.col("key").alias("doc_id"), digest("leaf"), digest("subroot"), digest("root"),
                         merkle.proof_digest(F.col("steps")).alias("proof_sha256"), digest("folded_root"), "verified")
+
+
+@query("op13_minhash")
+def minhash_query(spark, table):
+    """Component of every document under a Jaccard similarity of 0.8 of word pairs."""
+    return minhash.near_duplicates(table("documents"))

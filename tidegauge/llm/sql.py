@@ -102,3 +102,18 @@ v0 AS (SELECT u.doc_id, u.leaf, s.h AS subroot, 0 AS g, s.i, u.proof, u.cur FROM
 {_walk("w", "v0", _TOP_LEVELS, "v")}
 SELECT doc_id, leaf, subroot, t.h AS root, sha256(proof) AS proof_sha256, cur AS folded_root, cur = t.h AS verified
 FROM v{_TOP_LEVELS} CROSS JOIN w_l{_TOP_LEVELS} t"""
+
+ORACLES["op13_minhash"] = r"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+s AS (SELECT DISTINCT r, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS g
+  FROM w, unnest(range(1, greatest(len(ws), 2))) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+links AS (SELECT x, y FROM common JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT r, r AS t FROM w UNION SELECT reach.r, ends.y FROM reach JOIN ends ON ends.x = reach.t),
+least_id AS (SELECT reach.r, min(w.doc_id) AS component_id FROM reach JOIN w ON w.r = reach.t GROUP BY reach.r)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, w.doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM w LEFT JOIN n USING (r) JOIN least_id USING (r)"""
