@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidegauge.llm import (exact_dedup, merkle, minhash, packing, pieces, pii, quality_model, quality_rules, sharding,
-                           simhash, toxicity, warc)
+from tidegauge.llm import (exact_dedup, hard_negatives, merkle, minhash, packing, pieces, pii, quality_model, quality_rules,
+                           sharding, simhash, toxicity, warc)
 from tidegauge.llm.common import id_crc32
 from tidegauge.llm.sql import ORACLES as ORACLES
 from tidegauge.session import configure
@@ -124,3 +124,11 @@ def merkle_query(spark, table):
 def minhash_query(spark, table):
     """Component of every document under a Jaccard similarity of 0.8 of word pairs."""
     return minhash.near_duplicates(table("documents"))
+
+
+@query("op12_hard_negatives")
+def hard_negatives_query(spark, table):
+    """Negatives just below each positive of every hundredth vector."""
+    rows = hard_negatives.whole_vectors(table("embeddings"))
+    moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("id") % 100 == 0)
