@@ -52,9 +52,10 @@ def test_fit_without_two_classes():
 
 def test_grams_cover_the_whole_text():
     long = "clean words here " * 60_000
-    table = np.full(1 << toxicity.BITS, -1, np.int32)
-    table[toxicity.grams(" zqxjw ")[-1]] = 0
-    assert len(toxicity.present(long, table)) == 0 and len(toxicity.present(long + "zqxjw", table)) == 1
+    distinct = toxicity.Distinct()
+    ends = toxicity.grams(" zqxjw ")[-1]
+    assert ends not in distinct(long) and ends in distinct(long + "zqxjw")
+    assert sorted(distinct(long)) == sorted(set(toxicity.grams(long)))
     # every size from every place, repeats included
     text = " ab cd "
     assert len(toxicity.grams("Ab \n cD")) == sum(len(text) - n + 1 for n in toxicity.SIZES)
@@ -62,12 +63,52 @@ def test_grams_cover_the_whole_text():
     assert len(toxicity.grams(None)) == 0
 
 
-def test_linear_fit_and_ratios():
-    ratio, tells = toxicity.log_ratios(np.array([9.0, 5.0]), np.array([0.0, 5.0]), 10, 10)
-    assert np.isclose(ratio[0], np.log((10 / 12) / (1 / 12))) and ratio[1] == 0 and tells[0] > tells[1]
-    y = np.array([1.0, 1, 0, 0])
-    weight, bias = toxicity.fit_linear(np.array([0, 1, 2, 3]), np.array([0, 0, 1, 1]), y, np.array([2.0, -2.0]))
-    assert weight[0] + bias > 1 and weight[1] + bias < -1
+def plain_grams(text):
+    """Character n-grams of a text as a set of buckets, one at a time."""
+    c = " " + " ".join((text or "").lower().split()) + " "
+    out = set()
+    for n in toxicity.SIZES:
+        for i in range(len(c) - n + 1):
+            h = 0
+            for x in c[i:i + n]:
+                h = (h * 1_000_003 + ord(x)) % 2 ** 64
+            out.add((h + n) * 0x9E3779B97F4A7C15 % 2 ** 64 >> 64 - toxicity.BITS)
+    return out
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = toxicity.learn(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    for r in toxicity.score_documents(docs, model).limit(60).collect():
+        z = model.bias + sum(float(model.weight[b]) for b in plain_grams(r["text"]))
+        assert abs(r["score"] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-6
+
+
+def test_fit_uses_every_bucket(spark):
+    texts = [(i, f"word{i % 7} plain rest" + (f" vile{i}x" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(80)]
+    docs = spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(t[0], t[2]) for t in texts], "doc_id long, toxic int"))
+    seen = [t for t in texts if zlib.crc32(str(t[0]).encode()) % 3 != 1]
+    pos, neg = (sum(y == c for *_, y in seen) for c in (1, 0))
+    counts = {}
+    for _, text, y in seen:
+        for b in plain_grams(text):
+            counts.setdefault(b, [0, 0])[y] += 1
+    ratio = {b: np.log((p + 1) / (pos + 2)) - np.log((n + 1) / (neg + 2)) for b, (n, p) in counts.items()}
+    assert {int(b) for b in np.flatnonzero(model.weight)} <= set(counts)
+    # buckets of one text alone have a weight as well, with the sign of their ratio
+    once = [b for b, c in counts.items() if sum(c) == 1]
+    assert once and all(model.weight[b] * ratio[b] > 0 for b in once)
+
+
+def test_descent_and_ratios():
+    a = np.diag([1.0, 10.0, 100.0]).astype(np.float32)
+    goal = np.array([3, -2, 1], np.float32)
+    found = toxicity.minimise(lambda x: (float((x - goal) @ a @ (x - goal)) / 2, a @ (x - goal)), np.zeros(3, np.float32), 0.01,
+                              enough=1e-9)
+    assert np.allclose(found, goal, atol=1e-2)
+    ratio = toxicity.log_ratios(np.array([9.0, 5.0]), np.array([0.0, 5.0]), 10, 10)
+    assert np.isclose(ratio[0], np.log((10 / 12) / (1 / 12))) and ratio[1] == 0
 
 
 DOCS = [(1, None, "a"), (2, "", "b"), (3, "good words in a row here", None), (3, "good words in a row here", None),
