@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidegauge.schemas import TASK_SCHEMAS
 from tidegauge.session import shared_folder
+from tidegauge.sources.json_documents import read_records_in_parts
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -29,16 +30,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_json_document(spark: SparkSession, path: str, schema: T.StructType, keyed: bool = False) -> DataFrame:
-    """A whole-file JSON array of records, or with ``keyed`` an object of records.
-
-    One file is parsed by one task, so many files scale and one huge file does
-    not: convert it once with ``write_bucketed_parquet``.
-    """
-    if not keyed:
-        return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    whole = spark.read.text(path, wholetext=True)
-    records = F.from_json("value", T.MapType(T.StringType(), schema), {"mode": "FAILFAST"})
-    return whole.select(F.explode(F.map_values(records)).alias("r")).select("r.*")
+    """A whole-file JSON array of records, or with ``keyed`` an object of records; one file is read by many tasks."""
+    return read_records_in_parts(spark, path, schema, keyed)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
