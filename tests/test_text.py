@@ -12,6 +12,7 @@ from tidegauge.operators import inference as I
 from tidegauge.operators import learned as M
 from tidegauge.operators import retrieval as X
 from tidegauge.plans import evaluate as E
+from tidegauge.plans import learned_reports as R
 
 import __spark_entry__ as entry
 
@@ -147,14 +148,13 @@ def test_model_queries_do_the_whole_job(spark, data, monkeypatch):
 
     monkeypatch.setattr(M, "fit_regression", fit)
     monkeypatch.setattr(M, "predict_value", lambda model, rows, features: rows.withColumn("pred", F.lit(0.0)))
-    monkeypatch.setattr(M, "out_of_fold_regression", lambda df, features, target, folds=5, **options: (
-        fits.append((target, {"folds": folds, **options})), (df.withColumn("pred", F.lit(0.0)), []))[1])
-    monkeypatch.setattr(M, "out_of_fold_classes", lambda df, features, label, labels, folds=5, **options: (
-        df.withColumn("pred_label", F.lit("A")), []))
+    monkeypatch.setattr(M, "fit_multiclass", lambda *args, **options: None)
+    monkeypatch.setattr(M, "predict_classes", lambda model, rows, features, labels: rows.withColumn("pred_label", F.lit("A")))
     monkeypatch.setattr(M, "search_and_fit", search)
     summary = entry.queries()["ml_t5_summary"](spark, data).where("kind = 'regression'").collect()
     targets = {f"{m}_{h}" for m in ("price_impact", "volume_multiplier") for h in ("15m", "30m", "1h", "2h", "6h")}
-    assert {t for t, _ in fits} == targets and all(o == {"folds": 5} for _, o in fits) and len(fits) == 20
+    assert len(fits) == 2 * 10 * 5 and all(o == {} for _, o in fits)  # scopes, targets, folds
+    assert {r.horizon for r in summary} == targets | {"all"}
     assert all(r.metric in r.horizon or r.horizon == "all" for r in summary) and len(summary) == 2 * 2 * 6
     fits.clear()
     rows = entry.queries()["ml_regression"](spark, data).collect()
@@ -164,3 +164,30 @@ def test_model_queries_do_the_whole_job(spark, data, monkeypatch):
     for name in ("ml_tune", "ml_tune_classes"):
         entry.queries()[name](spark, data)
     assert searches == [("spearman", 10, 5), ("macro_f1", 20, 5)]
+
+
+def test_summary_of_planted_targets(spark):
+    """Every target and class is a rule that trees find, so each score is known; nothing is replaced."""
+    rows = spark.range(360).selectExpr("cast(id % 6 + 1 as double) as x", "cast(id % 5 as int) as fold", "id % 4 = 0 as confound_flag",
+                                       "cast(id % 6 + 1 as double) as a", "cast(2 * (id % 6) + 3 as double) as b",
+                                       "if(id % 6 < 3, 'lo', 'hi') as label")
+    rows = rows.withColumn("b", F.when(F.rand(1) < 2, F.col("b")))  # nullable
+    found = {(r.scope, r.metric, r.horizon): r for r in R.impact_summary(
+        rows, ["x"], {"one": ["a", "b"], "two": ["b"]}, "label", ["hi", "lo"], trees=5).collect()}
+    assert len(found) == 2 * (3 + 2 + 1)
+    for (scope, metric, horizon), r in found.items():
+        n = 360 if scope == "all" else 270
+        if metric is None:
+            assert r.accuracy == r.macro_f1 == 1 and r.n == n
+        else:
+            assert r.mae < 1e-9 and r.n == n * (2 if (metric, horizon) == ("one", "all") else 1)
+            assert r.spearman > 0.95  # last digits differ between folds
+
+
+def test_first_failure_ends_the_fits(spark):
+    def fail():
+        raise ValueError("no fit")
+
+    assert M.run_together(spark, [lambda i=i: spark.range(i).count() for i in range(12)]) == list(range(12))
+    with pytest.raises(ValueError, match="no fit"):
+        M.run_together(spark, [fail, *[lambda: spark.range(10).count()] * 6], at_once=2)

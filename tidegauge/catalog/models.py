@@ -167,3 +167,18 @@ def ml_planted_search(v):
     learner = RandomForestClassifier(featuresCol="features", labelCol="label_index", seed=42, featureSubsetStrategy="all")
     _, best = M.search_and_fit(fit, learner, {"maxDepth": [3, 4], "numTrees": [10, 20]}, "macro_f1", "label_index")
     return M.predict_classes(best, data.where("part = 'holdout'"), _SMALL, FLAGS).select(*_IDS, "pred_label")
+
+
+@query("ml_planted_summary", """
+WITH s AS (SELECT unnest(['all', 'non_confounded']) AS scope),
+n AS (SELECT scope, count(*) AS n FROM s, lineitem WHERE scope = 'all' OR l_suppkey % 4 <> 0 GROUP BY scope),
+r AS (SELECT unnest(['delta_30m', 'delta_2h', 'all']) AS horizon, unnest([1, 1, 2]) AS k)
+SELECT scope, 'delta' AS metric, horizon, 'regression' AS kind, CAST(n * k AS BIGINT) AS n, 0.0::DOUBLE AS mae,
+  NULL::DOUBLE AS accuracy, NULL::DOUBLE AS macro_f1 FROM n, r
+UNION ALL SELECT scope, NULL, NULL, 'class', n, NULL, 1.0, 1.0 FROM n""")
+def ml_planted_summary(v):
+    """Out-of-fold targets and classes of every scope; models of two folds differ in last digits, so ranks are not compared."""
+    data = stratified_folds(planted(v), "rule", _IDS, folds=5)
+    scores = R.impact_summary(data, _SMALL, {"delta": ["delta_30m", "delta_2h"]}, "rule", FLAGS)
+    exact = [F.abs(F.round(c, 6)).alias(c) for c in ("mae", "accuracy", "macro_f1")]
+    return scores.select("scope", "metric", "horizon", "kind", F.col("n").cast("long").alias("n"), *exact)

@@ -8,11 +8,13 @@ importances - are the same.
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
-from pyspark import keyword_only
+from pyspark import inheritable_thread_target, keyword_only
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import Evaluator, MulticlassClassificationEvaluator, RegressionEvaluator
@@ -28,7 +30,48 @@ from tidegauge.operators.rows import balanced_weights, index_labels
 from tidegauge.sources.tables import materialize
 
 
+#: Fits that run at the same time; their tasks share the cluster.
+FITS_AT_ONCE = 8
+#: Rows of a prepared table per task of a fit, so that small tables are not cut into tiny tasks.
+ROWS_PER_TASK = 50_000
+
+
+def run_together(spark: SparkSession, jobs: Sequence[Callable], at_once: int = FITS_AT_ONCE) -> list:
+    """Results of functions that run Spark jobs, ``at_once`` at a time, in their order.
+
+    The threads inherit the caller's job properties. The first failure cancels
+    the jobs of all others and is raised.
+    """
+    context, tag = spark.sparkContext, f"fits-{uuid.uuid4().hex}"
+
+    def tagged(job: Callable):
+        context.addJobTag(tag)
+        try:
+            return job()
+        finally:
+            context.removeJobTag(tag)
+
+    with ThreadPoolExecutor(at_once) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(partial(tagged, job))) for job in jobs]
+        failed = [r for r in wait(running, return_when=FIRST_EXCEPTION).done if r.exception()]
+        if failed:
+            for r in running:
+                r.cancel()
+            context.cancelJobsWithTag(tag)
+            raise failed[0].exception()
+        return [r.result() for r in running]
+
+
+def prepared(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """The table with its ``features`` vector, written once for many fits."""
+    tasks = max(1, -(-df.count() // ROWS_PER_TASK))
+    return materialize(assemble(df, features).coalesce(tasks))
+
+
 def assemble(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Add the ``features`` vector, unless the table is ``prepared``."""
+    if "features" in df.columns:
+        return df
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep").transform(df)
 
 
@@ -114,29 +157,31 @@ def regress_horizons(train: DataFrame, test: DataFrame, features: Sequence[str],
 
 def out_of_fold_regression(df: DataFrame, features: Sequence[str], target: str, folds: int = 5,
                            fold: str = "fold", log_target: bool = True, **options) -> tuple[DataFrame, list[Model]]:
-    """Each fold is predicted by a model fitted on the others, on the log1p scale."""
+    """Each fold is predicted by a model fitted on the others, on the log1p scale; the folds are fitted together."""
     usable = df.where(F.col(target) > -1) if log_target else df
-    scaled = materialize(usable.withColumn("__y", F.log1p(target) if log_target else F.col(target)))
-    models, parts = [], []
-    for i in range(folds):
+    scaled = prepared(usable.withColumn("__y", F.log1p(target) if log_target else F.col(target)), features)
+
+    def one(i: int) -> tuple[DataFrame, Model]:
         model = fit_regression(scaled.where(F.col(fold) != i), features, "__y", **options)
         raw = predict_value(model, scaled.where(F.col(fold) == i), features)
-        parts.append(raw.withColumn("pred", F.expm1("pred") if log_target else F.col("pred")).drop("__y"))
-        models.append(model)
-    return reduce(DataFrame.unionByName, parts), models
+        return raw.withColumn("pred", F.expm1("pred") if log_target else F.col("pred")).drop("__y"), model
+
+    parts, models = zip(*run_together(df.sparkSession, [partial(one, i) for i in range(folds)]))
+    return reduce(DataFrame.unionByName, parts), list(models)
 
 
 def out_of_fold_classes(df: DataFrame, features: Sequence[str], label: str, labels: Sequence[str],
                         folds: int = 5, fold: str = "fold", **options) -> tuple[DataFrame, list[Model]]:
-    """Out-of-fold class predictions with balanced class weights."""
-    df = materialize(df)
-    models, parts = [], []
-    for i in range(folds):
+    """Out-of-fold class predictions with balanced class weights; the folds are fitted together."""
+    df = prepared(df, features)
+
+    def one(i: int) -> tuple[DataFrame, Model]:
         train = balanced_weights(df.where(F.col(fold) != i), label)
         model = fit_multiclass(train, features, label, labels, weight="weight", **options)
-        parts.append(predict_classes(model, df.where(F.col(fold) == i), features, labels))
-        models.append(model)
-    return reduce(DataFrame.unionByName, parts), models
+        return predict_classes(model, df.where(F.col(fold) == i), features, labels), model
+
+    parts, models = zip(*run_together(df.sparkSession, [partial(one, i) for i in range(folds)]))
+    return reduce(DataFrame.unionByName, parts), list(models)
 
 
 def importances(models: Sequence[Model], features: Sequence[str]) -> DataFrame:
