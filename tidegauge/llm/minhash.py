@@ -4,17 +4,20 @@ Shingles are numbered by a 32-bit hash, a circle of ``2 ** 32`` places. Two
 permutations of the circle give all coordinates of a signature: the first,
 ``sigma``, scatters the shingles; coordinate ``k`` is the least value of the
 second, ``pi``, shifted by ``k`` places. Bands of ``ROWS`` coordinates are keys.
-Documents that share a key are compared first by a sketch of two bits per
-coordinate, then by the whole sets of 64-bit shingle hashes.
-
 A pair at the threshold of 0.8 misses all bands with probability
-``(1 - 0.8 ** 5) ** 40``, about 1.3e-7, and fails the sketch with less than
-1e-9; more similar pairs miss far more rarely.
+``(1 - 0.8 ** 5) ** 40``, about 1.3e-7; more similar pairs miss far more rarely.
+
+Documents that share a key are compared first by parities: the set is dealt
+into as many buckets as two to four times its size, with one bit per bucket for an odd
+count. Buckets whose bits differ are at most as many as shingles that one set has and
+the other lacks, so the test never drops a link, and it passes few
+pairs below 0.78. The whole sets of 64-bit shingle hashes confirm the rest.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -24,14 +27,12 @@ from tidegauge.llm.components import components
 SHINGLE, PERCENT = 2, 80
 BANDS, ROWS = 40, 5
 COORDINATES = BANDS * ROWS
-#: Most coordinates whose two bits may differ: 30 are expected at a similarity of 0.8, with a deviation of 5.
-SKETCH_LIMIT = 66
-_LONGS = -(-COORDINATES // 64)
 _U = np.uint64
 _A, _B, _C = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 _CHUNK = 512
 _WORDS = 1 << 20
-_ARROW = "mark long, node binary, n long, bands array<long>, bits array<long>"
+_WORDS_AT_LEAST = 4
+_ARROW = "mark long, node binary, n long, bands array<long>, parity array<long>"
 
 
 class WordHashes(dict):
@@ -90,11 +91,11 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def sketch(coordinates: np.ndarray) -> np.ndarray:
-    """The lowest bits of all coordinates, then their second bits, as longs."""
-    bits = np.zeros((2, _LONGS * 64), np.uint8)
-    bits[0, :len(coordinates)], bits[1, :len(coordinates)] = coordinates & 1, coordinates >> 1 & 1
-    return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """One bit per bucket, set for an odd number of shingles, as longs; 2 ** i buckets, 256 at least, two to four times the set's size."""
+    buckets = max(64 * _WORDS_AT_LEAST, 2 << int(len(shingles) - 1).bit_length())
+    odd = (np.bincount((shingles & _U(buckets - 1)).astype(np.int64), minlength=buckets) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8")
 
 
 def _lists(rows: list[np.ndarray], kind=pa.int64()) -> pa.Array:
@@ -104,50 +105,89 @@ def _lists(rows: list[np.ndarray], kind=pa.int64()) -> pa.Array:
 
 
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``mark`` (hash of the text), ``node`` (128-bit hash of the set, null if empty), ``n``, ``bands``, ``bits``."""
+    """``doc_id``, ``mark`` (hash of the text), ``node`` (128-bit hash of the set, null if empty), ``n``, ``bands``, ``parity``."""
     def run(batches):
         from xxhash import xxh3_128_digest
 
         known, none = WordHashes(), np.zeros(0, np.int64)
         for b in batches:
-            nodes, sizes, bands, bits = [], [], [], []
+            nodes, sizes, bands, parities = [], [], [], []
             for t in b.column(1):
                 found = shingle_set(t.as_py(), known)
-                s = signature(found) if len(found) else None
-                nodes.append(None if s is None else xxh3_128_digest(found.tobytes()))
+                some = len(found) > 0
+                nodes.append(xxh3_128_digest(found.tobytes()) if some else None)
                 sizes.append(len(found))
-                bands.append(none if s is None else band_keys(s))
-                bits.append(none if s is None else sketch(s))
+                bands.append(band_keys(signature(found)) if some else none)
+                parities.append(parity(found) if some else none)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), _lists(bands), _lists(bits)],
-                names=["doc_id", "mark", "node", "n", "bands", "bits"])
+                [b.column(0), b.column(2), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), _lists(bands), _lists(parities)],
+                names=["doc_id", "mark", "node", "n", "bands", "parity"])
 
     on_workers(docs.sparkSession)
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(whole_text(text)).alias("mark"))
     return rows.mapInArrow(run, f"doc_id {docs.schema[key].dataType.simpleString()}, {_ARROW}")
 
 
-def _alike(n1: Column, bits1: Column, n2: Column, bits2: Column, percent: int) -> Column:
-    """Whether sizes allow the similarity and sketches make it possible."""
-    differ = sum((F.bit_count(bits1[i].bitwiseXOR(bits2[i]).bitwiseOR(
-        bits1[_LONGS + i].bitwiseXOR(bits2[_LONGS + i]))) for i in range(_LONGS)), F.lit(0))
-    return (F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent) & (differ <= SKETCH_LIMIT)
+def _alike(n1: Column, p1: Column, n2: Column, p2: Column, percent: int) -> Column:
+    """Whether sizes and parities allow the similarity; true for every pair that has it.
+
+    Of sets so alike in size one has at most twice the other's buckets; its
+    halves are folded together.
+    """
+    common = F.least(F.size(p1), F.size(p2))
+
+    def folded(p: Column, i: Column) -> Column:
+        return F.get(p, i).bitwiseXOR(F.when(F.size(p) > common, F.get(p, i + common)).otherwise(F.lit(0)))
+
+    differ = F.aggregate(F.sequence(F.lit(0), common - 1), F.lit(0), lambda total, i: total + F.bit_count(
+        folded(p1, i).bitwiseXOR(folded(p2, i))))
+    sizes = F.least(n1, n2) * 100 >= F.greatest(n1, n2) * percent
+    return F.when(sizes, differ * (100 + percent) <= (n1 + n2) * (100 - percent)).otherwise(F.lit(False))
+
+
+def _coarse(p: Column) -> list[Column]:
+    """The parities folded to the smallest number of buckets."""
+    return [F.aggregate(F.sequence(F.lit(i), F.size(p) - 1, F.lit(_WORDS_AT_LEAST)), F.lit(0).cast("long"),
+                        lambda x, j: x.bitwiseXOR(F.get(p, j))).alias(f"p{i}") for i in range(_WORDS_AT_LEAST)]
 
 
-def _sketched(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs ``a``, ``b`` (nodes) whose sizes and sketches allow a link."""
+def _likely(pairs: DataFrame, prints: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a``, ``b`` (nodes) whose sizes and parities allow a link; other columns stay."""
     def side(name: str) -> DataFrame:
-        return prints.select(F.col("node").alias(name), F.struct("n", "bits").alias(f"_{name}"))
+        return prints.select(F.col("node").alias(name), F.struct("n", "parity").alias(f"_{name}"))
+
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    return both.where(_alike(F.col("_a.n"), F.col("_a.parity"), F.col("_b.n"), F.col("_b.parity"), percent)).select(*pairs.columns)
+
 
-    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    both = ordered.join(side("a"), "a").join(side("b"), "b")
-    return both.where(_alike(F.col("_a.n"), F.col("_a.bits"), F.col("_b.n"), F.col("_b.bits"), percent)).select("a", "b")
+def _perhaps_in(rows: DataFrame, name: str, table: DataFrame, other: str) -> DataFrame:
+    """The ``rows`` whose hash ``name`` may be in the column ``other``, so that a join need not shuffle the rest.
 
+    A bitmap of 2 ** 16 to 2 ** 27 bits (16 MB), by the number of hashes, is
+    broadcast; where more hashes fill it, fewer rows are spared.
+    """
+    spark = rows.sparkSession
+    power = min(27, max(16, 5 + table.count().bit_length()))
+    bit = F.col(other).bitwiseAND(F.lit((1 << power) - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    words = table.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
+    bitmap = np.zeros(1 << (power - 6), np.int64)
+    bitmap[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    shared = spark.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    @F.pandas_udf("boolean")
+    def there(hashes: pd.Series) -> pd.Series:
+        at = hashes.to_numpy(np.int64).view(np.uint64) & _U((1 << power) - 1)
+        return pd.Series((shared.value[at >> _U(6)] >> (at & _U(63)) & _U(1)).astype(bool))
+
+    return rows.where(there(F.col(name)))
 
-def _sets(docs: DataFrame, prints: DataFrame, pairs: DataFrame, key: str, text: str) -> DataFrame:
-    """``node`` and ``shingles`` of every node in ``pairs``, read again from one document of each.
 
-    Only texts that a pair needs are read in full here, so sets of the others are never stored.
+def _verified(docs: DataFrame, prints: DataFrame, pairs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
+    """The written ``pairs`` whose whole sets have the similarity.
+
+    Sets are read again from one document of each node in a pair, so those of
+    other texts are never stored; they are shuffled once for both sides.
     """
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     picks = write_once(prints.join(wanted, "node").select(
@@ -160,61 +200,74 @@ def _sets(docs: DataFrame, prints: DataFrame, pairs: DataFrame, key: str, text:
             yield pa.RecordBatch.from_arrays([b.column(0), _lists(found)], names=["node", "shingles"])
 
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.xxhash64(whole_text(text)).alias("_m"))
+    rows = _perhaps_in(rows, "_m", picks, "_mark")
     chosen = rows.join(picks, (F.col("_m") == F.col("_mark")) & F.col("_key").eqNullSafe(F.col("_id"))).select("_node", "_text")
-    found = chosen.mapInArrow(run, "node binary, shingles array<long>")
-    return write_once(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose whole sets have the similarity."""
+    sets = (chosen.mapInArrow(run, "node binary, shingles array<long>")
+            .groupBy("node").agg(F.first("shingles").alias("shingles")))  # rows may repeat
     left, right = sets.withColumnsRenamed({"node": "a", "shingles": "sa"}), sets.withColumnsRenamed({"node": "b", "shingles": "sb"})
     common = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(right, "b").join(left, "a").where(
         common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
 
 
+def _rooted(rows: DataFrame, roots: DataFrame, name: str, root: str) -> DataFrame:
+    """Add the root of the node in column ``name``; a node without a row is its own."""
+    return (rows.join(roots.withColumnsRenamed({"node": "_n", "root": "_r"}), F.col(name) == F.col("_n"), "left")
+            .withColumn(root, F.coalesce("_r", name)).drop("_n", "_r"))
+
+
+def _joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The roots after more ``edges`` (``a``, ``b``) between nodes."""
+    ends = _rooted(_rooted(edges, roots, "a", "x"), roots, "b", "y")
+    merged = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    fresh = merged.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))
+    return write_once(_rooted(roots.union(fresh).withColumnRenamed("root", "_old"), merged, "_old", "root").select("node", "root"), "roots")
+
+
 def linked_sets(docs: DataFrame, prints: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Components (``node``, ``root``) of distinct sets under links of at least ``percent``; only linked nodes have a row.
 
-    The two members of a key of two are a pair. Of larger keys every member is
-    paired with the smallest and the largest one, which joins dense groups
-    without listing their pairs. Then keys that still hold members of different
-    components are joined with themselves across components, below the
-    conditions on size and sketch. So no link of two members of a key is lost,
-    and no key is cut.
+    Links between members of a key are looked for in three steps, each only
+    across the components of the last. First every node is confirmed against
+    that smallest or largest member of its keys with which it shares most keys; this joins
+    dense groups at one pair per node. Then against the smallest and largest members of all its
+    keys. Then keys that still hold several components are joined with
+    themselves: members outside the key's largest component against all,
+    below the conditions on size and parity. So no link of two members of a
+    key is lost, no key is cut, and members of one component are not compared.
     """
     keys = prints.select(F.explode("bands").alias("key"), "node")
     shared = write_once(keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count(F.lit(1)).alias("rows"))
                         .where("rows > 1"), "keys")
     members = write_once(keys.join(shared.where("rows > 2").drop("rows"), "key"), "members")
-    stars = (shared.select(F.col("lo").alias("a"), F.col("hi").alias("b"))
-             .union(members.select("node", "lo")).union(members.select("node", "hi")))
-    pairs = write_once(_sketched(stars, prints, percent), "pairs")
-    edges = _verified(pairs, _sets(docs, prints, pairs, key, text), percent)
-    first = components(edges)
-    rooted = members.select("key", "node").join(first.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
-        "key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    open_ = write_once(rooted.join(write_once(mixed, "mixed-keys"), "key", "left_semi")
-                       .join(prints.select("node", "n", "bits"), "node"), "mixed")
-    other = open_.withColumnsRenamed({c: f"{c}2" for c in open_.columns})
-    across = write_once(open_.join(other, (F.col("key") == F.col("key2")) & (F.col("root") < F.col("root2"))
-                                   & _alike(F.col("n"), F.col("bits"), F.col("n2"), F.col("bits2"), percent))
-                        .select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-                        .join(pairs, ["a", "b"], "left_anti"), "across")
-    found = _verified(across, _sets(docs, prints, across, key, text), percent)
-    roots = first.withColumnsRenamed({"node": "_n", "root": "_r"})
-
-    def root_of(name: str) -> DataFrame:
-        return found.join(roots, F.col(name) == F.col("_n"), "left").withColumn(
-            name, F.coalesce("_r", name)).drop("_n", "_r")
-
-    found = root_of("a")
-    found = root_of("b")
-    second = components(found.select("a", "b"))
-    all_nodes = first.union(second.join(first, "node", "left_anti").select("node", F.col("node").alias("root")))
-    return (all_nodes.join(second.withColumnsRenamed({"node": "_n", "root": "_r"}), F.col("root") == F.col("_n"), "left")
-            .select("node", F.coalesce("_r", "root").alias("root")))
+    stars = (shared.select("lo", "hi").union(members.select("lo", "node")).union(members.select("hi", "node"))
+             .toDF("a", "b").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("keys")))
+    pairs = write_once(_likely(stars, prints, percent), "pairs")
+    best = pairs.groupBy(F.col("b").alias("node")).agg(F.max(F.struct("keys", "a"))["a"].alias("a"))
+    first = write_once(best.select("a", F.col("node").alias("b")), "best-pairs")
+    roots = components(_verified(docs, prints, first, percent, key, text))
+    more = _rooted(_rooted(pairs.join(first, ["a", "b"], "left_anti"), roots, "a", "x"), roots, "b", "y").where("x <> y")
+    more = write_once(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "more-pairs")
+    roots = _joined(roots, _verified(docs, prints, more, percent, key, text))
+
+    held = _rooted(members.select("key", "node"), roots, "node", "root")
+    per_root = held.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
+    mixed = write_once(per_root.groupBy("key").agg(F.max(F.struct("rows", "root"))["root"].alias("major"), F.count(F.lit(1)).alias("roots"))
+                       .where("roots > 1").drop("roots"), "mixed-keys")
+    facts = prints.select("node", "n", "parity", *_coarse(F.col("parity")), "bands")
+    open_ = write_once(held.join(mixed, "key").join(facts, "node").withColumn("bands", F.expr(
+        "slice(bands, 1, cast(array_position(bands, key) as int) - 1)")), "mixed")
+    minor = open_.where("root <> major").withColumnsRenamed({c: f"{c}2" for c in open_.columns})
+    apart = (F.col("key") == F.col("key2")) & ((F.col("root") == F.col("major")) | (F.col("root") < F.col("root2")))
+    # the coarse test is a bound as well, and cheap
+    differ = sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"p{i}2"))) for i in range(_WORDS_AT_LEAST)), F.lit(0))
+    apart &= differ * (100 + percent) <= (F.col("n") + F.col("n2")) * (100 - percent)
+    # an earlier key that both have has met them already; a key of two was a pair above
+    met = F.exists(F.zip_with("bands", "bands2", lambda x, y: x.eqNullSafe(y)), lambda same: same)
+    alike = _alike(F.col("n"), F.col("parity"), F.col("n2"), F.col("parity2"), percent)
+    across = open_.join(minor, apart & F.when(alike, ~met).otherwise(F.lit(False)))
+    across = write_once(across.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct(), "across")
+    return _joined(roots, _verified(docs, prints, across, percent, key, text))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -229,7 +282,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     marked = write_once(signatures(docs, key, text), "signatures")
     prints = write_once(marked.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first"), F.min(F.struct("doc_id", "mark")).alias("pick"), F.first("n").alias("n"),
-        F.first("bands").alias("bands"), F.first("bits").alias("bits")), "prints")
+        F.first("bands").alias("bands"), F.first("parity").alias("parity")), "prints")
     roots = linked_sets(docs, prints, percent, key, text).withColumnRenamed("node", "_n")
     rooted = prints.join(roots, F.col("node") == F.col("_n"), "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
