@@ -6,19 +6,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm.common import free_name, id_crc32, on_workers
+from tidegauge.llm.common import free_name, id_crc32, on_workers, write_once
 from tidegauge.llm.labelled import training_rows
 
-#: Learning rows; only their chosen features reach the driver.
+#: Learning rows; their n-grams stay in the shared folder, the driver sees sums per bucket.
 MAX_TRAINING_ROWS = 20_000
 THRESHOLD = 0.7
 SIZES = (3, 4, 5, 6)
 BITS = 20
-FEATURES = 1 << 13
+#: Tasks of a round of the fit; each gives one sum per bucket (4 MB), added up in parts before the driver sees them.
+TASKS, PARTS = 24, 24
+_BATCH = "spark.sql.parquet.columnarReaderBatchSize"
+_TEXTS, _CELLS = 4096, 1 << 15
 _STEP, _MIX = np.uint64(1_000_003), np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1 << 18
 
 
 def grams(text: str | None) -> np.ndarray:
@@ -35,105 +38,188 @@ def grams(text: str | None) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
-def present(text: str | None, table: np.ndarray) -> np.ndarray:
-    """Chosen features that occur in the text, once each; ``table`` maps a bucket to a feature or -1."""
-    found = table[grams(text)]
-    return np.unique(found[found >= 0])
+class Distinct:
+    """Buckets of a text, once each. Holds the place where a bucket was seen last, so nothing is sorted."""
+
+    def __init__(self):
+        self.last = np.zeros(1 << BITS, np.int32)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        found = grams(text)
+        places = np.arange(len(found), dtype=np.int32)
+        self.last[found] = places
+        return found[self.last[found] == places]
 
 
 @dataclass
 class Linear:
-    table: np.ndarray  # bucket to feature, -1 if not chosen
-    weight: np.ndarray
+    weight: np.ndarray  # per bucket, the log-count ratio included
     bias: float
 
     def score(self, texts) -> np.ndarray:
-        z = np.array([self.weight[present(t, self.table)].sum() for t in texts], float) + self.bias
+        distinct = Distinct()
+        z = np.array([self.weight[distinct(t)].sum(dtype=np.float64) for t in texts], float) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def log_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, smooth: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Log-count ratio of each feature and how much it tells: difference of shares times the ratio."""
-    p, q = (pos + smooth) / (n_pos + 2 * smooth), (neg + smooth) / (n_neg + 2 * smooth)
-    r = np.log(p / q)
-    return r, (p - q) * r
+def log_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, smooth: float = 1.0) -> np.ndarray:
+    """Log-count ratio of each bucket, from the number of texts of either class that have it."""
+    return np.log((pos + smooth) / (n_pos + 2 * smooth)) - np.log((neg + smooth) / (n_neg + 2 * smooth))
 
 
-def fit_linear(rows: np.ndarray, features: np.ndarray, y: np.ndarray, ratio: np.ndarray, ridge: float = 1e-4,
-               rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on presence times ratio by accelerated gradient descent.
+def minimise(value, start: np.ndarray, step: float, rounds: int = 40, memory: int = 5, enough: float = 2e-3) -> np.ndarray:
+    """L-BFGS with halved steps, until a step gains no more than ``enough``.
 
-    ``rows`` and ``features`` list the non-zero cells. Both classes weigh the
-    same in total, so the rare one is not talked down. Returns weights per
-    feature, the ratio included, and the bias.
+    ``value`` gives a loss and its gradient; ``step`` scales the first move.
     """
-    n, k = len(y), len(ratio)
-    share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max(n - y.sum(), 1))
-    values = ratio[features]
-    norms = np.bincount(rows, values ** 2, n) + 1
-    step = 1 / (0.25 * norms.mean() + ridge)
-    w, b = np.zeros(k), 0.0
-    vw, vb, momentum = w.copy(), b, 1.0
-    previous = np.inf
-    for _ in range(rounds):
-        z = np.bincount(rows, vw[features] * values, n) + vb
-        loss = share @ (np.logaddexp(0, z) - y * z) + ridge / 2 * vw @ vw
-        if loss > previous:
-            step, momentum, vw, vb = step / 2, 1.0, w.copy(), b
-            previous = np.inf
-            continue
-        previous = loss
-        e = (1 / (1 + np.exp(-z)) - y) * share
-        nw = vw - step * (np.bincount(features, e[rows] * values, k) + ridge * vw)
-        nb = vb - step * e.sum()
-        after = (1 + np.sqrt(1 + 4 * momentum ** 2)) / 2
-        vw, vb = nw + (momentum - 1) / after * (nw - w), nb + (momentum - 1) / after * (nb - b)
-        w, b, momentum = nw, nb, after
-    return w * ratio, b
+    x = start
+    loss, slope = value(x)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    calls = 1
+    while calls < rounds:
+        d, factors = slope.copy(), []
+        for s, y in reversed(moves):
+            factors.append((s @ d) / (s @ y))
+            d -= factors[-1] * y
+        d *= (moves[-1][0] @ moves[-1][1]) / (moves[-1][1] @ moves[-1][1]) if moves else step
+        for (s, y), f in zip(moves, reversed(factors)):
+            d += (f - (y @ d) / (s @ y)) * s
+        share, down = 1.0, float(slope @ d)
+        while calls < rounds:
+            after, new = value(x - np.float32(share) * d)
+            calls += 1
+            if after <= loss - 1e-4 * share * down:
+                break
+            share /= 2
+        else:
+            break
+        s, y = np.float32(-share) * d, new - slope
+        gained = loss - after
+        x, loss, slope = x + s, after, new
+        if s @ y > 1e-10 * (y @ y):
+            moves = [*moves, (s, y)][-memory:]
+        if gained <= enough:
+            break
+    return x
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1,
-          max_rows: int = MAX_TRAINING_ROWS, features: int = FEATURES, key: str = "doc_id", text: str = "text") -> Linear:
-    """Fit on labelled rows outside the held-out fold, ``max_rows`` of them at most.
+def _packed(found: list[np.ndarray], y: list[int]) -> tuple[bytes, ...]:
+    """Texts as one table by bucket: classes, distinct buckets, texts per bucket, and the texts of each in turn.
 
-    Each task counts in which texts a bucket occurs; the sums choose the
-    ``features`` buckets that tell most. Then each text is sent as the list of
-    chosen buckets it has.
+    Tables are small, so that the executors handle no large objects. In this order sums per bucket run along memory, and sums per text fall in a small array.
     """
-    spark = on_workers(docs.sparkSession)
-    rows = training_rows(docs, labels, label, folds, held_out, max_rows, key, text)
-
-    def count(batches):
-        sums = np.zeros((2, 1 << BITS), np.int32)
+    at = np.concatenate(found)
+    order = np.argsort(at, kind="stable")
+    buckets, starts = np.unique(at[order], return_index=True)
+    counts = np.diff(np.append(starts, len(at))).astype(np.uint16)
+    texts = np.repeat(np.arange(len(found), dtype=np.uint16), [len(f) for f in found])[order]
+    gaps = np.diff(buckets, prepend=0).astype(np.int32)  # small numbers, which compress well
+    return np.array(y, np.uint8).tobytes(), gaps.tobytes(), counts.tobytes(), texts.tobytes()
+
+
+def _gathered(cells: DataFrame, body, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums over all tasks: ``body`` turns a packed table into two scalars and adds to ``width`` sums per bucket."""
+    def run(batches):
+        scalars, sums = np.zeros(2), np.zeros((width, 1 << BITS))
         for b in batches:
-            for t, y in zip(b["text"], b["y"]):
-                sums[int(y), np.unique(grams(t))] += 1
-        at = np.flatnonzero(sums.any(axis=0))
-        for i in range(0, len(at), _CHUNK):
-            part = at[i:i + _CHUNK]
-            yield pd.DataFrame({"bucket": part, "neg": sums[0, part], "pos": sums[1, part]})
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                y, gaps, counts, texts = (np.frombuffer(x, k) for x, k in zip(row, (np.uint8, np.int32, np.uint16, np.uint16)))
+                scalars += body(y, np.cumsum(gaps), counts.astype(np.int64), texts, sums)
+        chunks = np.array_split(sums.astype(np.float32).reshape(-1), PARTS)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(PARTS), pa.int32()), *(pa.array([x] + [0.0] * (PARTS - 1)) for x in scalars),
+             pa.array([c.tobytes() for c in chunks])], names=["part", "a", "b", "sums"])
+
+    def add(key, table):
+        total = np.sum([np.frombuffer(x, np.float32) for x in table["sums"].to_pylist()], axis=0, dtype=np.float32)
+        scalars = [pa.array([float(np.sum(table[n].to_numpy()))]) for n in ("a", "b")]
+        return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), *scalars, pa.array([total.tobytes()])],
+                                    names=["part", "a", "b", "sums"])
+
+    kind = "part int, a double, b double, sums binary"
+    parts = cells.coalesce(TASKS).mapInArrow(run, kind).groupBy("part").applyInArrow(add, kind)
+    total, found = np.zeros(2), {}
+    for r in parts.toLocalIterator():
+        total += r["a"], r["b"]
+        found[r["part"]] = np.frombuffer(r["sums"], np.float32)
+    if not found:
+        return total, np.zeros((width, 1 << BITS), np.float32)
+    return total, np.concatenate([found[i] for i in range(PARTS)]).reshape(width, -1)
+
 
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held_out: int = 1,
+          max_rows: int = MAX_TRAINING_ROWS, ridge: float = 1e-4, key: str = "doc_id", text: str = "text") -> Linear:
+    """Fit on labelled rows outside the held-out fold, ``max_rows`` of them at most, with every bucket of the n-grams.
+
+    Logistic regression on presence times log-count ratio. Both classes weigh
+    the same in total, so the rare one is not talked down. The buckets of the
+    learning texts are packed and written to the shared folder once; a round of the fit
+    sums the gradient over them in ``TASKS`` tasks and adds these up in ``PARTS``, and the driver
+    holds a few arrays of one number per bucket.
+    """
+    spark = on_workers(docs.sparkSession)
+    rows = training_rows(docs, labels, label, folds, held_out, max_rows, key, text)
     sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = sizes.get(1, 0), sizes.get(0, 0)
-    table = np.full(1 << BITS, -1, np.int32)
     if not n_pos or not n_neg:  # nothing to tell apart
-        share = n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.5
-        return Linear(table, np.zeros(0), float(np.log(np.clip(share, 1e-3, 0.999) / (1 - np.clip(share, 1e-3, 0.999)))))
-    got = (rows.coalesce(spark.sparkContext.defaultParallelism).mapInPandas(count, "bucket int, neg int, pos int")
-           .groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where("neg + pos > 1").toPandas())
-    ratio, tells = log_ratios(got["pos"].to_numpy(float), got["neg"].to_numpy(float), n_pos, n_neg)
-    chosen = np.lexsort((got["bucket"].to_numpy(), -tells))[:features]
-    table[got["bucket"].to_numpy()[chosen]] = np.arange(len(chosen))
+        share = np.clip(n_pos / (n_pos + n_neg) if n_pos + n_neg else 0.5, 1e-3, 0.999)
+        return Linear(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
 
     def shorten(batches):
+        distinct, found, y, cells = Distinct(), [], [], 0
+        names = ["y", "buckets", "counts", "texts"]
         for b in batches:
-            yield pd.DataFrame({"at": [present(t, table) for t in b["text"]], "y": b["y"]})
-
-    cells = rows.mapInPandas(shorten, "at array<int>, y int").orderBy("y", "at").toPandas()
-    lengths = cells["at"].map(len).to_numpy()
-    flat = np.concatenate(cells["at"].tolist()).astype(np.int64) if len(cells) else np.zeros(0, np.int64)
-    weight, bias = fit_linear(np.repeat(np.arange(len(cells)), lengths), flat, cells["y"].to_numpy(float), ratio[chosen])
-    return Linear(table, weight, bias)
+            for text, mark in zip(b.column(0), b.column(1)):
+                found.append(distinct(text.as_py()))
+                y.append(mark.as_py())
+                cells += len(found[-1])
+                if cells >= _CELLS or len(y) == _TEXTS:
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in _packed(found, y)], names=names)
+                    found, y, cells = [], [], 0
+        if y:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in _packed(found, y)], names=names)
+
+    cells = write_once(rows.select("text", "y").coalesce(TASKS).mapInArrow(
+        shorten, "y binary, buckets binary, counts binary, texts binary"), "buckets")
+
+    batch = spark.conf.get(_BATCH, None)
+    spark.conf.set(_BATCH, "64")  # packed tables are large rows
+
+    def count(y, buckets, counts, texts, sums):
+        starts = np.cumsum(counts) - counts
+        ones = np.add.reduceat(y[texts].astype(np.int32), starts) if len(texts) else counts
+        sums[0, buckets] += ones
+        sums[1, buckets] += counts - ones
+        return 0.0, 0.0
+
+    pos, neg = _gathered(cells, count, 2)[1]
+    ratio = log_ratios(pos, neg, n_pos, n_neg).astype(np.float32)
+    shares = 0.5 / n_neg, 0.5 / n_pos
+    curvature = 0.25 * float((ratio.astype(float) ** 2 * (pos * shares[1] + neg * shares[0])).sum() + 1) + ridge
+
+    def value(point: np.ndarray) -> tuple[float, np.ndarray]:
+        shared = spark.sparkContext.broadcast((point[:-1] * ratio, float(point[-1])))
+
+        def slope(y, buckets, counts, texts, sums):
+            weight, bias = shared.value
+            z = np.bincount(texts, np.repeat(weight[buckets], counts), len(y)) + bias
+            share = np.where(y > 0, shares[1], shares[0])
+            e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * share
+            if len(texts):
+                sums[0, buckets] += np.add.reduceat(e[texts], np.cumsum(counts) - counts)
+            return share @ (np.logaddexp(0, z) - y * z), e.sum()
+
+        (loss, last), sums = _gathered(cells, slope, 1)
+        shared.destroy()
+        out = np.append(sums[0] * ratio + np.float32(ridge) * point[:-1], np.float32(last))
+        return loss + ridge / 2 * float(point[:-1] @ point[:-1]), out
+
+    found = minimise(value, np.zeros((1 << BITS) + 1, np.float32), 1 / curvature)
+    if batch is None:
+        spark.conf.unset(_BATCH)
+    else:
+        spark.conf.set(_BATCH, batch)
+    return Linear(found[:-1] * ratio, float(found[-1]))
 
 
 def score_documents(docs: DataFrame, model: Linear, folds: int = 3, held_out: int = 1, key: str = "doc_id",
@@ -142,7 +228,7 @@ def score_documents(docs: DataFrame, model: Linear, folds: int = 3, held_out: in
 
     A null text counts as empty; a null key is not held out. Repeated rows score
     alike; an empty table gives an empty one. Only the row is looked at, and the
-    model is broadcast: its size is fixed by ``BITS`` and ``FEATURES``.
+    model is broadcast: its size is fixed by ``BITS``.
     """
     spark = on_workers(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
