@@ -98,3 +98,26 @@ def test_price_is_the_best_pattern():
     best = max(a * values[0] + b * values[1] + c * values[2] + d * values[3]
                for a in range(11) for b in range(7) for c in range(5) for d in range(3) if 3 * a + 5 * b + 7 * c + 11 * d <= 30)
     assert abs(value - best) < 1e-9 and abs(pattern @ values - best) < 1e-9 and pattern @ sizes <= 30
+
+
+@pytest.mark.parametrize("text", ["", "a b c d", "the river ran on and the rain fell " * 4])
+def test_short_texts_fill_their_sequences(spark, text):
+    n = len(whole_ids([text])[0])
+    count = 20 * 4096 // n
+    df = spark.range(count, numPartitions=4).selectExpr("id as doc_id", f"'{text}' as text")
+    rows = packing.pack(df).collect()
+    ids = dict.fromkeys(range(count), whole_ids([text])[0])
+    assert check_rows(rows, ids) >= 0.93  # 20 sequences at best, 21 with the last one begun
+    assert len({r["sequence_id"] for r in rows}) <= 21
+
+
+@pytest.mark.parametrize("room", [512, 64])
+def test_bundles_are_never_worse_than_single_pieces(room):
+    for length in range(1, room * packing.UNIT + 1):
+        each = packing.bundle_of(length, room)
+        units = -(-each * length // packing.UNIT)
+        assert units <= room and (each == 1 or units <= room // 8)
+        alone = room // -(-length // packing.UNIT)
+        assert room // units * each >= alone
+        if room == 512 and length <= 64:
+            assert room // units * each * length >= 0.96 * room * packing.UNIT

@@ -1,7 +1,8 @@
 """Packing by cutting stock: column generation over the histogram of piece lengths.
 
 Texts become token ids; ids beyond a sequence are cut off in whole sequences, so
-only remainders need packing. Remainder lengths, rounded up to a unit, make a
+only remainders need packing. Pieces of one short length are bundled so that a
+bundle fills whole units or nearly so; bundles and other pieces, rounded up to a unit, make a
 histogram of bounded size, whatever the number of documents. Its cutting-stock
 linear program is solved on the driver, and the rounded patterns are handed to
 documents by their rank within a length.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import Counter
 from unicodedata import is_normalized
 
 import numpy as np
@@ -162,6 +164,18 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     return rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
+def bundle_of(length: int, room: int, unit: int = UNIT) -> int:
+    """How many pieces of one length make an item, so that a sequence of such items holds most ids.
+
+    An item of several takes at most an eighth of the room (in units), so that
+    items still combine; of equal choices the smallest counts.
+    """
+    def held(each: int) -> int:
+        return room // -(-each * length // unit) * each
+
+    return max(range(1, max(1, room // 8 * unit // length) + 1), key=lambda each: (held(each), -each))
+
+
 def price(values: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:
     """Most valuable pattern that fits: unbounded knapsack by dynamic programming over the room."""
     best, took = np.zeros(room + 1), np.full(room + 1, -1)
@@ -247,29 +261,44 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, tokenizer:
     null keys are packed like others; extra columns are not read; an empty table
     gives an empty one.
 
-    Pieces are written once to the shared folder. The driver sees counts per
-    length unit (``capacity / unit`` of them at most). Ranks within a length come from
-    counts of hashed groups of about a hundred thousand rows, so a hot length is
-    not one task; a sequence holds at most ``capacity`` pieces.
+    Pieces are written once to the shared folder, each with a number of its own. The driver sees
+    counts per length (``capacity`` of them at most). Ranks within a length come from
+    counts of hashed groups of about a hundred thousand rows, so neither a hot length nor
+    a row that repeats is one task; a sequence holds at most ``capacity`` pieces.
+    Pieces left over from bundles, fewer than a bundle for each length, are items of their own.
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "pieces")
-    made = token_pieces(docs, tokenizer, capacity, key, text, with_ids).withColumn(
-        "units", F.ceil(F.col("length") / unit).cast("int"))
+    made = token_pieces(docs, tokenizer, capacity, key, text, with_ids).withColumn("number", F.monotonically_increasing_id())
     made.write.parquet(path)
     pieces = spark.read.schema(made.schema).parquet(path)
-    counts = sorted((r["units"], r["n"]) for r in pieces.groupBy("units").agg(F.count(F.lit(1)).alias("n")).collect())
+    room, items, lengths = capacity // unit, Counter(), []
+    for length, n in sorted((r["length"], r["n"]) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()):
+        each = bundle_of(length, room, unit)
+        wide, narrow, whole = -(-each * length // unit), -(-length // unit), n // each
+        first = items[wide]
+        items[wide] += whole
+        lengths.append((length, -(-n // _GROUP_ROWS), each, whole, wide, first, narrow, items[narrow]))
+        items[narrow] += n - whole * each
+    counts = sorted((u, n) for u, n in items.items() if n)
     sizes, demand = np.array([u for u, _ in counts], np.int64), np.array([n for _, n in counts], np.int64)
-    plan = cutting_stock(sizes, demand, capacity // unit) if counts else []
-
-    groups = int(max(1, -(-int(demand.sum()) // _GROUP_ROWS)))
-    grouped = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)))
-    before = Window.partitionBy("units").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = (grouped.groupBy("units", "part").agg(F.count(F.lit(1)).alias("n"))
-              .select("units", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
-    within = Window.partitionBy("units", "part").orderBy("doc_id", "start", "ids_crc32")
-    ranked = grouped.withColumn("place", F.row_number().over(within) - 1).join(firsts, ["units", "part"]).withColumn(
-        "rank", F.col("before") + F.col("place"))
+    plan = cutting_stock(sizes, demand, room) if counts else []
+
+    rule = spark.createDataFrame(lengths, "length long, parts long, each_item long, whole long, wide int, wide_first long, "
+                                          "narrow int, narrow_first long")
+    grouped = pieces.join(F.broadcast(rule), "length").withColumn(  # a row per length
+        "part", F.pmod(F.xxhash64("doc_id", "number"), F.col("parts")))
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = (grouped.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+              .select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    within = Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32", "number")
+    placing = grouped.withColumn("place", F.row_number().over(within) - 1).join(firsts, ["length", "part"]).withColumn(
+        "nth", F.col("before") + F.col("place"))
+    bundled = F.col("nth") < F.col("whole") * F.col("each_item")
+    ranked = placing.withColumns({
+        "units": F.when(bundled, F.col("wide")).otherwise(F.col("narrow")),
+        "rank": F.when(bundled, F.col("wide_first") + F.floor(F.col("nth") / F.col("each_item"))).otherwise(
+            F.col("narrow_first") + F.col("nth") - F.col("whole") * F.col("each_item"))})
 
     shares: dict[int, list[tuple[int, int, int]]] = {int(s): [] for s in sizes}
     taken, base = dict.fromkeys(shares, 0), 0
@@ -283,6 +312,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, tokenizer:
     mine = F.element_at(F.filter("shares", lambda s: s["first"] <= F.col("rank")), -1)
     placed = (ranked.join(F.broadcast(table), "units").withColumn("mine", mine)  # a row per length unit
               .withColumn("sequence_id", F.col("mine.base") + F.floor((F.col("rank") - F.col("mine.first")) / F.col("mine.each"))))
-    inside = Window.partitionBy("sequence_id").orderBy(F.desc("units"), "rank").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sequence_id").orderBy(F.desc("units"), "rank", "nth").rowsBetween(Window.unboundedPreceding, -1)
     return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)
