@@ -62,6 +62,10 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    return [free_name(df, name) for name in names]
+
+
 def on_workers(spark: SparkSession) -> SparkSession:
     """Make this package importable in Python tasks, and keep their batches small.
 

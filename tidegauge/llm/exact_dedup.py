@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegauge.llm.common import whole_text, write_once
+from tidegauge.llm.common import free_names, whole_text, write_once
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PREFIX = 128
@@ -66,16 +66,17 @@ def mark_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     null key loses to any other. Columns of these names are replaced. A hot text
     is a skewed key of a left join, which the adaptive planner splits.
     """
+    sha, keep, size = free_names(docs, "__sha", "__keep", "__size")
     groups = duplicate_groups(docs, key, text)[1].withColumnsRenamed(
-        {"sha": "__sha", "keep_id": "__keep", "group_size": "__size"}).drop("top_rows")
+        {"sha": sha, "keep_id": keep, "group_size": size}).drop("top_rows")
     joined = docs.withColumn("text_sha256", text_sha256(F.col(text))).join(
-        groups, F.col("text_sha256") == F.col("__sha"), "left")
-    alone = F.col("__sha").isNull()
-    kept = alone | F.col(key).eqNullSafe(F.col("__keep"))
+        groups, F.col("text_sha256") == F.col(sha), "left")
+    alone = F.col(sha).isNull()
+    kept = alone | F.col(key).eqNullSafe(F.col(keep))
     return (joined.withColumns({
-        "keep_id": F.when(alone, F.col(key)).otherwise(F.col("__keep")),
-        "group_size": F.coalesce("__size", F.lit(1)).cast("long"), "kept": kept})
-        .drop("__sha", "__keep", "__size"))
+        "keep_id": F.when(alone, F.col(key)).otherwise(F.col(keep)),
+        "group_size": F.coalesce(size, F.lit(1)).cast("long"), "kept": kept})
+        .drop(sha, keep, size))
 
 
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,16 +86,17 @@ def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     rest are hashed in full, and only they meet the groups in a join.
     """
     prefixes, groups = duplicate_groups(docs, key, text)
-    same = prefixes.withColumnsRenamed({"n": "__n", "prefix": "__prefix"})
-    marked = docs.withColumns({"__n": _length(F.col(text)), "__prefix": _prefix(F.col(text))})
-    alone = marked.join(same, ["__n", "__prefix"], "left_anti")
-    joined = marked.join(same, ["__n", "__prefix"], "left_semi").withColumn("__sha", text_sha256(F.col(text))).join(
-        groups.withColumnsRenamed({"sha": "__s", "keep_id": "__keep", "group_size": "__size", "top_rows": "__rows"}),
-        F.col("__sha") == F.col("__s"), "left")
-    stays = joined.where(F.col("__s").isNull() | F.col(key).eqNullSafe(F.col("__keep")))
-    kept = alone.select(*docs.columns).unionByName(stays.where(F.coalesce("__rows", F.lit(1)) == 1).select(*docs.columns))
+    n, prefix, sha, found, keep, size, rows = free_names(docs, "__n", "__prefix", "__sha", "__s", "__keep", "__size", "__rows")
+    same = prefixes.withColumnsRenamed({"n": n, "prefix": prefix})
+    marked = docs.withColumns({n: _length(F.col(text)), prefix: _prefix(F.col(text))})
+    alone = marked.join(same, [n, prefix], "left_anti")
+    joined = marked.join(same, [n, prefix], "left_semi").withColumn(sha, text_sha256(F.col(text))).join(
+        groups.withColumnsRenamed({"sha": found, "keep_id": keep, "group_size": size, "top_rows": rows}),
+        F.col(sha) == F.col(found), "left")
+    stays = joined.where(F.col(found).isNull() | F.col(key).eqNullSafe(F.col(keep)))
+    kept = alone.select(*docs.columns).unionByName(stays.where(F.coalesce(rows, F.lit(1)) == 1).select(*docs.columns))
     if groups.where("top_rows > 1").isEmpty():
         return kept
     # partial aggregation, so a hot row is one per task
-    repeated = stays.where("__rows > 1").dropDuplicates(["__sha"])
+    repeated = stays.where(F.col(rows) > 1).dropDuplicates([sha])
     return kept.unionByName(repeated.select(*docs.columns))

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegauge.llm.common import free_name, let, whole_text, write_once
+from tidegauge.llm.common import free_names, let, whole_text, write_once
 
 KINDS = ("email", "ip", "card", "phone", "term")
 
@@ -175,7 +175,7 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame, plain: str, threshold
              .where(F.col("contexts") >= min_contexts))
     entities = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
     terms = docs.select(F.explode(_terms(F.col(plain))).alias("term"))
-    counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    counts = write_once(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "term-counts")
     joined = pairs.join(entities, "entity").join(counts, "term").withColumn(
         "m", counts.agg(F.sum("n_t")).scalar())
     told = F.log(F.least("n_ct", "n_t") * F.col("m") / (F.col("n_c") * F.col("n_t")))
@@ -199,11 +199,12 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
 
     Rows are told apart by key and text, a null key included, so repeated rows
     get the same spans. Empty tables give empty ones. The mentions near
-    protected values, the disclosing terms and the terms of each text are
+    protected values, the counts of all terms, the disclosing terms and the terms of each text are
     written to the shared folder, so the planner knows their size before it
     joins them.
     """
-    row, mark, plain = (free_name(docs, name) for name in ("text_mark", "found", "plain_text"))
+    row, mark, plain, same_key, same_row, held_terms = free_names(
+        docs, "text_mark", "found", "plain_text", "__key", "__row", "__terms")
     body = whole_text(text)
     based = docs.withColumns({mark: base_spans(body), row: F.xxhash64(body)}).withColumn(plain, _unmarked(body, F.col(mark)))
     mentions = write_once(
@@ -211,19 +212,19 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
         .select(F.col(key).alias("key"), F.col(row).alias("row"), F.explode(_near(body, F.col(plain), F.col(mark), reach)).alias("x"))
         .select("key", "row", "x.*"), "mentions")
     telling = write_once(disclosing_terms(based, mentions, plain, threshold, min_contexts).select("term").distinct(), "telling")
-    held = based.select(F.col(key).alias("__key"), F.col(row).alias("__row"),
+    held = based.select(F.col(key).alias(same_key), F.col(row).alias(same_row),
                         F.explode(F.array_distinct(_terms(F.col(plain)))).alias("term"))
-    terms = write_once(held.join(telling, "term", "left_semi").groupBy("__key", "__row")
-                       .agg(F.collect_set("term").alias("__terms")), "terms")
+    terms = write_once(held.join(telling, "term", "left_semi").groupBy(same_key, same_row)
+                       .agg(F.collect_set("term").alias(held_terms)), "terms")
     base = F.transform(mark, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"),
                                                  s["end"].alias("end")))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int>>")
-    return (based.join(terms, (F.col(row) == F.col("__row")) & F.col(key).eqNullSafe(F.col("__key")), "left")
+    return (based.join(terms, (F.col(row) == F.col(same_row)) & F.col(key).eqNullSafe(F.col(same_key)), "left")
             .withColumn("base", base)
             .withColumn("spans", F.sort_array(F.concat(
-                "base", F.when(F.col("__terms").isNull(), empty).otherwise(_term_spans(F.col(plain), F.col("__terms"))))))
+                "base", F.when(F.col(held_terms).isNull(), empty).otherwise(_term_spans(F.col(plain), F.col(held_terms))))))
             .withColumn("sanitised_text", masked(body, F.col("spans"), remove))
-            .drop(mark, row, plain, "__key", "__row", "__terms"))
+            .drop(mark, row, plain, same_key, same_row, held_terms))
 
 
 def masked(text: Column, spans: Column, remove: bool = False) -> Column:

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidegauge.llm.common import let, whole_text, words_of
+from tidegauge.llm.common import free_names, let, whole_text, words_of
 
 # Phrases of page furniture, matched in the lower-cased line.
 BOILERPLATE = ("all rights reserved", "apache license", "cookie policy", "copyright ©", "copyright (c)",
@@ -107,13 +107,13 @@ def line_quality(docs: DataFrame, text: str = "text", max_loss: float = 0.5, sym
 
     lines = F.transform(F.split(body, "\n", -1),
                         lambda x: _line(x, symbol_share, separators, shout_share, words_without_mark))
-    measured = docs.withColumns({
-        "__counts": let(words_of(body), counts), "__lines": let(lines, lined)})
-    c, s = F.col("__counts"), F.col("__lines")
+    of_words, of_lines = free_names(docs, "__counts", "__lines")
+    measured = docs.withColumns({of_words: let(words_of(body), counts), of_lines: let(lines, lined)})
+    c, s = F.col(of_words), F.col(of_lines)
     failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])
     return measured.withColumns({
         "n_words": c["n_words"], "word_chars": c["word_chars"], "n_symbols": s["n_symbols"],
         "n_dup_lines": s["n_dup_lines"],
         "n_repeat_words": c["n_repeat_words"], "base_failed": failed, "clean_text": s["clean_text"],
         "lost_words": s["lost_words"],
-        "kept": ~failed & (s["lost_words"] <= max_loss * c["n_words"])}).drop("__counts", "__lines")
+        "kept": ~failed & (s["lost_words"] <= max_loss * c["n_words"])}).drop(of_words, of_lines)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidegauge.llm.common import free_name, let, scratch_path, whole_text
+from tidegauge.llm.common import free_names, let, scratch_path, whole_text
 
 SLOTS = 4096
 
@@ -89,7 +89,7 @@ def shard_records(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: s
     """
     spark = docs.sparkSession
     t = F.col(text)
-    order = free_name(docs, "__key")
+    order, of_slot, first_place, place = free_names(docs, "__key", "__slot", "__first", "__place")
     rows = docs.withColumns({"size": record_size(t), "text_crc32": text_crc32(t), "virtual_slot": slot_of(F.col(key), t, slots),
                              order: F.col(key)})
     sizes = slot_sizes(docs.select(slot_of(F.col(key), t, slots).alias("virtual_slot"), record_size(t).alias("size")),
@@ -98,12 +98,12 @@ def shard_records(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: s
     first = store(first_map(sizes, shards), folder)
     table = latest(store(rebalanced(first, first.select("slot", "bytes", "rows"), shards), folder))
     before = Window.partitionBy("shard").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = table.select(F.col("slot").alias("__slot"), F.col("shard").cast("int").alias("shard"),
+    placed = table.select(F.col("slot").alias(of_slot), F.col("shard").cast("int").alias("shard"),
                           F.col("version").alias("map_version"),
-                          F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("__first"))
+                          F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(first_place))
     within = Window.partitionBy("virtual_slot").orderBy(order, "size", "text_crc32")
     return (rows.drop("shard", "map_version", "slot")
-            .withColumn("__place", F.row_number().over(within) - 1)
-            .join(F.broadcast(placed), F.col("virtual_slot") == F.col("__slot"))
-            .withColumn("slot", F.col("__first") + F.col("__place"))
-            .drop("__slot", "__first", "__place", order))
+            .withColumn(place, F.row_number().over(within) - 1)
+            .join(F.broadcast(placed), F.col("virtual_slot") == F.col(of_slot))
+            .withColumn("slot", F.col(first_place) + F.col(place))
+            .drop(of_slot, first_place, place, order))

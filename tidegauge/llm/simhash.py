@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from tidegauge.llm.common import on_workers, whole_text, write_once
+from tidegauge.llm.common import free_names, on_workers, whole_text, write_once
 from tidegauge.llm.components import components
 
 SHINGLE = 4
@@ -237,19 +237,20 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     Rows are told apart by key and text; of several rows equal in both, one stays.
     """
+    same_id, same_mark, mark = free_names(docs, "__id", "__m", "__mark")
     rows = write_once(_rooted(docs, key, text).groupBy("root", "doc_id", "mark").agg(F.count(F.lit(1)).alias("rows")), "members")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
     best = rows.groupBy("root").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("size")).where("size > 1")
     # The lists hold what goes and what comes twice, so they are short where duplicates are few.
     goes = write_once(rows.join(best, "root").where(place != F.col("best")).select(
-        F.col("doc_id").alias("__id"), F.col("mark").alias("__m")), "dropped")
-    twice = write_once(rows.where("rows > 1").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__m")), "repeated")
+        F.col("doc_id").alias(same_id), F.col("mark").alias(same_mark)), "dropped")
+    twice = write_once(rows.where("rows > 1").select(F.col("doc_id").alias(same_id), F.col("mark").alias(same_mark)), "repeated")
 
     def listed(table: DataFrame):
-        return F.col(key).eqNullSafe(table["__id"]) & (F.col("__mark") == table["__m"])
+        return F.col(key).eqNullSafe(table[same_id]) & (F.col(mark) == table[same_mark])
 
-    stays = docs.withColumn("__mark", F.xxhash64(whole_text(text))).join(goes, listed(goes), "left_anti")
+    stays = docs.withColumn(mark, F.xxhash64(whole_text(text))).join(goes, listed(goes), "left_anti")
     if twice.isEmpty():
         return stays.select(*docs.columns)
-    again = stays.join(twice, listed(twice), "left_semi").dropDuplicates([key, "__mark"])
+    again = stays.join(twice, listed(twice), "left_semi").dropDuplicates([key, mark])
     return stays.join(twice, listed(twice), "left_anti").unionByName(again).select(*docs.columns)
