@@ -153,3 +153,10 @@ def test_quality_separates_the_labels(spark, data):
     rows = entry.queries()["op1_quality_rules"](spark, data).join(
         spark.read.parquet(f"{data}/labels.parquet"), "doc_id").where("not base_failed").collect()
     assert all(r["kept"] == (r["quality"] == 1) for r in rows)
+
+
+@pytest.mark.parametrize("mark", ["।", "؟", "۔", "።", "։", "。"])
+def test_sentence_ends_of_other_scripts(spark, mark):
+    text = "\n".join(" ".join(f"शब्द{i}x{j}" for j in range(16)) + mark for i in range(5))
+    r = quality_rules.line_quality(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    assert r["kept"] and r["clean_text"] == text

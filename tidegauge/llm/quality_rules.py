@@ -16,7 +16,7 @@ BOILERPLATE = ("all rights reserved", "apache license", "cookie policy", "copyri
 
 SYMBOLS = r"[#*$%&|<>]"
 SEPARATORS = r"[|»›•·]"
-MARKS = r"[.!?…:;。！？]"
+MARKS = r"[.!?…:;。！？।॥؟۔։።]"
 SHOUTS = r"[!?]"
 
 MIN_WORDS = 50

@@ -17,7 +17,7 @@ repeats AS (SELECT r, sum(c) AS n FROM (
 l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
 m AS (SELECT r, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
   len(regexp_extract_all(line, '[#*$%&|<>]')) AS symbols, len(regexp_extract_all(line, '[|»›•·]')) AS bars,
-  len(regexp_extract_all(line, '[!?]')) AS shouts, regexp_matches(line, '[.!?…:;。！？]') AS marked,
+  len(regexp_extract_all(line, '[!?]')) AS shouts, regexp_matches(line, '[.!?…:;。！？।॥؟۔։።]') AS marked,
   len(list_filter([{_PHRASES}], lambda p: contains(lower(line), p))) > 0 AS furniture FROM l),
 j AS (SELECT r, sum(symbols) AS n_symbols, count(*) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup,
   coalesce(sum(n) FILTER ((bars >= 2 AND bars * 4 >= n) OR symbols > n * 0.5 OR shouts > n * 0.5
