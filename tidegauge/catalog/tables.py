@@ -15,6 +15,7 @@ from tidegauge.plans import prepare as P
 from tidegauge.plans.evaluate import evaluate_linking, evaluate_propagation, long_metrics, metrics_json
 from tidegauge.plans.reports import propagation_report
 from tidegauge.schemas import struct_of, PROPAGATION_LABELS
+from tidegauge.sources import published as PUB
 from tidegauge.sources import tables as IO
 from tidegauge.streaming import results as OUT
 
@@ -271,6 +272,36 @@ def append_results(v):
     return IO.read_jsonl(v.spark, path, schema)
 
 
+@query("append_batches", "SELECT c_custkey, c_mktsegment FROM customer")
+def append_batches(v):
+    """A batch per segment, each sent twice, next to the folder of a writer that never finished."""
+    schema = struct_of("c_custkey: bigint, c_mktsegment: str")
+    rows = v.table("customer").select("c_custkey", "c_mktsegment")
+    table = v.scratch()
+    rows.write.parquet(f"{table}/data/unfinished")
+    for part in (0, 1, 2, 1, 0):
+        PUB.append_batch(rows.where(F.coalesce(F.pmod("c_custkey", F.lit(3)), F.lit(0)) == part), table, f"part-{part}")
+    return PUB.read_batches(v.spark, table, schema)
+
+
+@query("write_validated", """
+SELECT c_custkey, c_acctbal, (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS refused_for
+FROM customer WHERE c_acctbal >= 0""")
+def write_validated(v):
+    """The table that meets its rules, with the violations that refused the whole one."""
+    rows = v.table("customer").select("c_custkey", "c_acctbal")
+    rules = {"null_key": F.col("c_custkey").isNull(), "negative_balance": F.col("c_acctbal") < 0}
+    path, refused = v.scratch(), {}
+    try:
+        PUB.write_validated(rows, path, rules)
+    except PUB.ContractError as failed:
+        refused = failed.violations
+    good = v.scratch()
+    PUB.write_validated(rows.where("c_acctbal >= 0"), good, rules)
+    return v.spark.read.schema(rows.schema).parquet(good).withColumn(
+        "refused_for", F.lit(refused.get("negative_balance", 0)).cast("long"))
+
+
 @query("ingest_new_files", "SELECT c_custkey, c_mktsegment FROM customer")
 def ingest_new_files(v):
     schema = struct_of("c_custkey: bigint, c_mktsegment: str")
