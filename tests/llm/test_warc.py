@@ -1,5 +1,6 @@
 """Archives: SQL on the whole table, the ZIP directory, odd pages."""
 
+import gzip
 import hashlib
 import io
 import zipfile
@@ -93,3 +94,44 @@ def test_many_slices(spark, tmp_path, monkeypatch):
     assert len(runs) > 20 and sum(len(n) for _, n in runs) == 300
     rows = warc.read_archives(spark.createDataFrame([(path,)], "path string")).collect()
     assert sorted((int(r["page_id"]), bytes(r["payload"])) for r in rows) == list(enumerate(texts))
+
+
+def packed(i):
+    return gzip.compress(warc.record(str(i), f"http://h/{i}", b"page %d " % i * (i % 9 * 500), None, False, "2000-01-01T00:00:00Z"), 1, mtime=0)
+
+
+@pytest.mark.parametrize("index", ["none", "json", "tabs"])
+def test_several_members_and_foreign_indexes(spark, tmp_path, index):
+    path, parts, lines = f"{tmp_path}/several.wacz", {"a.warc.gz": range(20), "b.warc.gz": range(20, 50), "none.warc.gz": []}, []
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("datapackage.json", "{}", zipfile.ZIP_DEFLATED)
+        for name, ids in parts.items():
+            body = b""
+            for i in ids:
+                raw = packed(i)
+                lines.append((name, i, len(body), len(raw)))
+                body += raw
+            z.writestr(f"archive/{name}", body)
+        lines = lines[::-1] + lines[:3]  # out of order, some twice
+        if index == "json":
+            z.writestr("indexes/index.cdxj", "!meta\n" * 2 + "\n".join(
+                f'com,h)/{i} 2000 {{"url": "http://h/{i}", "filename": "{n}", "offset": "{o}", "length": "{size}"}}' for n, i, o, size in lines))
+        elif index == "tabs":
+            z.writestr("indexes/places.tsv", "\n".join(f"{o}\t{size}\tarchive/{n}" for n, _, o, size in lines))
+    rows = warc.read_archives(spark.createDataFrame([(path,)], "path string")).collect()
+    assert sorted((int(r["page_id"]), bytes(r["payload"])) for r in rows) == [(i, b"page %d " % i * (i % 9 * 500)) for i in range(50)]
+
+
+def test_members_are_walked_in_small_steps_and_bad_places_raise():
+    body = b"".join(packed(i) for i in range(12))
+    assert [n for _, n in warc._walked(Buffer(b"xx" + body), 2, len(body), 7)] == [len(packed(i)) for i in range(12)]
+    with pytest.raises(ValueError, match="within a record"):
+        warc._walked(Buffer(body), 0, len(body) - 3)
+    for name, line in (("x.warc.gz", "0\t5\ty.warc.gz"), ("x.warc.gz", "0\t999999999"), ("", "0\t1")):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            if name:
+                z.writestr(f"archive/{name}", body)
+            z.writestr("indexes/i.tsv", line)
+        with pytest.raises(ValueError, match="points outside|does not name"):
+            warc.located_records(Buffer(out.getvalue()))

@@ -1,7 +1,7 @@
 """WARC records in ZIP-packaged archives, written and read in Spark tasks.
 
-An archive is a ZIP of two stored members: records, each compressed on its own,
-and an index of their places. The reader takes the directory and the index by
+An archive is written as a ZIP of two stored members: records, each compressed on its own,
+and an index of their places; archives with more members or other indexes are read as well. The reader takes the directory and the index by
 ranges, deals the records out in slices and reads each slice as one range;
 nothing is extracted.
 """
@@ -12,6 +12,7 @@ import base64
 import gzip
 import hashlib
 import io
+import json
 import re
 import uuid
 import zipfile
@@ -138,20 +139,72 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, key: str =
     return spark.read.schema(schema).parquet(listing)
 
 
+def _places(lines: list[str]) -> list[tuple[str | None, int, int]]:
+    """Member name (null if the line has none), offset and length of each index line: tabs, or JSON after two fields."""
+    out = []
+    for line in lines:
+        if line.endswith("}"):
+            fields = json.loads(line[line.index("{"):])
+            out.append((fields["filename"], int(fields["offset"]), int(fields["length"])))
+        elif line.strip() and not line.startswith("!"):
+            offset, length, *name = line.split("\t")
+            out.append((name[0] if name else None, int(offset), int(length)))
+    return out
+
+
+def _walked(file, start: int, size: int, step: int = 1 << 20) -> list[tuple[int, int]]:
+    """Offset and length of each record of a member without an index; records are compressed one by one."""
+    out, first, at, rest = [], 0, 0, b""
+    while at < size or rest:
+        unpack = zlib.decompressobj(31)
+        while not unpack.eof:
+            if not rest:
+                if at >= size:
+                    raise ValueError("archive member ends within a record")
+                rest = file.read(start + at, min(step, size - at))
+                at += len(rest)
+            while rest and not unpack.eof:
+                unpack.decompress(rest, step)
+                rest = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
+        out.append((first, at - len(rest) - first))
+        first = at - len(rest)
+    return out
+
+
+def located_records(file) -> list[tuple[int, int]]:
+    """Place in the file and length of every record, in order, each once.
+
+    All stored members ``archive/*.warc.gz`` count. Members in ``indexes/`` tell their records, by tabs
+    or as JSON lines; a line without a name belongs to the only archive member. A
+    member that no index knows is walked.
+    """
+    found = members(file)
+    archives = {m.name.removeprefix("archive/"): m for m in found if m.name.startswith("archive/") and m.name.endswith(".warc.gz")}
+    starts = {name: data_start(file, m) for name, m in archives.items()}
+    records: dict[str, set[tuple[int, int]]] = {name: set() for name in archives}
+    for m in found:
+        if not (m.name.startswith("indexes/") and m.name.endswith((".tsv", ".cdx", ".cdxj"))):
+            continue
+        for name, offset, length in _places(file.read(data_start(file, m), m.size).decode().splitlines()):
+            if name is None and len(archives) != 1:
+                raise ValueError(f"{m.name} does not name the member of a record")
+            name = next(iter(archives)) if name is None else name.removeprefix("archive/")
+            if name not in archives or offset + length > archives[name].size:
+                raise ValueError(f"{m.name} points outside the members: {name}, {offset}")
+            records[name].add((offset, length))
+    return sorted((starts[name] + offset, length) for name, known in records.items()
+                  for offset, length in (known or _walked(file, starts[name], archives[name].size)))
+
+
 def slices_of(file, size: int = SLICE_BYTES) -> list[tuple[int, list[int]]]:
     """Runs of neighbouring records: where a run starts in the file and the length of each record."""
-    found = {m.name: m for m in members(file)}
-    index, data = found[INDEX], found[RECORDS]
-    lines = file.read(data_start(file, index), index.size).decode().splitlines()
-    start, out, lengths, filled = data_start(file, data), [], [], 0
-    first = start
-    for line in lines:
-        offset, length = map(int, line.split("\t"))
-        if lengths and filled + length > size:
+    out, lengths, first, filled = [], [], 0, 0
+    for start, length in located_records(file):
+        if lengths and (filled + length > size or start != first + filled):
             out.append((first, lengths))
             lengths, filled = [], 0
         if not lengths:
-            first = start + offset
+            first = start
         lengths.append(length)
         filled += length
     return out + [(first, lengths)] * bool(lengths)
