@@ -4,18 +4,30 @@ Native: column functions and joins only. Positions are code points, ends exclusi
 
 A term near a protected value (an email, address, card or phone number) tells
 something about it. With ``n_ct`` mentions of the term near the value, ``n_c``
-mentions of the value, ``n_t`` mentions of the term anywhere and ``m`` mentions
-of all terms, the pointwise mutual information over the information content of
-the value,
+mentions of all terms near the value, ``n_t`` mentions of the term anywhere and
+``m`` mentions of all terms, the pointwise mutual information over the
+information content of the value,
 
     log(n_ct * m / (n_c * n_t)) / log(m / n_c),
 
 is 1 when the term occurs only beside the value and 0 when it is independent
 of it. Terms at or above a threshold are generalised or removed.
+
+Few mentions count if chance does not explain them. Copies are no evidence, so
+``k`` counts different surroundings of the pair, ``n_d`` the different terms of
+each surrounding of the value, and the term's mentions shrink by its own share
+of copies, ``k / n_ct``. Were the term independent of the value, it would stand
+beside it ``e = n_t * k / n_ct * n_d / m`` times; the chance of ``k`` times is
+then at most ``exp(k - e - k * log(k / e))``.
+That chance times the number of pairs a corpus could show (distinct terms times
+distinct values) must not exceed ``chance``. So a value needs no fixed number
+of mentions: the rarer the term and the larger the corpus, the fewer suffice.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidegauge.llm.common import free_names, let, whole_text, write_once
@@ -164,28 +176,35 @@ def _near(text: Column, plain: Column, spans: Column, reach: int) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, mentions: DataFrame, plain: str, threshold: float = 0.9,
-                     min_contexts: int = 3) -> DataFrame:
+                     min_contexts: int = 2, chance: float = 0.05) -> DataFrame:
     """Pairs (entity, term) whose term discloses the entity.
 
-    Counts cover all documents; ``plain`` holds their texts without spans. A pair needs ``min_contexts`` different
-    surroundings, so copies of one text do not make a pattern.
+    Counts cover all documents; ``plain`` holds their texts without spans. Evidence is the number of different
+    surroundings, so copies of one text do not make a pattern, and must be beyond ``chance``, the number of
+    such pairs expected in the whole corpus if terms and values were independent. Pairs under ``min_contexts``
+    surroundings are left out before the counts are joined; one surrounding alone is never beyond chance.
     """
-    pairs = (mentions.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
-             .groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("contexts"))
+    seen = mentions.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
+    pairs = (seen.groupBy("entity", "term").agg(F.sum("n").alias("n_ct"), F.count(F.lit(1)).alias("contexts"))
              .where(F.col("contexts") >= min_contexts))
-    entities = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_c"))
+    entities = write_once(seen.groupBy("entity").agg(F.sum("n").alias("n_c"), F.count(F.lit(1)).alias("n_d")), "entities")
     terms = docs.select(F.explode(_terms(F.col(plain))).alias("term"))
     counts = write_once(terms.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")), "term-counts")
-    joined = pairs.join(entities, "entity").join(counts, "term").withColumn(
-        "m", counts.agg(F.sum("n_t")).scalar())
-    told = F.log(F.least("n_ct", "n_t") * F.col("m") / (F.col("n_c") * F.col("n_t")))
+    joined = pairs.join(entities, "entity").join(counts, "term").withColumns({
+        "m": counts.agg(F.sum("n_t")).scalar(),
+        "tests": F.log(counts.agg(F.count(F.lit(1))).scalar()) + F.log(entities.agg(F.count(F.lit(1))).scalar())})
+    both = F.least("n_ct", "n_t")
+    told = F.log(both * F.col("m") / (F.col("n_c") * F.col("n_t")))
     share = F.when(F.col("m") > F.col("n_c"), told / F.log(F.col("m") / F.col("n_c"))).otherwise(0.0)
-    return joined.withColumn("disclosure", share).where(F.col("disclosure") >= threshold).select(
+    k = F.col("contexts")
+    e = F.col("n_t") * k / both * F.col("n_d") / F.col("m")
+    beyond = (k > e) & (k - e - k * F.log(k / e) + F.col("tests") <= math.log(chance))
+    return joined.withColumn("disclosure", share).where((F.col("disclosure") >= threshold) & beyond).select(
         "entity", "term", "disclosure")
 
 
-def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.9, min_contexts: int = 3,
-             reach: int = 48, remove: bool = False) -> DataFrame:
+def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.9, min_contexts: int = 2,
+             reach: int = 48, remove: bool = False, chance: float = 0.05) -> DataFrame:
     """Find personal data and disclosing terms and mask them.
 
     Added: ``base`` and ``spans`` (arrays of start, rank in ``KINDS``, end, by
@@ -211,7 +230,7 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold
         based.where(F.size(mark) > 0)
         .select(F.col(key).alias("key"), F.col(row).alias("row"), F.explode(_near(body, F.col(plain), F.col(mark), reach)).alias("x"))
         .select("key", "row", "x.*"), "mentions")
-    telling = write_once(disclosing_terms(based, mentions, plain, threshold, min_contexts).select("term").distinct(), "telling")
+    telling = write_once(disclosing_terms(based, mentions, plain, threshold, min_contexts, chance).select("term").distinct(), "telling")
     held = based.select(F.col(key).alias(same_key), F.col(row).alias(same_row),
                         F.explode(F.array_distinct(_terms(F.col(plain)))).alias("term"))
     terms = write_once(held.join(telling, "term", "left_semi").groupBy(same_key, same_row)
