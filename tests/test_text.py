@@ -59,6 +59,30 @@ def test_inner_product_equals_numpy_for_any_blocking(spark, monkeypatch):
     assert [r.doc_id for r in got] == want
 
 
+def test_block_grid_copies_the_smaller_side():
+    copies = lambda q, d, nq, nd: nq * d + nd * q
+    for nq, nd, cores in [(9_000_000, 40_000, 4000), (200, 10**9, 4000), (10**8, 10**8, 4000), (50_000, 3000, 700)]:
+        q, d = X.block_grid(nq, nd, 4096, 16384, cores)
+        assert q * 4096 >= nq and d * 16384 >= nd and q * d >= min(cores, max(nq, nd) // X.LEAST_BLOCK_ROWS)
+        assert copies(q, d, nq, nd) <= min(copies(math.ceil(nq / 4096), max(cores, math.ceil(nd / 16384)), nq, nd),
+                                           copies(max(cores, math.ceil(nq / 4096)), math.ceil(nd / 16384), nq, nd))
+    assert X.block_grid(9_000_000, 40_000, 4096, 16384, 4000)[1] == 3  # not one copy of a query per core
+    assert X.block_grid(200, 1800, 4096, 16384, 8) == (1, 8)
+    assert X.block_grid(0, 0, 4096, 16384, 8) == (1, 1) and X.block_grid(5, 9, 4096, 16384, 64) == (1, 1)
+
+
+def test_bm25_in_many_blocks_is_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    text = lambda: " ".join(f"w{int(x)}" for x in rng.zipf(1.5, 30) if x < 200)
+    queries = spark.createDataFrame([(i, text()) for i in range(23)], "query_id bigint, text string")
+    docs = spark.createDataFrame([(i, text()) for i in range(150)], "doc_id bigint, text string")
+    run = lambda: [(r.query_id, r.doc_id, round(r.score, 9)) for r in X.bm25_topk(queries, docs, 5).orderBy("query_id", "rn").collect()]
+    whole = run()
+    monkeypatch.setattr(X, "TEXT_QUERY_BLOCK_ROWS", 7)
+    monkeypatch.setattr(X, "TEXT_BLOCK_ROWS", 40)
+    assert run() == whole and len(whole) > 100
+
+
 def test_bm25_equals_the_formula(spark):
     docs = ["the cat sat on the mat", "The dog ate the cat!", "birds", "", "cat cat cat dog"]
     queries = ["cat dog", "the", "zebra"]

@@ -3,7 +3,8 @@
 Both sides are cut into blocks of bounded size by a hash of the ID. A task gets
 one query block and one document block, scores them with one matrix product and
 keeps the best ``k`` per query; only those rows leave the task. Top-k of top-k
-is exact.
+is exact. The number of blocks follows the sizes of the two sides; only a grid
+with fewer cells than the cluster has cores is cut finer (``block_grid``).
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from tidegauge.operators.ranking import last_per_key, top_k
 
 QUERY_BLOCK_ROWS = 4096
 CANDIDATE_BLOCK_ROWS = 16384
+TEXT_QUERY_BLOCK_ROWS = 1024
+TEXT_BLOCK_ROWS = 4096
+# A block is not cut below this many rows to keep more cores busy.
+LEAST_BLOCK_ROWS = 64
 
 # The usual BM25 parameters.
 BM25_K1 = 1.2
@@ -36,8 +41,30 @@ def retrieval_sets(pairs: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
     return queries, markets.drop(order)
 
 
-def _block_count(df: DataFrame, rows: int, at_least: int = 1) -> int:
-    return max(at_least, math.ceil(df.count() / rows))
+def block_grid(queries: int, docs: int, query_rows: int, doc_rows: int, cores: int) -> tuple[int, int]:
+    """Numbers of query and document blocks.
+
+    Every query goes to each document block and every document to each query
+    block, so ``queries * d + docs * q`` rows are shuffled. Blocks are as large
+    as a task may hold. If these give fewer cells than ``cores``, the side is
+    cut finer whose cut copies fewer rows: the queries are copied per document
+    block only while they are the smaller side.
+    """
+    q, d = max(1, math.ceil(queries / query_rows)), max(1, math.ceil(docs / doc_rows))
+    finer = math.ceil(cores / (q * d))
+    if queries * d <= docs * q:
+        d *= max(1, min(finer, docs // (d * LEAST_BLOCK_ROWS)))
+    else:
+        q *= max(1, min(finer, queries // (q * LEAST_BLOCK_ROWS)))
+    return q, d
+
+
+def _grid(queries: DataFrame, docs: DataFrame, query_rows: int, doc_rows: int) -> tuple[int, int]:
+    """Block grid for two tables; their rows are counted in one job."""
+    sides = queries.select(F.lit(0).alias("side")).unionAll(docs.select(F.lit(1).alias("side")))
+    sizes = dict(sides.groupBy("side").count().collect())
+    return block_grid(sizes.get(0, 0), sizes.get(1, 0), query_rows, doc_rows,
+                      queries.sparkSession.sparkContext.defaultParallelism)
 
 
 def _block(column: str, blocks: int):
@@ -76,9 +103,7 @@ def topk_inner_product(queries: DataFrame, candidates: DataFrame, k: int = 10,
 
     Inputs are ``(query_id, vec)`` and ``(doc_id, vec)`` with unique IDs.
     """
-    parallel = queries.sparkSession.sparkContext.defaultParallelism
-    q_blocks = _block_count(queries, QUERY_BLOCK_ROWS)
-    d_blocks = _block_count(candidates, CANDIDATE_BLOCK_ROWS, at_least=parallel)
+    q_blocks, d_blocks = _grid(queries, candidates, QUERY_BLOCK_ROWS, CANDIDATE_BLOCK_ROWS)
 
     def score(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if q.empty or d.empty:
@@ -143,9 +168,7 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
                .agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights")))
     bags = q_terms.groupBy("query_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
 
-    parallel = queries.sparkSession.sparkContext.defaultParallelism
-    q_blocks = _block_count(queries, 512)
-    d_blocks = _block_count(docs, 2048, at_least=parallel)
+    q_blocks, d_blocks = _grid(queries, docs, TEXT_QUERY_BLOCK_ROWS, TEXT_BLOCK_ROWS)
 
     def score(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         if q.empty or d.empty:
