@@ -61,7 +61,7 @@ def test_inner_product_equals_numpy_for_any_blocking(spark, monkeypatch):
 
 def test_block_grid_copies_the_smaller_side():
     copies = lambda q, d, nq, nd: nq * d + nd * q
-    for nq, nd, cores in [(9_000_000, 40_000, 4000), (200, 10**9, 4000), (10**8, 10**8, 4000), (50_000, 3000, 700)]:
+    for nq, nd, cores in [(9_000_000, 40_000, 4000), (200, 10**9, 4000), (10**8, 10**8, 4000), (50_000, 3000, 800)]:
         q, d = X.block_grid(nq, nd, 4096, 16384, cores)
         assert q * 4096 >= nq and d * 16384 >= nd and q * d >= min(cores, max(nq, nd) // X.LEAST_BLOCK_ROWS)
         assert copies(q, d, nq, nd) <= min(copies(math.ceil(nq / 4096), max(cores, math.ceil(nd / 16384)), nq, nd),

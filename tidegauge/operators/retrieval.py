@@ -51,12 +51,9 @@ def block_grid(queries: int, docs: int, query_rows: int, doc_rows: int, cores: i
     block only while they are the smaller side.
     """
     q, d = max(1, math.ceil(queries / query_rows)), max(1, math.ceil(docs / doc_rows))
-    finer = math.ceil(cores / (q * d))
     if queries * d <= docs * q:
-        d *= max(1, min(finer, docs // (d * LEAST_BLOCK_ROWS)))
-    else:
-        q *= max(1, min(finer, queries // (q * LEAST_BLOCK_ROWS)))
-    return q, d
+        return q, max(d, min(math.ceil(cores / q), docs // LEAST_BLOCK_ROWS))
+    return max(q, min(math.ceil(cores / d), queries // LEAST_BLOCK_ROWS)), d
 
 
 def _grid(queries: DataFrame, docs: DataFrame, query_rows: int, doc_rows: int) -> tuple[int, int]:
