@@ -148,6 +148,20 @@ def test_regression_and_search(learnable):
     assert all(r.score > 0.8 for r in trials.collect())
 
 
+def test_dense_blocks_hold_one_slice_of_scores(monkeypatch):
+    """Scores of a block are formed for a slice of its queries at a time, with the same best rows."""
+    rng = np.random.default_rng(3)
+    q, d = rng.integers(-3, 4, (50, 8)).astype(float), rng.integers(-3, 4, (200, 8)).astype(float)
+    seen = []
+    best = X._best_of_block
+    monkeypatch.setattr(X, "_best_of_block", lambda scores, *a: seen.append(scores.size) or best(scores, *a))
+    whole = X._best_of_products(q, d, np.arange(50), np.arange(200), 4, 8)
+    assert seen == [50 * 200]
+    monkeypatch.setattr(X, "SCORES_AT_ONCE", 1500)
+    sliced = X._best_of_products(q, d, np.arange(50), np.arange(200), 4, 8)
+    assert max(seen[1:]) <= 1500 and whole.equals(sliced)
+
+
 @pytest.mark.parametrize("name", ["ml_multiclass", "ml_binary", "ml_early_stop", "ml_regression", "top_importances"])
 def test_model_queries_return_sane_rows(name, spark, data):
     rows = entry.queries()[name](spark, data).collect()

@@ -1,8 +1,8 @@
 """Dense and lexical top-k retrieval without forming all query-document rows.
 
 Both sides are cut into blocks of bounded size by a hash of the ID. A task gets
-one query block and one document block, scores them with one matrix product and
-keeps the best ``k`` per query; only those rows leave the task. Top-k of top-k
+one query block and one document block, scores them with matrix products and
+keeps the best ``k`` per query, a slice of the queries at a time; only those rows leave the task. Top-k of top-k
 is exact. The number of blocks follows the sizes of the two sides; only a grid
 with fewer cells than the cluster has cores is cut finer (``block_grid``).
 """
@@ -24,6 +24,8 @@ TEXT_QUERY_BLOCK_ROWS = 1024
 TEXT_BLOCK_ROWS = 4096
 # A block is not cut below this many rows to keep more cores busy.
 LEAST_BLOCK_ROWS = 64
+# Scores of a dense block that a task holds at a time; its sort takes five arrays of that many numbers.
+SCORES_AT_ONCE = 1 << 21
 
 # The usual BM25 parameters.
 BM25_K1 = 1.2
@@ -80,6 +82,19 @@ def _best_of_block(scores: np.ndarray, q_ids: np.ndarray, d_ids: np.ndarray, k:
     return out[out["score"] > 0] if positive_only else out
 
 
+def _best_of_products(left: np.ndarray, right: np.ndarray, q_ids: np.ndarray, d_ids: np.ndarray, k: int,
+                      digits: int | None) -> pd.DataFrame:
+    """Best ``k`` inner products per row of ``left``, for a slice of these rows at a time."""
+    step = max(1, SCORES_AT_ONCE // len(right))
+    found = []
+    for at in range(0, len(left), step):
+        product = left[at:at + step] @ right.T
+        if digits is not None:
+            np.round(product, digits, out=product)
+        found.append(_best_of_block(product, q_ids[at:at + step], d_ids, k, False))
+    return pd.concat(found, ignore_index=True)
+
+
 def _blocked_top_k(queries: DataFrame, docs: DataFrame, score: Callable, k: int,
                    q_blocks: int, d_blocks: int, digits: int | None) -> DataFrame:
     """Send each query block to each document block, score, merge the best rows."""
@@ -107,10 +122,7 @@ def topk_inner_product(queries: DataFrame, candidates: DataFrame, k: int = 10,
             return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
         left = np.stack(q["vec"].to_numpy()).astype(np.float64)
         right = np.stack(d["vec"].to_numpy()).astype(np.float64)
-        product = left @ right.T
-        if digits is not None:
-            product = np.round(product, digits)
-        return _best_of_block(product, q["query_id"].to_numpy(), d["doc_id"].to_numpy(), k, False)
+        return _best_of_products(left, right, q["query_id"].to_numpy(), d["doc_id"].to_numpy(), k, digits)
 
     return _blocked_top_k(queries, candidates, score, k, q_blocks, d_blocks, digits)
 
