@@ -229,3 +229,35 @@ def test_first_failure_ends_the_fits(spark):
     assert M.run_together(spark, [lambda i=i: spark.range(i).count() for i in range(12)]) == list(range(12))
     with pytest.raises(ValueError, match="no fit"):
         M.run_together(spark, [fail, *[lambda: spark.range(10).count()] * 6], at_once=2)
+
+
+def test_cells_of_many_equal_vectors_are_fitted_as_one_row(spark):
+    """The same trees and scores from a weight per cell; a feature of more values than bins is cut, with its order kept."""
+    rows = spark.range(6000).selectExpr("cast(id % 6 as double) as x", "cast(id % 4 as double) as z", "cast(id % 5 as int) as fold",
+                                        "id % 7 = 0 as stop_on", "cast(id % 6 * 2 + id % 7 as double) as y",
+                                        "if(id % 6 < 3, 'lo', 'hi') as label", "cast(id as double) as long_one")
+    features = ["x", "z"]
+    table = M.prepared(rows, features)
+    cells = M.condensed(table, ["fold"], ["y"], size=5)
+    assert M.weight_of(cells) == "__rows" and cells.count() == 60 and cells.agg(F.sum("__rows")).first()[0] == 6000
+    assert M.weight_of(M.condensed(M.assemble(rows, features))) is None
+    plain, short = (M.fit_regression(t, features, "y") for t in (M.assemble(rows, features), table))
+    got = [M.predict_value(m, rows.dropDuplicates(["x", "z"]), features).orderBy("x", "z").collect() for m in (plain, short)]
+    assert all(abs(a.pred - b.pred) < 1e-9 for a, b in zip(*got))
+    classes = M.fit_boosted_classes(table, features, "label", ["hi", "lo"], rounds=30, stop_on="stop_on")
+    assert M.predict_classes(classes, table, features, ["hi", "lo"]).where("label <> pred_label").isEmpty()
+    cut = M.prepared(rows, ["long_one"])
+    pairs = cut.select("long_one", M.vector_to_array("features")[0].alias("b")).orderBy("long_one").collect()
+    assert len({r.b for r in pairs}) <= M.BINS and [r.b for r in pairs] == sorted(r.b for r in pairs)
+    assert not cut.schema["features"].metadata["ml_attr"].get("attrs", {}).get("nominal")
+
+
+def test_trials_of_equal_parameters_are_fitted_once(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("cast(id % 8 as double) as x", "cast(id % 5 as int) as fold", "cast(id % 8 > 3 as double) as y")
+    fits = []
+    monkeypatch.setattr(M, "_fit", lambda learner, rows, fit=M._fit: fits.append(1) or fit(learner, rows))
+    learner = M.RandomForestClassifier(featuresCol="features", labelCol="y", seed=1, numTrees=3)
+    found = M.search(M.assemble(rows, ["x"]), learner, {"maxDepth": [2, 3]}, "macro_f1", "y", trials=7, folds=5)
+    trials = found.collect()
+    assert len(trials) == 7 and len(fits) == 2 * 5 + 1
+    assert all(len({t.score for t in trials if t.maxDepth == d}) == 1 for d in ("2", "3"))
