@@ -101,6 +101,27 @@ def test_fit_uses_every_bucket(spark):
     assert once and all(model.weight[b] * ratio[b] > 0 for b in once)
 
 
+def test_rounds_leave_no_shuffle_files(spark, monkeypatch):
+    """The disk a fit takes does not depend on the number of its rounds."""
+    def files():
+        return spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+
+    found, descend = [], toxicity.minimise
+
+    def watched(value, *rest):
+        def counted(x):
+            out = value(x)
+            found.append(files())
+            return out
+        return descend(counted, *rest)
+
+    monkeypatch.setattr(toxicity, "minimise", watched)
+    docs = spark.createDataFrame([(i, f"word{i % 7} rest" + " vile" * (i % 4 == 0)) for i in range(80)], "doc_id long, text string")
+    toxicity.learn(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(80)], "doc_id long, toxic int"))
+    assert len(found) > 3 and max(found) <= found[0]
+    assert all(spark.conf.get(k, None) != v for k, v in toxicity._SETTINGS.items())
+
+
 def test_descent_and_ratios():
     a = np.diag([1.0, 10.0, 100.0]).astype(np.float32)
     goal = np.array([3, -2, 1], np.float32)
