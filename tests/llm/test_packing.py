@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -60,6 +61,19 @@ def test_odd_texts_and_small_sequences(spark):
     assert packing.pack(df.limit(0)).count() == 0
 
 
+def test_case_and_marks_are_no_new_words():
+    """A word of ASCII letters is learned once; ids equal the tokenizer's whatever surrounds it."""
+    with open(public_tokenizers.path(packing.TOKENIZER), encoding="utf-8") as file:
+        encoder = packing.Encoder(file.read())
+    words = [a + b + "qu" for a in ("ba", "zor", "Ie") for b in ("xi", "LLO", "t")]
+    texts = [" ".join(f(w) + m for f in (str.lower, str.upper, str.title) for m in ("", ".", "!!")) for w in words]
+    odd = ["it's a.b, x\"., é. É!! éa|", "w  w\n\nW.\tw", "|<|endoftext|>| 5. a5.", "K. ſ ﬁ.", ""]
+    assert encoder.encode(pa.array(texts * 3)) == [np.array(i[:-1], "<u4").tobytes() for i in whole_ids(texts)] * 3
+    assert len(encoder._known) <= len(words) + 3  # the marks and the empty word
+    for part in (odd, odd[:0], odd[::-1] + texts):
+        assert encoder.encode(pa.array(part, pa.string())) == [np.array(i[:-1], "<u4").tobytes() for i in whole_ids(part)]
+
+
 def test_null_keys_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, "c"), (1, "c"), (1, None)], "doc_id long, text string")
     rows = packing.pack(df).collect()

@@ -16,7 +16,8 @@ from collections import Counter
 from unicodedata import is_normalized
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidegauge.llm.common import on_workers, scratch_path
@@ -28,7 +29,8 @@ TOKENIZER = "word_bpe_49k.json"
 
 _CACHED = 500_000
 _MARKS = ".,;:!?&%$#*|"
-_PART_CHARS = 1 << 20
+_LETTERS = "abcdefghijklm nopqrstuvwxyz s t re ve m ll d i"
+_PART_BYTES = 1 << 22
 _GROUP_ROWS = 100_000
 
 
@@ -39,13 +41,20 @@ class Encoder:
     text are those of its pieces between spaces and line feeds. It also parts
     letters from marks, so new words of plain small letters are encoded together
     as one text and told apart by the ids that end a word; others one by one.
+    Where the tokenizer leaves words of small ASCII letters as they are, these go to its model at once.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores belong to other tasks
-        self._tokenizer = Tokenizer.from_str(tokenizer_json)
+        self._tokenizer = self._bare = Tokenizer.from_str(tokenizer_json)
+        normal, parted = self._tokenizer.normalizer, self._tokenizer.pre_tokenizer
+        text = normal.normalize_str(_LETTERS) if normal else _LETTERS
+        if text == _LETTERS and parted and [w for w, _ in parted.pre_tokenize_str(text)] == _LETTERS.split():
+            self._bare = Tokenizer.from_str(tokenizer_json)
+            self._bare.normalizer, self._bare.pre_tokenizer = None, WhitespaceSplit()
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self._ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -56,21 +65,26 @@ class Encoder:
         for word, e in zip(words, self._tokenizer.encode_batch_fast(words, add_special_tokens=False)):
             self._known[word] = np.array(e.ids, "<u4").tobytes()
 
-    def _together(self, words: list[str]) -> None:
-        e, = self._tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)
-        ids = np.array(e.ids, "<u4")
-        ends = np.flatnonzero(self._ends[ids]) + 1
-        if len(ends) != len(words):
-            self._one_by_one(words)
-            return
-        flat, at = ids.tobytes(), 0
-        for word, end in zip(words, (4 * ends).tolist()):
-            self._known[word] = flat[at:end]
-            at = end
+    def _together(self, tokenizer, words: list[str]) -> None:
+        for i in range(0, len(words), 2000):
+            some = words[i:i + 2000]
+            e, = tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self._ends[ids]) + 1
+            if len(ends) != len(some):
+                self._one_by_one(some)
+                continue
+            flat, at = ids.tobytes(), 0
+            for word, end in zip(some, (4 * ends).tolist()):
+                self._known[word] = flat[at:end]
+                at = end
 
     def _learn(self, words: list[str]) -> None:
+        self._together(self._bare, [w for w in words if w.isascii() and w.islower() and w.isalpha()])
         plain, built, other = set(), [], []
         for word in words:
+            if word in self._known:
+                continue
             base = word.rstrip(_MARKS)
             small = base.lower() if base.isascii() else base
             if small.isalpha() and small.islower() and (small.isascii() or is_normalized("NFC", small)):
@@ -81,27 +95,65 @@ class Encoder:
                 other.append(word)
         marks = {m for _, _, m in built}
         self._one_by_one([w for w in other + list(marks) if w not in self._known])
-        fresh = [w for w in plain if w not in self._known]
-        for i in range(0, len(fresh), 2000):
-            self._together(fresh[i:i + 2000])
+        self._together(self._tokenizer, [w for w in plain if w not in self._known])
         for word, small, mark in built:
             self._known[word] = self._known[small] + self._known[mark]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
+    def _look_up(self, words: list[str]) -> list[bytes]:
         if len(self._known) > _CACHED:
             self._known, self._older = {"": b""}, self._known
-        known, older = self._known, self._older
+        found = list(map(self._known.get, words))
+        missing = [i for i, ids in enumerate(found) if ids is None]
         new = []
-        for word in set().union(*parts) - known.keys():
-            found = older.get(word)
-            if found is None:
+        for word in map(words.__getitem__, missing):
+            ids = self._older.get(word)
+            if ids is None:
                 new.append(word)
             else:
-                known[word] = found
+                self._known[word] = ids
         if new:
             self._learn(new)
-        return [b"".join(map(known.__getitem__, words)) for words in parts]
+        for i in missing:
+            found[i] = self._known[words[i]]
+        return found
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of every text.
+
+        Arrow parts the texts and numbers their words. Of each distinct word of
+        ASCII letters and marks after them, small letters and marks are looked up apart, of others the whole.
+        """
+        parts = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()), "\n", " "), " ")
+        words = parts.flatten().dictionary_encode()
+        whole = words.dictionary
+        base = pc.utf8_rtrim(whole, _MARKS)
+        plain = pc.and_(pc.string_is_ascii(base), pc.ascii_is_alpha(base))
+        keys = pc.if_else(plain, pc.ascii_lower(base), whole).dictionary_encode()
+        marked = np.flatnonzero(pc.and_(plain, pc.less(pc.binary_length(base), pc.binary_length(whole))).to_numpy(False))
+        lengths = pc.binary_length(base).to_numpy()[marked].tolist()
+        marks = [word[n:] for word, n in zip(whole.take(pa.array(marked)).to_numpy(False), lengths)]
+        kinds = {m: i for i, m in enumerate(dict.fromkeys(marks))}
+
+        first = self._look_up(keys.dictionary.to_numpy(False).tolist())
+        ids = first + self._look_up(list(kinds)) + [b""]
+        # a word is two runs of ids: of its letters, and of its marks or the empty one at the end
+        runs = np.full((len(whole), 2), len(ids) - 1)
+        runs[:, 0] = keys.indices.to_numpy()
+        runs[marked, 1] = [len(first) + kinds[m] for m in marks]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, _ = _gather(np.frombuffer(b"".join(ids), "<u4"), sizes, runs.reshape(-1))
+        raw, ends = _gather(flat, sizes[runs].sum(axis=1), words.indices.to_numpy())
+        raw, ends = raw.tobytes(), (4 * ends[parts.offsets.to_numpy()]).tolist()
+        return [raw[i:j] for i, j in zip(ends, ends[1:])]
+
+
+def _gather(values: np.ndarray, sizes: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``values``, which has them one after the other with these sizes, in the order picked; and where they end, from 0."""
+    counts = sizes[picked]
+    ends = np.append(0, np.cumsum(counts))
+    places = np.repeat((np.cumsum(sizes) - sizes)[picked] - ends[:-1], counts)
+    places += np.arange(len(places))
+    return values[places], ends
 
 
 _encoders: dict[int, Encoder] = {}
@@ -115,15 +167,15 @@ def encoder_of(shared) -> Encoder:
     return _encoders[shared]
 
 
-def _batched(texts: list[str]):
-    """Runs of texts of about ``_PART_CHARS`` characters."""
+def _batched(texts: pa.Array):
+    """Runs of texts of about ``_PART_BYTES``."""
     first, size = 0, 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > _PART_CHARS:
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        if size and size + n > _PART_BYTES:
             yield first, texts[first:i]
             first, size = i, 0
-        size += len(t)
-    if texts:
+        size += n
+    if len(texts):
         yield first, texts[first:]
 
 
@@ -145,23 +197,25 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     def run(batches):
         encoder = encoder_of(shared)
         for b in batches:
-            keys, texts = b["doc_id"].tolist(), [t or "" for t in b["text"]]
-            for first, part in _batched(texts):
-                rows = []
-                for i, raw in enumerate(encoder.encode(part)):
+            for first, part in _batched(pc.fill_null(b.column(1), "")):
+                rows, ids = [], []
+                for i, raw in enumerate(encoder.encode(part), first):
                     raw += end
                     n = len(raw) // 4
                     for start in range(0, n, capacity):
                         cut = raw[4 * start:4 * (start + capacity)]
-                        row = (keys[first + i], start, len(cut) // 4, zlib.crc32(cut), n)
-                        rows.append((*row, np.frombuffer(cut, "<u4").astype(np.int64)) if with_ids else row)
-                yield pd.DataFrame(rows, columns=names)
+                        rows.append((i, start, len(cut) // 4, zlib.crc32(cut), n))
+                        if with_ids:
+                            ids.append(np.frombuffer(cut, "<u4").astype(np.int64))
+                at, *numbers = (pa.array(c, pa.int64()) for c in zip(*rows))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), *numbers, *[pa.array(ids, pa.list_(pa.int64()))] * with_ids],
+                                                 names=names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).cast("string").alias("doc_id"), F.col(text).alias("text"))
     schema = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
-    return rows.mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
+    return rows.mapInArrow(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
 
 
 def bundle_of(length: int, room: int, unit: int = UNIT) -> int:
