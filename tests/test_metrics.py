@@ -174,3 +174,48 @@ def test_counts_stay_integers_in_json(spark):
     rows = spark.createDataFrame([("t", "n", 15000.0), ("t", "n_x", 2.0), ("t", "f1", 1.0), ("t", "rho", None)],
                                  "task string, metric string, value double")
     assert metrics_json(rows).first().record == '{"f1":1.0,"n":15000,"n_x":2,"rho":null}'
+
+
+def test_whole_number_keys_join_as_numbers(spark):
+    """Keys come out as text, a side dealt out by its key is not dealt out again, and gold is checked whole."""
+    from tidegauge.operators.joins import join_pred_gold
+
+    preds = spark.range(40).selectExpr("id % 9 as k", "id as v").groupBy("k").agg(F.max("v").alias("guess"))
+    gold = spark.createDataFrame([(1, 5, "a"), (1, 6, "b"), (7, 1, "c"), (70, 1, "d"), (None, 1, "e")], "k long, at int, label string")
+    joined = join_pred_gold(preds.withColumn("k", F.col("k").cast("int")), gold, ["k"], "at")
+    assert dict(joined.dtypes)["k"] == "string" and joined.columns == ["k", "guess", "gold_label"]
+    assert sorted(map(tuple, joined.collect())) == [("1", 37, "b"), ("7", 34, "c")]
+    text = join_pred_gold(preds.withColumn("k", F.col("k").cast("string")), gold, ["k"], "at")
+    assert sorted(map(tuple, text.collect())) == sorted(map(tuple, joined.collect()))
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = join_pred_gold(preds, gold, ["k"], "at")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 2  # the group of the predictions, and gold
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+    with pytest.raises(Exception, match="repeated key"):  # also where no prediction can have that key
+        join_pred_gold(preds.where("k % 9 <> 1"), gold.where("k = 1 or k = 7"), ["k"]).collect()
+
+
+def test_impact_joins_numbers(spark, monkeypatch):
+    from tidegauge.plans import evaluate as E
+
+    kinds, join = [], E.join_pred_gold
+
+    def watched(preds, gold, keys, order, columns):
+        kinds.extend(dict(gold.dtypes)[c] for c in columns)
+        return join(preds, gold, keys, order, columns)
+
+    monkeypatch.setattr(E, "join_pred_gold", watched)
+    gold = spark.createDataFrame([(1, 1, '{"2h": 3}', "{}"), (2, 1, '{"6h": 3}', "bad"), (3, 1, '{"2h": 5}', '{"2h": null}'),
+                                  (4, 1, None, '{"2h": 2}')],
+                                 "tweet_id long, condition_id long, price_impact_json string, volume_multiplier_json string")
+    preds = spark.createDataFrame([(1, 1, 2.0, 1.0), (2, 1, 1.0, 1.0), (3, 1, 3.0, 1.0), (4, 1, 9.0, 2.0)],
+                                  "tweet_id long, condition_id long, price_impact double, volume_multiplier double")
+    found = E.evaluate_impact(preds, gold).first()
+    assert kinds == ["double", "double"]
+    assert (found["n_price_impact"], found["n_volume_multiplier"]) == (3, 2)
+    assert math.isclose(found["spearman_rho_price_impact"], 1) and math.isclose(found["spearman_rho_volume_multiplier"], 1)

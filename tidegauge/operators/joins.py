@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidegauge.functions.text import epoch_ms_to_timestamp, normalized_id, text_to_timestamp, try_double
 from tidegauge.operators.ranking import first_per_key, last_per_key
@@ -16,13 +16,17 @@ from tidegauge.operators.ranking import first_per_key, last_per_key
 
 def join_pred_gold(preds: DataFrame, gold: DataFrame, keys: Sequence[str], order: str | None = None,
                    gold_columns: Sequence[str] = ("label",)) -> DataFrame:
-    """Inner join of predictions with gold on key text.
+    """Inner join of predictions with gold on key text; the keys come out as text.
 
+    Whole numbers are equal where their texts are, so a key of them on both
+    sides is joined as ``bigint``, which sorts faster and keeps how a side was dealt out before.
     Gold is reduced to its last row per key by ``order``; without one its keys
     must be unique, and a repeated key fails the query. Every prediction row counts. Gold value columns come out as ``gold_<name>``.
     """
+    whole = [k for k in keys if all(isinstance(df.schema[k].dataType, T.IntegralType) for df in (preds, gold))]
+
     def keyed(df: DataFrame) -> DataFrame:
-        return df.withColumns({k: F.col(k).cast("string") for k in keys})
+        return df.withColumns({k: F.col(k).cast("bigint" if k in whole else "string") for k in keys})
 
     extra = [order] if order and order not in gold_columns else []
     labels = keyed(gold.select(*keys, *gold_columns, *extra))
@@ -31,8 +35,10 @@ def join_pred_gold(preds: DataFrame, gold: DataFrame, keys: Sequence[str], order
     else:
         labels = labels.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in gold_columns])
         labels = labels.where(F.assert_true(F.col("__n") == 1, F.lit("gold has a repeated key; name an order")).isNull())
+        # by way of text, so that filters of the predictions' keys are not moved before the check of gold
+        preds = preds.withColumns({k: F.col(k).cast("string") for k in whole})
     labels = labels.select(*keys, *[F.col(c).alias(f"gold_{c}") for c in gold_columns])
-    return keyed(preds).join(labels, list(keys))
+    return keyed(preds).join(labels, list(keys)).withColumns({k: F.col(k).cast("string") for k in whole})
 
 
 def wanted_posts(posts: DataFrame, wanted: DataFrame, key: str = "tweet_id") -> DataFrame:

@@ -97,15 +97,14 @@ def evaluate_impact(preds: DataFrame, gold: DataFrame, order: str | None = None,
     map without the horizon counts as 0. Fewer than two pairs give null.
     """
     sides = ["price_impact", "volume_multiplier"]
-    columns = [f"{s}_json" for s in sides]
-    joined = join_pred_gold(preds, gold, ["tweet_id", "condition_id"], order, columns)
-    parts = []
-    for side in sides:
-        source = F.col(f"gold_{side}_json")
+    values = {}
+    for side in sides:  # numbers, not maps, are joined; a map is parsed once
+        source = F.col(f"{side}_json")
         mapping = horizon_map(source) if dict(gold.dtypes)[f"{side}_json"] == "string" else source
-        real = F.when(F.size(mapping) > 0, map_value(mapping, horizon, 0.0))
-        parts.append(F.struct(F.lit(side).alias("side"), real.alias("real"),
-                              F.col(side).cast("double").alias("forecast")))
+        values[f"__{side}"] = F.transform(F.array(mapping), lambda m: F.when(F.size(m) > 0, map_value(m, horizon, 0.0)))[0]
+    joined = join_pred_gold(preds, gold.withColumns(values), ["tweet_id", "condition_id"], order, list(values))
+    parts = [F.struct(F.lit(side).alias("side"), F.col(f"gold___{side}").cast("double").alias("real"),
+                      F.col(side).cast("double").alias("forecast")) for side in sides]
     long = joined.select(F.inline(F.array(*parts))).where("real IS NOT NULL AND forecast IS NOT NULL")
     rho = spearman(long, "real", "forecast", ["side"], degenerate=0.0, cut=True)
     pick = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
