@@ -219,3 +219,12 @@ def test_impact_joins_numbers(spark, monkeypatch):
     assert kinds == ["double", "double"]
     assert (found["n_price_impact"], found["n_volume_multiplier"]) == (3, 2)
     assert math.isclose(found["spearman_rho_price_impact"], 1) and math.isclose(found["spearman_rho_volume_multiplier"], 1)
+
+
+def test_evaluators_without_a_weight(spark):
+    from tidegauge.operators import learned
+
+    rows = spark.createDataFrame([(0.0, 0.0, 3), (1.0, 1.0, 1), (1.0, 0.0, 1)], "label double, prediction double, w long")
+    for kind, plain, weighted in (("accuracy", 2 / 3, 0.8), ("macro_f1", 2 / 3, (6 / 7 + 2 / 3) / 2)):
+        assert math.isclose(learned.objective(kind, "label").evaluate(rows), plain)
+        assert math.isclose(learned.objective(kind, "label", "w").evaluate(rows), weighted)
